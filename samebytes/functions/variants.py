@@ -44,8 +44,10 @@ def output_path(key: Column | str, output_format: Column | str) -> Column:
     """two levels of shards by the first four hex digits."""
     key = col(key)
     extension = F.when(col(output_format) == "jpeg", F.lit(".jpg")).otherwise(F.lit(".webp"))
-    name = F.concat(key, extension)
-    return F.concat_ws("/", F.substring(key, 1, 2), F.substring(key, 3, 2), name)
+    slash = F.lit("/")
+    return F.concat(
+        F.substring(key, 1, 2), slash, F.substring(key, 3, 2), slash, key, extension
+    )
 
 
 def variant_format(raw: Column | str, default: str = VARIANT_DEFAULT_FORMAT) -> Column:

@@ -328,7 +328,7 @@ def drop_orphans(
     scans = sessions.select(F.col("id").alias("last_seen_scan_id"), F.lit(True).alias("_scan"))
     kept = lookup_join(kept, scans, "last_seen_scan_id", "left")
     kept = kept.withColumn(
-        "last_seen_scan_id", F.when("_scan", F.col("last_seen_scan_id"))
+        "last_seen_scan_id", F.when(F.col("_scan"), F.col("last_seen_scan_id"))
     ).select(*files.columns)
     owners = kept.select(F.col("id").alias("file_id"))
     return kept, variants.join(owners, "file_id", "left_semi")
