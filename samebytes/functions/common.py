@@ -58,5 +58,5 @@ def verdict(*checks: tuple[Column, str]) -> Column:
 
 def utc(value: Column | str) -> Column:
     """read a timestamp without zone as UTC, whatever the session zone is."""
-    value = col(value)
-    return F.to_utc_timestamp(value.cast("timestamp"), F.current_timezone())
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    return F.timestamp_micros(F.lit(0)) + (col(value).cast("timestamp_ntz") - epoch)

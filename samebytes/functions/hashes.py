@@ -20,6 +20,18 @@ def group_key(algorithm: Column | str, digest: Column | str) -> Column:
     return F.concat(col(algorithm), F.lit(":"), hash_hex(digest))
 
 
+def read_group_key(key: str) -> tuple[str, bytes]:
+    """F2 for one request: algorithm and digest."""
+    algorithm, separator, text = key.strip().lower().partition(":")
+    if not separator:
+        raise ValueError("a group key is written as algorithm:hex")
+    if algorithm not in HASH_ALGORITHMS:
+        raise ValueError(f"group key names an unknown algorithm: {algorithm}")
+    if len(text) != HEX_LENGTH or set(text) - set("0123456789abcdef"):
+        raise ValueError(f"group key needs {HEX_LENGTH} hex digits")
+    return algorithm, bytes.fromhex(text)
+
+
 def parse_group_key(key: Column | str) -> Column:
     """`struct(algorithm, hash_hex, content_hash, ok, reason)` of a textual key."""
     token = F.lower(strip(key))

@@ -15,7 +15,7 @@ from samebytes.functions.cursors import (
     group_cursor,
     page_limit,
 )
-from samebytes.functions.hashes import group_key, hash_hex, parse_group_key
+from samebytes.functions.hashes import group_key, hash_hex, read_group_key
 from samebytes.functions.predicates import dedup_eligible
 from samebytes.operators.scale import lookup_join, materialize, with_position
 
@@ -163,14 +163,12 @@ def group_members(
 
 
 def _files_of(catalog: DataFrame, roots: DataFrame, key: str, cursor: str | None) -> DataFrame:
-    parsed = catalog.sparkSession.range(1).select(parse_group_key(F.lit(key)).alias("k")).first().k
-    if not parsed.ok:
-        raise ValueError(f"group key is not valid: {parsed.reason}")
+    algorithm, digest = read_group_key(key)
     files = catalog.filter(
         ~F.col("is_missing")
         & ~F.col("needs_hash")
-        & (F.col("hash_algorithm") == parsed.algorithm)
-        & (F.col("content_hash") == F.lit(bytes(parsed.content_hash)))
+        & (F.col("hash_algorithm") == algorithm)
+        & (F.col("content_hash") == F.lit(digest))
     )
     anchor = decode_file_cursor(cursor)
     if anchor is not None:

@@ -28,6 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="samebytes-")
+    if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(folder)
     return folder
 

@@ -15,12 +15,18 @@ ERROR_SAMPLES = 20
 def scan_summary(entries: DataFrame) -> DataFrame:
     """A3: per library and, with `library` NULL, in total, from the entries of a walk."""
     kind = F.col("kind")
-    sums = entries.rollup("library").agg(
+    # Libraries are summed up first, so that only their totals are rolled up.
+    libraries = entries.groupBy("library").agg(
         F.count_if(kind == "file").alias("files_seen"),
         F.count_if(kind == "directory").alias("directories_seen"),
         saturated_sum(F.when(kind == "file", F.col("size_bytes"))).alias("bytes_seen"),
         F.count_if(kind == "error").alias("error_count"),
     )
+    counts = ("files_seen", "directories_seen", "error_count")
+    sums = libraries.rollup("library").agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counts],
+        saturated_sum(F.col("bytes_seen")).alias("bytes_seen"),
+    )
     status = F.when(F.col("error_count") == 0, "succeeded").otherwise("failed")
     return sums.withColumn("status", status)
 

@@ -136,29 +136,25 @@ def admit(
     """New variants become `admitted` while slots are free, then `queue_full`.
 
     Requeued variants take a slot without being checked. Nothing leaves the queue within a
-    batch, so the free slots go to the first rows by `first_seq`, and only as many rows as
-    there can be slots have to be ordered: a top-k, not a ranking of all requests.
+    batch, so the free slots go to the first rows by `first_seq`. Only as many rows as there
+    can be slots have to be ordered (a top-k, not a ranking of all requests), and the last of
+    them is all that the other rows are compared with.
     """
     active = active_depth(variants).scalar()
-    takers = matched.filter(F.col("outcome").isin("new", "requeued")).select(
-        "thumb_key", "first_seq"
-    )
     order = ["first_seq", "thumb_key"]
+    takers = matched.filter(F.col("outcome").isin("new", "requeued")).select(*order)
     if capacity <= TOP_K_SLOTS:
         first = takers.orderBy(*order).limit(capacity)
         rank = F.row_number().over(Window.orderBy(*order))
         placed = first.withColumn("_place", rank - 1)
     else:
         placed = with_position(takers, order, "_place")
-    slots = placed.filter(F.col("_place") + active < capacity).select(
-        "thumb_key", F.lit(True).alias("_slot")
-    )
-    joined = matched.join(slots, "thumb_key", "left")
+    last = placed.filter(F.col("_place") + active < capacity).agg(F.max(F.struct(*order)))
     final = F.when(
         F.col("outcome") == "new",
-        F.when(F.col("_slot"), "admitted").otherwise("queue_full"),
+        F.when(F.struct(*order) <= last.scalar(), "admitted").otherwise("queue_full"),
     ).otherwise(F.col("outcome"))
-    return joined.withColumn("outcome", final).drop("_slot")
+    return matched.withColumn("outcome", final)
 
 
 def apply_requests(variants: DataFrame, admitted: DataFrame, now: Clock) -> DataFrame:

@@ -6,11 +6,12 @@ import hashlib
 import os
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samebytes.schemas import HASH_OUTCOMES, HASH_READ_CHUNK_BYTES
+from samebytes.sources.rows import record_batch
 
 BYTES_PER_TASK = 8 * 1024**3
 
@@ -74,24 +75,20 @@ def hash_files(
     parallel = candidates.sparkSession.sparkContext.defaultParallelism
     tasks = max(parallel, -(-int(total) // bytes_per_task))
 
-    def hash_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = HASH_OUTCOMES.fieldNames()
+    def hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                (row.id, *_hash_one(
-                    os.path.join(row.root_path, row.relative_path),
-                    row.root_path,
-                    (row.expected_size, row.expected_mtime_ns),
+                (row["id"], *_hash_one(
+                    os.path.join(row["root_path"], row["relative_path"]),
+                    row["root_path"],
+                    (row["expected_size"], row["expected_mtime_ns"]),
                     chunk_bytes,
                 ))
-                for row in batch.itertuples(index=False)
+                for row in batch.to_pylist()
             ]
-            frame = pd.DataFrame(rows, columns=columns)
-            for name in ("size_bytes", "mtime_ns", "inode", "device", "bytes_hashed"):
-                frame[name] = frame[name].astype("Int64")
-            yield frame
+            yield record_batch(rows, HASH_OUTCOMES)
 
     dealt = candidates.select(
         "id", "root_path", "relative_path", "expected_size", "expected_mtime_ns"
     ).repartition(tasks, F.xxhash64("id"))
-    return dealt.mapInPandas(hash_batches, HASH_OUTCOMES)
+    return dealt.mapInArrow(hash_batches, HASH_OUTCOMES)

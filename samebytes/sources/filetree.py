@@ -14,7 +14,7 @@ from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from samebytes.operators.scale import materialize
 from samebytes.schemas import TREE_ENTRIES
+from samebytes.sources.rows import record_batch
 
 Entry = tuple[str, str, str | None, int | None, int | None, int | None, int | None, str | None]
 
@@ -93,21 +94,23 @@ def list_directory(root: str, library: str, relative: str) -> Iterator[tuple[Ent
                 )
 
 
-def walk(root: str, library: str, start: str, recursive: bool = True) -> Iterator[Entry]:
-    """Depth-first walk of one subtree with a stack of directories only."""
+def walk(
+    root: str, library: str, start: str, elsewhere: frozenset[str] = frozenset()
+) -> Iterator[Entry]:
+    """Depth-first walk of one subtree, but for the directories that are read `elsewhere`."""
     stack = [start]
     while stack:
         for entry, descend in list_directory(root, library, stack.pop()):
             if not descend:
                 yield entry
-            elif recursive:
+            elif entry[2] not in elsewhere:
                 stack.append(entry[2])
 
 
 class _Subtree(InputPartition):
-    def __init__(self, library: str, relative: str, recursive: bool):
-        super().__init__((library, relative, recursive))
-        self.library, self.relative, self.recursive = library, relative, recursive
+    def __init__(self, library: str, relative: str, elsewhere: frozenset[str] = frozenset()):
+        super().__init__((library, relative))
+        self.library, self.relative, self.elsewhere = library, relative, elsewhere
 
 
 class FileTreeReader(DataSourceReader):
@@ -120,7 +123,8 @@ class FileTreeReader(DataSourceReader):
         """Subtrees, split from the top until there are about `splits` of them.
 
         At most `splits` directories are listed here and only names of directories are kept.
-        A directory that was split is read again without its subdirectories.
+        The task of a directory that was split reads it again and walks whatever was not
+        handed out, so directories that appear meanwhile are not lost.
         """
         names = library_names(self.root) if self.libraries is None else sorted(set(self.libraries))
         open_ends = deque((name, "") for name in names)
@@ -135,15 +139,14 @@ class FileTreeReader(DataSourceReader):
                     below.append((library, entry[2]))
                     if len(below) > self.splits:
                         break
-            if not below or len(below) > self.splits:
-                done.append(_Subtree(library, relative, True))
-            else:
-                done.append(_Subtree(library, relative, False))
-                open_ends.extend(below)
-        return done + [_Subtree(library, relative, True) for library, relative in open_ends]
+            if len(below) > self.splits:
+                below = []
+            done.append(_Subtree(library, relative, frozenset(name for _, name in below)))
+            open_ends.extend(below)
+        return done + [_Subtree(library, relative) for library, relative in open_ends]
 
     def read(self, partition: _Subtree) -> Iterator[Entry]:
-        return walk(self.root, partition.library, partition.relative, partition.recursive)
+        return walk(self.root, partition.library, partition.relative, partition.elsewhere)
 
 
 class FileTreeDataSource(DataSource):
@@ -190,11 +193,10 @@ def walk_tree(
     """
     names = library_names(root) if libraries is None else sorted(set(libraries))
 
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = TREE_ENTRIES.fieldNames()
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, rows = 0, []
         for batch in batches:
-            stack = list(zip(batch["library"], batch["relative_path"]))
+            stack = [(row["library"], row["relative_path"]) for row in batch.to_pylist()]
             while stack:
                 library, relative = stack.pop()
                 if seen >= budget:
@@ -207,22 +209,18 @@ def walk_tree(
                         else:
                             rows.append(entry)
                         if len(rows) >= 10_000:
-                            yield _frame(rows, columns)
+                            yield record_batch(rows, TREE_ENTRIES)
                             rows = []
-        yield _frame(rows, columns)
+        yield record_batch(rows, TREE_ENTRIES)
 
+    # A fixed number of tasks: few short rows may stand for most of the tree.
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     frontier = spark.createDataFrame([(name, "") for name in names], "library string, relative_path string")
     rounds = []
     while True:
-        found = materialize(frontier.repartition("library", "relative_path").mapInPandas(visit, TREE_ENTRIES))
+        dealt = frontier.repartition(tasks, "library", "relative_path")
+        found = materialize(dealt.mapInArrow(visit, TREE_ENTRIES))
         rounds.append(found.filter(F.col("kind") != "pending"))
         frontier = found.filter(F.col("kind") == "pending").select("library", "relative_path")
         if frontier.isEmpty():
             return reduce(DataFrame.unionByName, rounds)
-
-
-def _frame(rows: list[Entry], columns: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=columns)
-    for name in ("size_bytes", "mtime_ns", "inode", "device"):
-        frame[name] = frame[name].astype("Int64")
-    return frame
