@@ -77,13 +77,15 @@ def run_scan(
     return store.read("scan_sessions").filter(F.col("id") == scan_id).first()
 
 
-def run_hash(store: SnapshotStore, now: Clock, max_files: int | None = None) -> Row:
+def run_hash(
+    store: SnapshotStore, now: Clock, max_files: int | None = None, algorithm: str = "sha256"
+) -> Row:
     """Hash due files (all of them, or the first `max_files` by id) and return the counts."""
     catalog = store.read("library_files")
     candidates = with_root(next_hash_files(catalog, now, max_files), store.read("library_roots"))
     # Reading files is the expensive part and must happen once.
-    outcomes = materialize(hash_files(candidates))
-    updated = apply_outcomes(catalog, outcomes, algorithm="sha256", now=now)
+    outcomes = materialize(hash_files(candidates, algorithm=algorithm))
+    updated = apply_outcomes(catalog, outcomes, algorithm=algorithm, now=now)
     store.publish("library_files", updated, cluster_by=["hash_algorithm", "content_hash", "id"])
     return hash_summary(outcomes).first()
 

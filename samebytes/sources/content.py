@@ -21,9 +21,22 @@ def _stat(path: str) -> tuple[int, int, int, int]:
     return info.st_size, info.st_mtime_ns, info.st_ino, info.st_dev
 
 
-def _digest(path: str, chunk: int) -> tuple[bytes, int]:
-    """SHA-256 of the whole file and the bytes read, in constant memory."""
-    hasher, total = hashlib.sha256(), 0
+def _hasher(algorithm: str):
+    """SHA-256, or BLAKE3 where the optional `blake3` package is installed."""
+    if algorithm == "sha256":
+        return hashlib.sha256()
+    if algorithm == "blake3":
+        try:
+            from blake3 import blake3
+        except ImportError as error:
+            raise ValueError("hashing with blake3 needs the blake3 package") from error
+        return blake3()
+    raise ValueError(f"unknown hash algorithm: {algorithm}")
+
+
+def _digest(path: str, algorithm: str, chunk: int) -> tuple[bytes, int]:
+    """Digest of the whole file and the bytes read, in constant memory."""
+    hasher, total = _hasher(algorithm), 0
     with open(path, "rb", buffering=0) as file:
         while block := file.read(chunk):
             hasher.update(block)
@@ -31,7 +44,9 @@ def _digest(path: str, chunk: int) -> tuple[bytes, int]:
     return hasher.digest(), total
 
 
-def _hash_one(path: str, root: str, expected: tuple[int, int], chunk: int) -> tuple:
+def _hash_one(
+    path: str, root: str, expected: tuple[int, int], algorithm: str, chunk: int
+) -> tuple:
     """(outcome, digest, size, mtime_ns, inode, device, bytes, error) of one candidate.
 
     The file counts as hashed only if its size and time were the expected ones both before
@@ -48,7 +63,7 @@ def _hash_one(path: str, root: str, expected: tuple[int, int], chunk: int) -> tu
         before = _stat(real)
         if before[:2] != expected:
             return "requeued", None, *before, 0, None
-        digest, count = _digest(real, chunk)
+        digest, count = _digest(real, algorithm, chunk)
         after = _stat(real)
         if after[:2] != expected:
             return "requeued", None, *after, count, None
@@ -69,8 +84,7 @@ def hash_files(
     Tasks are sized by the bytes to read, and rows are dealt out by id so that a library of
     large files is spread. Write the result before using it twice: it reads the files.
     """
-    if algorithm != "sha256":
-        raise ValueError("contents can be hashed with sha256 only")
+    _hasher(algorithm)
     total = candidates.agg(F.coalesce(F.sum(F.col("expected_size") + 4096), F.lit(0))).first()[0]
     parallel = candidates.sparkSession.sparkContext.defaultParallelism
     tasks = max(parallel, -(-int(total) // bytes_per_task))
@@ -82,6 +96,7 @@ def hash_files(
                     os.path.join(row["root_path"], row["relative_path"]),
                     row["root_path"],
                     (row["expected_size"], row["expected_mtime_ns"]),
+                    algorithm,
                     chunk_bytes,
                 ))
                 for row in batch.to_pylist()
