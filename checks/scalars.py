@@ -33,7 +33,7 @@ def _(t):
 )
 def _(t):
     both = t.files.alias("o").join(t.scan.alias("n"), ["library_id", "relative_path"])
-    return both.select("id", predicates.metadata_changed("o", "n").alias("changed"))
+    return both.select("id", predicates.metadata_changed("o.", "n.").alias("changed"))
 
 
 @check(

@@ -25,20 +25,21 @@ def dedup_eligible() -> Column:
 
 
 def metadata_changed(old: str, new: str) -> Column:
-    """Stat fields of alias `new` differ from those of `old`, or the file had gone.
+    """Stat fields of the `new` row differ from those of the `old`, or the file had gone.
 
-    A NULL inode or device counts as -1 on both sides.
+    The sides are column prefixes such as `old.` or `n_`. A NULL inode or device counts as -1
+    on both of them.
     """
 
     def known(side: str, name: str) -> Column:
-        return F.coalesce(F.col(f"{side}.{name}"), F.lit(-1).cast("bigint"))
+        return F.coalesce(F.col(f"{side}{name}"), F.lit(-1).cast("bigint"))
 
     return (
-        (F.col(f"{old}.size_bytes") != F.col(f"{new}.size_bytes"))
-        | (F.col(f"{old}.mtime_ns") != F.col(f"{new}.mtime_ns"))
+        (F.col(f"{old}size_bytes") != F.col(f"{new}size_bytes"))
+        | (F.col(f"{old}mtime_ns") != F.col(f"{new}mtime_ns"))
         | (known(old, "inode") != known(new, "inode"))
         | (known(old, "device") != known(new, "device"))
-        | F.col(f"{old}.is_missing")
+        | F.col(f"{old}is_missing")
     )
 
 

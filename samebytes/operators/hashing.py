@@ -9,7 +9,7 @@ from samebytes.functions.common import as_timestamp, seconds
 from samebytes.functions.numbers import retry_delay_seconds
 from samebytes.functions.predicates import Clock, hash_candidate
 from samebytes.operators.merge import GONE_STATE, HASH_STATE, SEEN, typed
-from samebytes.operators.scale import lookup_join
+from samebytes.operators.scale import first_rows, lookup_join
 from samebytes.schemas import HASH_CLAIM_TTL_SECONDS, HASH_RETRY_SECONDS, LIBRARY_FILES
 
 
@@ -21,7 +21,7 @@ def next_hash_files(
 ) -> DataFrame:
     """Due candidates, the first `limit` of them by id when a limit is given."""
     due = catalog.filter(hash_candidate(now, claim_ttl_seconds))
-    return due if limit is None else due.orderBy("id").limit(limit)
+    return due if limit is None else first_rows(due, ["id"], limit)
 
 
 def with_root(candidates: DataFrame, roots: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def apply_outcomes(
     results = outcomes.select(
         F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("outcome", "digest", "error", *SEEN)]
     )
-    joined = catalog.join(results, F.col("id") == F.col("_id"), "left")
+    joined = lookup_join(catalog, results, F.col("id") == F.col("_id"), "left")
     outcome = F.col("_outcome")
     hashed, requeued = outcome == "hashed", outcome == "requeued"
     missing, failed = outcome == "missing", outcome == "failed"

@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from samebytes.functions.common import as_timestamp
 from samebytes.functions.predicates import Clock, metadata_changed
-from samebytes.operators.scale import lookup_join, with_position
+from samebytes.operators.scale import (
+    BROADCAST_ROWS,
+    lookup_join,
+    rows_not_in,
+    with_position,
+)
 from samebytes.schemas import LIBRARY_FILES, LIBRARY_ROOTS
 
 KEY = ["library_id", "relative_path"]
@@ -36,19 +41,31 @@ def typed(name: str, value: object) -> Column:
     return F.lit(value).cast(LIBRARY_FILES[name].dataType)
 
 
-def _joined(catalog: DataFrame, scan: DataFrame, scanned: DataFrame, complete: bool) -> DataFrame:
-    """Catalog and scan side by side (`o`, `n`) with the kind of change per file."""
-    old = catalog.withColumn("_old", F.lit(True)).alias("o")
-    new = scan.withColumn("_new", F.lit(True)).alias("n")
-    both = old.join(new, [F.col(f"o.{k}") == F.col(f"n.{k}") for k in KEY], "full_outer")
+def _joined(
+    catalog: DataFrame, scan: DataFrame, scanned: DataFrame, complete: bool, small: bool = False
+) -> DataFrame:
+    """Catalog and scan side by side (`o_`, `n_`) with the kind of change per file."""
+    old = catalog.select(*[F.col(c).alias(f"o_{c}") for c in catalog.columns])
+    new = scan.select(*[F.col(c).alias(f"n_{c}") for c in scan.columns])
+    old = old.withColumn("_old", F.lit(True))
+    new = new.withColumn("_new", F.lit(True))
+    same = [F.col(f"o_{k}") == F.col(f"n_{k}") for k in KEY]
+    if small:
+        # Known files look up the scan; files with a fresh id are all the others.
+        known = old.join(F.broadcast(new), same, "left")
+        nothing = old.filter(F.lit(False))
+        added = new.filter(F.col("n__id").isNotNull()).join(nothing, same, "left")
+        both = known.unionByName(added)
+    else:
+        both = old.join(new, same, "full_outer")
     targets = scanned.select(F.col("library_id").alias("_target")).distinct()
-    both = lookup_join(both, targets, F.col("o.library_id") == F.col("_target"), "left")
-    gone = F.col("_target").isNotNull() & ~F.col("o.is_missing") & F.lit(complete)
+    both = lookup_join(both, targets, F.col("o_library_id") == F.col("_target"), "left")
+    gone = F.col("_target").isNotNull() & ~F.col("o_is_missing") & F.lit(complete)
     change = (
         F.when(F.col("_old").isNull(), "added")
         .when(F.col("_new").isNull(), F.when(gone, "missing").otherwise("untouched"))
-        .when(F.col("o.is_missing"), "reappeared")
-        .when(metadata_changed("o", "n"), "changed")
+        .when(F.col("o_is_missing"), "reappeared")
+        .when(metadata_changed("o_", "n_"), "changed")
         .otherwise("unchanged")
     )
     return both.withColumn("change", change)
@@ -63,6 +80,7 @@ def merge_scan(
     now: Clock,
     complete: bool = True,
     new_ids: DataFrame | None = None,
+    small_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """The catalog after a scan, plus a `change` column.
 
@@ -71,15 +89,17 @@ def merge_scan(
     missing. `new_ids` comes from `assign_ids`; without it inserted rows keep a NULL id.
 
     The join runs on (library_id, relative_path), which is unique, so no partition is hot. A
-    catalog bucketed on that key is not shuffled.
+    catalog bucketed on that key is not shuffled, and neither is any catalog when the scan has
+    at most `small_rows` rows and their ids, as the batches of a stream do.
     """
     scan = scan.select(*KEY, *SEEN)
+    small = new_ids is not None and scan.count() <= small_rows
     if new_ids is None:
         scan = scan.withColumn("_id", F.lit(None).cast("bigint"))
     else:
         # Same keys as the merge itself, so the scan is shuffled once for both joins.
         scan = scan.join(new_ids.select(*KEY, F.col("id").alias("_id")), KEY, "left")
-    joined = _joined(catalog, scan, scanned, complete)
+    joined = _joined(catalog, scan, scanned, complete, small)
 
     change = F.col("change")
     seen = F.col("_new").isNotNull()
@@ -88,20 +108,20 @@ def merge_scan(
     stamp = as_timestamp(now)
 
     out: dict[str, Column] = {
-        "id": F.coalesce(F.col("o.id"), F.col("_id")),
-        **{k: F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")) for k in KEY},
-        **{c: F.when(seen, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) for c in SEEN},
-        "is_missing": F.when(seen, False).when(missing, True).otherwise(F.col("o.is_missing")),
-        "needs_hash": F.when(stale, True).when(missing, False).otherwise(F.col("o.needs_hash")),
+        "id": F.coalesce("o_id", "n__id"),
+        **{k: F.coalesce(f"n_{k}", f"o_{k}") for k in KEY},
+        **{c: F.when(seen, F.col(f"n_{c}")).otherwise(F.col(f"o_{c}")) for c in SEEN},
+        "is_missing": F.when(seen, False).when(missing, True).otherwise(F.col("o_is_missing")),
+        "needs_hash": F.when(stale, True).when(missing, False).otherwise(F.col("o_needs_hash")),
         "last_seen_scan_id": F.when(seen, F.lit(scan_id).cast("bigint")).otherwise(
-            F.col("o.last_seen_scan_id")
+            F.col("o_last_seen_scan_id")
         ),
-        "created_at": F.when(change == "added", stamp).otherwise(F.col("o.created_at")),
-        "updated_at": F.when(change != "untouched", stamp).otherwise(F.col("o.updated_at")),
+        "created_at": F.when(change == "added", stamp).otherwise(F.col("o_created_at")),
+        "updated_at": F.when(change != "untouched", stamp).otherwise(F.col("o_updated_at")),
     }
     for name, empty in HASH_STATE.items():
         reset = stale | missing if name in GONE_STATE else stale
-        out[name] = F.when(reset, typed(name, empty)).otherwise(F.col(f"o.{name}"))
+        out[name] = F.when(reset, typed(name, empty)).otherwise(F.col(f"o_{name}"))
     return joined.select(*[out[f.name].alias(f.name) for f in LIBRARY_FILES], "change")
 
 
@@ -111,8 +131,8 @@ def scan_changes(
     """What a scan would do to each file, reading only keys and stat columns."""
     slim = catalog.select("id", *KEY, *SEEN, "is_missing")
     joined = _joined(slim, scan.select(*KEY, *SEEN), scanned, complete)
-    keys = [F.coalesce(F.col(f"n.{k}"), F.col(f"o.{k}")).alias(k) for k in KEY]
-    return joined.select(F.col("o.id").alias("id"), *keys, "change")
+    keys = [F.coalesce(f"n_{k}", f"o_{k}").alias(k) for k in KEY]
+    return joined.select(F.col("o_id").alias("id"), *keys, "change")
 
 
 def missing_files(catalog: DataFrame, scan: DataFrame, scanned: DataFrame) -> DataFrame:
@@ -127,7 +147,7 @@ def assign_ids(catalog: DataFrame, scan: DataFrame) -> DataFrame:
 
     Only keys are read from the catalog; only new keys are ranked, in range slices.
     """
-    added = scan.select(*KEY).join(catalog.select(*KEY), KEY, "left_anti")
+    added = rows_not_in(scan.select(*KEY), catalog, KEY)
     placed = with_position(added, KEY, "_rank")
     largest = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
     return placed.select(*KEY, (largest + F.col("_rank") + 1).cast("bigint").alias("id"))

@@ -21,7 +21,7 @@ from samebytes.functions.predicates import (
     stale_lease,
 )
 from samebytes.operators.duplicates import Page
-from samebytes.operators.scale import with_previous
+from samebytes.operators.scale import first_rows, lookup_join, with_previous
 
 LEASE_FIELDS = ("worker_id", "worker_heartbeat_at", "lease_expires_at")
 
@@ -83,21 +83,21 @@ def list_jobs(jobs: DataFrame, limit: int | None = None, cursor: str | None = No
 def next_jobs(jobs: DataFrame, limit: int = 1) -> DataFrame:
     """T4: oldest pending scan and hash jobs."""
     waiting = jobs.filter((F.col("status") == "pending") & F.col("kind").isin("scan", "hash"))
-    return waiting.orderBy("created_at", "id").limit(limit)
+    return first_rows(waiting, ["created_at", "id"], limit)
 
 
 def next_cleanups(cleanups: DataFrame, now: Clock, limit: int = 1) -> DataFrame:
     """T4: longest due cleanups; pass the result of `ready_cleanups` to skip busy groups."""
     waiting = (F.col("status") == "pending") & (F.col("execute_after") <= as_timestamp(now))
-    return cleanups.filter(waiting).orderBy("execute_after", "id").limit(limit)
+    return first_rows(cleanups.filter(waiting), ["execute_after", "id"], limit)
 
 
 def next_maintenance(maintenance: DataFrame, now: Clock, limit: int = 1) -> DataFrame:
     """T4: due maintenance, pending or to be retried."""
     pending = (F.col("status") == "pending") & (F.col("execute_after") <= as_timestamp(now))
     again = (F.col("status") == "retryable") & due("retry_after", now)
-    waiting = maintenance.filter(pending | again)
-    return waiting.orderBy(F.coalesce("retry_after", "execute_after"), "id").limit(limit)
+    order = [F.coalesce("retry_after", "execute_after"), F.col("id")]
+    return first_rows(maintenance.filter(pending | again), order, limit)
 
 
 def latest_row(table: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def fail_with_backoff(
         F.col("error_code").alias("_code"),
         F.col("error_message").alias("_message"),
     )
-    joined = variants.join(errors, F.col("id") == F.col("_id"), "left")
+    joined = lookup_join(variants, errors, F.col("id") == F.col("_id"), "left")
     hit = F.col("_id").isNotNull() & (F.col("status") == "running")
     count = F.coalesce("error_count", F.lit(0)) + 1
     values = {

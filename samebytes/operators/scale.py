@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+TOP_K_ROWS = 10_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,6 +61,32 @@ def lookup_join(
     return big.join(small, on, how)
 
 
+def rows_not_in(
+    rows: DataFrame, table: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Rows whose key the table does not have.
+
+    At most `max_rows` rows are looked up in place, so that a big table is not shuffled for a
+    few of them; otherwise it is an ordinary anti join.
+    """
+    known = table.select(*keys)
+    if rows.count() <= max_rows:
+        # No more keys than rows, so the second broadcast is as small as the first.
+        known = F.broadcast(known.join(F.broadcast(rows.select(*keys)), keys, "left_semi").distinct())
+    return rows.join(known, keys, "left_anti")
+
+
+def first_rows(df: DataFrame, order: Sequence[Column | str], limit: int) -> DataFrame:
+    """The first `limit` rows by `order`, which must be unique per row.
+
+    Every task of a top-k sends its k best rows to one task, so beyond `TOP_K_ROWS` positions
+    in range slices are used instead.
+    """
+    if limit <= TOP_K_ROWS:
+        return df.orderBy(*order).limit(limit)
+    return with_position(df, order, "_place").filter(F.col("_place") < limit).drop("_place")
+
+
 def ordered_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
     """Rows sorted by `order` in contiguous slices, with `_slice` and 0-based `_pos` in it.
 

@@ -15,7 +15,7 @@ from samebytes.functions.variants import (
     variant_dimension,
     variant_format,
 )
-from samebytes.operators.scale import lookup_join, with_position
+from samebytes.operators.scale import TOP_K_ROWS, first_rows, lookup_join, with_position
 from samebytes.schemas import (
     CLEANUP_DELAY_SECONDS,
     CLEANUP_JOBS,
@@ -30,9 +30,6 @@ from samebytes.schemas import (
 ACTIVE = ("pending", "running")
 TERMINAL = ("ready", "failed")
 
-# Above this many free slots, admission ranks by range slices instead of taking the top rows.
-TOP_K_SLOTS = 1_000_000
-
 
 def plan_requests(
     requests: DataFrame,
@@ -136,15 +133,14 @@ def admit(
     """New variants become `admitted` while slots are free, then `queue_full`.
 
     Requeued variants take a slot without being checked. Nothing leaves the queue within a
-    batch, so the free slots go to the first rows by `first_seq`. Only as many rows as there
-    can be slots have to be ordered (a top-k, not a ranking of all requests), and the last of
-    them is all that the other rows are compared with.
+    batch, so the free slots go to the first rows by `first_seq`, and the last of these is all
+    that the other rows are compared with. A small capacity orders no more rows than it has.
     """
     active = active_depth(variants).scalar()
     order = ["first_seq", "thumb_key"]
     takers = matched.filter(F.col("outcome").isin("new", "requeued")).select(*order)
-    if capacity <= TOP_K_SLOTS:
-        first = takers.orderBy(*order).limit(capacity)
+    if capacity <= TOP_K_ROWS:
+        first = first_rows(takers, order, capacity)
         rank = F.row_number().over(Window.orderBy(*order))
         placed = first.withColumn("_place", rank - 1)
     else:
@@ -167,7 +163,7 @@ def apply_requests(variants: DataFrame, admitted: DataFrame, now: Clock) -> Data
         "error_code", "error_message", "retry_after", "worker_id", "worker_heartbeat_at",
         "lease_expires_at", "started_at", "finished_at",
     )
-    kept = variants.join(again, "thumb_key", "left")
+    kept = lookup_join(variants, again, "thumb_key", "left")
     for name in cleared:
         kept = kept.withColumn(name, F.when(F.col("_again").isNull(), F.col(name)))
     kept = kept.withColumn(
@@ -272,7 +268,7 @@ def schedule_cleanups(
         "worker_id", "worker_heartbeat_at", "lease_expires_at", "error_code", "error_message",
         "finished_at",
     )
-    kept = cleanups.join(asked, "group_key", "left")
+    kept = lookup_join(cleanups, asked, "group_key", "left")
     for name in cleared:
         kept = kept.withColumn(name, F.when(~hit, F.col(name)))
     kept = (

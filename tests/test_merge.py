@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,14 +96,15 @@ def as_tuples(rows):
     return sorted(tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in rows)
 
 
-@pytest.mark.parametrize("seed,complete", [(1, True), (2, False), (3, True)])
-def test_merge_equals_row_by_row_upsert(spark, many_slices, seed, complete):
+@pytest.mark.parametrize("small_rows", [0, 1000])
+@pytest.mark.parametrize("seed,complete", [(1, True), (2, False)])
+def test_merge_equals_row_by_row_upsert(spark, many_slices, seed, complete, small_rows):
     rng = random.Random(seed)
     catalog = random_catalog(rng, 90)
     scan, scanned = random_scan(rng, catalog), [1, 2]
     files, seen, libraries = frames(spark, catalog, scan, scanned)
     ids = merge.assign_ids(files, seen)
-    merged = merge.merge_scan(files, seen, libraries, scan_id=9, now=NOW, complete=complete, new_ids=ids)
+    merged = merge.merge_scan(files, seen, libraries, scan_id=9, now=NOW, complete=complete, new_ids=ids, small_rows=small_rows)
     by_hand = upsert_by_hand(catalog, scan, scanned, 9, complete).values()
     assert as_tuples(merged.select(*COMPARED).collect()) == as_tuples(
         tuple(r.get(c) for c in COMPARED) for r in by_hand
@@ -146,13 +148,25 @@ def test_merge_shuffles_each_side_once(spark, settings):
     files, seen, libraries = frames(spark, catalog, random_scan(rng, catalog), [1])
     ids = merge.assign_ids(files, seen)
     with settings(spark__sql__autoBroadcastJoinThreshold="-1"):
-        merged = merge.merge_scan(files, seen, libraries, scan_id=9, now=NOW, new_ids=ids)
+        merged = merge.merge_scan(files, seen, libraries, scan_id=9, now=NOW, new_ids=ids, small_rows=0)
         plan = merged._jdf.queryExecution().executedPlan().toString()
     # catalog, scan and new ids
-    assert plan.count("Exchange hashpartitioning(library_id") == 3
+    assert len(re.findall(r"Exchange hashpartitioning\((?:o_)?library_id", plan)) == 3
     assert plan.count("FullOuter") == 1 and "Cartesian" not in plan
 
 
+def test_small_scan_does_not_shuffle_the_catalog(spark, tmp_path):
+    rng = random.Random(8)
+    catalog = random_catalog(rng, 30)
+    files, seen, libraries = frames(spark, catalog, random_scan(rng, catalog), [1])
+    files.write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    merged = merge.merge_scan(files, seen, libraries, scan_id=9, now=NOW, new_ids=merge.assign_ids(files, seen))
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    catalog_side = plan.split("BroadcastHashJoin [o_library_id")[2].split("FileScan")[0]
+    assert "Exchange" not in catalog_side.split("BroadcastExchange")[0] and "FullOuter" not in plan
+
+
 def test_roots_are_upserted_by_name(spark):
     roots = conform(spark.createDataFrame([(3, "b", "/old/b")], "id long, name string, root_path string"), "library_roots")
     found = spark.createDataFrame([("a", "/l/a"), ("b", "/l/b"), ("c", "/l/c")], "name string, root_path string")

@@ -52,6 +52,21 @@ def test_lookup_join_without_broadcast_gives_the_same(spark):
     assert hinted.count() == plain.count() == 500
 
 
+@pytest.mark.parametrize("limit", [0, 5, 500])
+def test_first_rows_both_ways(spark, many_slices, monkeypatch, limit):
+    df = spark.range(200).select((F.col("id") * 37 % 200).alias("v"))
+    top = sorted(r.v for r in scale.first_rows(df, ["v"], limit).collect())
+    monkeypatch.setattr(scale, "TOP_K_ROWS", -1)
+    assert sorted(r.v for r in scale.first_rows(df, ["v"], limit).collect()) == top == list(range(min(limit, 200)))
+
+
+def test_rows_not_in_both_ways(spark):
+    rows, table = spark.range(50), spark.range(0, 100, 3)
+    expected = [i for i in range(50) if i % 3]
+    for max_rows in (0, 1000):
+        assert sorted(r.id for r in scale.rows_not_in(rows, table, ["id"], max_rows).collect()) == expected
+
+
 def schedule_by_hand(rows, rate, state):
     free, out = dict(state), {}
     for bucket, now, size, seq in sorted(rows, key=lambda r: (r[1], r[3])):

@@ -55,7 +55,7 @@ def admit_by_hand(rows, active, capacity):
 @pytest.mark.parametrize("top_k", [True, False])
 def test_admission_equals_the_loop(spark, many_slices, monkeypatch, top_k):
     if not top_k:
-        monkeypatch.setattr(variants, "TOP_K_SLOTS", -1)
+        monkeypatch.setattr(variants, "TOP_K_ROWS", -1)
     rng = random.Random(7)
     for trial in range(6):
         rows = [(f"k{i}", rng.randint(0, 60), rng.choice(["new", "new", "requeued", "existing", "blocked"])) for i in range(120)]
