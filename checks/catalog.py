@@ -358,7 +358,7 @@ def _(t):
 
 @check(
     "a9_error_digest",
-    """SELECT (SELECT count(*) FROM entries WHERE kind = 'error') AS error_count, 'Scan encountered ' || (SELECT count(*) FROM entries WHERE kind = 'error') || ' filesystem access errors: ' || string_agg(relative_path || ': ' || error, ' | ' ORDER BY library, relative_path) AS error_message
+    """SELECT (SELECT count(*) FROM entries WHERE kind = 'error') AS error_count, 'Scan encountered ' || (SELECT count(*) FROM entries WHERE kind = 'error') || ' filesystem access errors: ' || string_agg('/libraries/' || library || '/' || relative_path || ': ' || error, ' | ' ORDER BY library, relative_path) AS error_message
  FROM (SELECT * FROM entries WHERE kind = 'error' ORDER BY library, relative_path LIMIT 20)""",
     "entries",
 )

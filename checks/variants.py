@@ -167,7 +167,7 @@ def _(t):
 
 @check(
     "j12_prunable_variants",
-    f"""SELECT v.id, v.group_key, coalesce(v.output_relpath, '') AS output_relpath FROM variants v
+    f"""SELECT v.id, v.group_key, coalesce(v.output_relpath, '') AS output_relpath, v.output_relpath IS NOT NULL AS removable FROM variants v
  WHERE v.status IN ('ready', 'failed') AND v.group_key IN (SELECT group_key FROM cleanups WHERE status = 'pending' AND execute_after <= {_NOW})""",
     "variants cleanups",
 )

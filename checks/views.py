@@ -21,8 +21,8 @@ SELECT doc_id + 1 AS id, CAST(substr(source, 4) AS BIGINT) + 1 AS library_id,
  CAST(octet_length(text) AS BIGINT) AS size_bytes, 1700000000000000000 + doc_id AS mtime_ns,
  CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id + 1000 END AS inode, CAST(64 AS BIGINT) AS device,
  doc_id % 17 = 5 AS is_missing, doc_id % 13 = 7 AS needs_hash,
- CASE WHEN doc_id % 13 = 7 AND doc_id % 2 = 0 THEN NULL ELSE 'sha256' END AS hash_algorithm,
- CASE WHEN doc_id % 13 = 7 AND doc_id % 2 = 0 THEN NULL ELSE sha2(text, 256) END AS content_hash_hex,
+ CASE WHEN text IS NULL OR doc_id % 13 = 7 AND doc_id % 2 = 0 THEN NULL ELSE 'sha256' END AS hash_algorithm,
+ CASE WHEN text IS NULL OR doc_id % 13 = 7 AND doc_id % 2 = 0 THEN NULL ELSE sha2(text, 256) END AS content_hash_hex,
  doc_id % 4 AS hash_error_count,
  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE TIMESTAMP '2024-01-16 00:00:00' + (doc_id % 7 - 3) * INTERVAL '1' HOUR END AS hash_retry_after,
  CASE WHEN doc_id % 6 = 1 THEN NULL ELSE concat('claim-', CAST(doc_id % 5 AS STRING)) END AS hash_claim_token,
@@ -170,10 +170,14 @@ class Tables:
 
     @cached_property
     def files(self) -> DataFrame:
-        """With the digest as bytes, as catalogs hold it."""
-        return self._files.withColumn("content_hash", F.unhex("content_hash_hex")).drop(
-            "content_hash_hex"
-        )
+        """With the digest as bytes, as catalogs hold it.
+
+        A digest is there exactly if an algorithm is. Saying so lets the optimizer test that
+        without hashing every text a second time.
+        """
+        digest = F.coalesce(F.unhex("content_hash_hex"), F.lit(b""))
+        digest = F.when(F.col("hash_algorithm").isNotNull(), digest)
+        return self._files.withColumn("content_hash", digest).drop("content_hash_hex")
 
     @cached_property
     def outcomes(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Row
@@ -110,14 +111,31 @@ def list_groups(groups: DataFrame, limit: int | None = None, cursor: str | None
     if cursor:
         groups = groups.filter(_after(decode_group_cursor(cursor)))
     rows = groups.drop("content_hash").orderBy(*group_order()).limit(size + 1).collect()
-    more = len(rows) > size
-    last = rows[size - 1] if more else None
-    token = (
-        encode_group_cursor(GroupCursor(*(last[name] for name in GroupCursor._fields)))
-        if last
-        else None
-    )
-    return Page(rows[:size], token)
+    return Page(rows[:size], _token(rows[size - 1]) if len(rows) > size else None)
+
+
+def _token(row: Row) -> str:
+    return encode_group_cursor(GroupCursor(*(row[name] for name in GroupCursor._fields)))
+
+
+def group_pages(groups: DataFrame, limit: int | None = None, ahead: int = 10) -> Iterator[Page]:
+    """T1 for a whole traversal: the pages `list_groups` would give, `ahead` of them per job.
+
+    The driver holds at most `ahead` pages at a time.
+    """
+    size = page_limit(limit)
+    names = [c for c in groups.columns if c != "content_hash"]
+    cursor = None
+    while True:
+        after = groups if cursor is None else groups.filter(_after(decode_group_cursor(cursor)))
+        rows = after.select(*names).orderBy(*group_order()).limit(ahead * size + 1).collect()
+        for start in range(0, min(max(len(rows), 1), ahead * size), size):
+            more = len(rows) > start + size
+            last = rows[start + size - 1] if more else None
+            cursor = _token(last) if last else None
+            yield Page(rows[start : start + size], cursor)
+        if cursor is None:
+            return
 
 
 MEMBER_COLUMNS = (

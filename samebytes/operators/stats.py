@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from samebytes.functions.paths import library_name
 from samebytes.operators.hashing import saturated_sum
 from samebytes.operators.scale import ordered_slices, slice_prefix
+from samebytes.schemas import LIBRARIES_ROOT
 
 ERROR_SAMPLES = 20
 
@@ -31,13 +32,17 @@ def scan_summary(entries: DataFrame) -> DataFrame:
     return sums.withColumn("status", status)
 
 
-def error_digest(entries: DataFrame, samples: int = ERROR_SAMPLES) -> DataFrame:
+def error_digest(
+    entries: DataFrame, samples: int = ERROR_SAMPLES, libraries_root: str = LIBRARIES_ROOT
+) -> DataFrame:
     """One row with the number of errors and a message made of the first samples.
 
-    Only the first `samples` rows by (library, path) are gathered; the count covers all.
+    Only the first `samples` rows by (library, path) are gathered; the count covers all. Paths
+    are shown below the logical root.
     """
     errors = entries.filter(F.col("kind") == "error")
-    text = F.concat_ws(": ", "relative_path", "error")
+    path = F.concat_ws("/", F.lit(libraries_root), "library", F.nullif("relative_path", F.lit("")))
+    text = F.concat_ws(": ", path, "error")
     # The message carries a fixed number of samples by definition.
     first = errors.orderBy("library", "relative_path", "error").limit(samples)
     picked = first.agg(

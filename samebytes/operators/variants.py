@@ -15,7 +15,13 @@ from samebytes.functions.variants import (
     variant_dimension,
     variant_format,
 )
-from samebytes.operators.scale import TOP_K_ROWS, first_rows, lookup_join, with_position
+from samebytes.operators.scale import (
+    TOP_K_ROWS,
+    first_rows,
+    lookup_join,
+    materialize,
+    with_position,
+)
 from samebytes.schemas import (
     CLEANUP_DELAY_SECONDS,
     CLEANUP_JOBS,
@@ -135,7 +141,9 @@ def admit(
     Requeued variants take a slot without being checked. Nothing leaves the queue within a
     batch, so the free slots go to the first rows by `first_seq`, and the last of these is all
     that the other rows are compared with. A small capacity orders no more rows than it has.
+    The rows are needed twice, so they are written once.
     """
+    matched = materialize(matched)
     active = active_depth(variants).scalar()
     order = ["first_seq", "thumb_key"]
     takers = matched.filter(F.col("outcome").isin("new", "requeued")).select(*order)
@@ -295,11 +303,19 @@ def schedule_cleanups(
 
 
 def prunable_variants(variants: DataFrame, groups: DataFrame) -> DataFrame:
-    """Finished variants of the given groups, with the output to remove."""
+    """Finished variants of the given groups, with the output to remove.
+
+    `removable` is false where there is no output or its path is not safe to follow.
+    """
     keys = groups.select(strip("group_key").alias("group_key")).distinct()
     done = variants.filter(F.col("status").isin(*TERMINAL))
     return lookup_join(done, keys, "group_key", "left_semi").select(
-        "id", "group_key", F.coalesce("output_relpath", F.lit("")).alias("output_relpath")
+        "id",
+        "group_key",
+        F.coalesce("output_relpath", F.lit("")).alias("output_relpath"),
+        (~is_blank("output_relpath") & safe_relative_path("output_relpath")["ok"]).alias(
+            "removable"
+        ),
     )
 
 

@@ -64,6 +64,8 @@ def list_directory(root: str, library: str, relative: str) -> Iterator[tuple[Ent
     yield (library, "directory", _text(relative), None, None, None, None, None), False
     try:
         if os.path.realpath(path, strict=True) != path:
+            if not relative:
+                yield failure(relative, NotADirectoryError("library is not a directory of its own"))
             return
         entries = os.scandir(path)
     except OSError as error:

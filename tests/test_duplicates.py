@@ -67,6 +67,14 @@ def test_full_traversal_has_no_gaps_and_no_repeats(spark):
         if (cursor := page.next_cursor) is None:
             break
     assert seen == expected and len(seen) == 40
+    single = duplicates.list_groups(groups, 7)
+    for size, ahead in ((7, 1), (7, 3), (8, 5), (40, 2), (13, 10)):
+        pages = list(duplicates.group_pages(groups, size, ahead))
+        assert [r.group_key for p in pages for r in p.items] == expected
+        assert [len(p.items) for p in pages] == [size] * (40 // size) + [40 % size] * (40 % size > 0)
+        assert pages[-1].next_cursor is None
+        assert size != 7 or pages[0] == single
+    assert [p.items for p in duplicates.group_pages(groups.limit(0))] == [[]]
     numbered = duplicates.numbered_pages(groups, 7).orderBy("rank").collect()
     assert [r.group_key for r in numbered] == expected
     assert [r.page for r in numbered] == [i // 7 for i in range(40)]

@@ -65,7 +65,7 @@ def test_scan_with_errors_marks_nothing_missing(spark, tmp_path, libraries):
     (libraries / "two" / "d.txt").unlink()
     session = plans.run_scan(store, str(libraries), NOW[1], ["one", "two", "three"])
     assert (session.id, session.status, session.error_count) == (2, "failed", 1)
-    assert session.error_message == "Scan encountered 1 filesystem access errors: : No such file or directory"
+    assert session.error_message == "Scan encountered 1 filesystem access errors: /libraries/three: No such file or directory"
     assert store.read("library_files").filter("is_missing").count() == 0
     # A library that is not walked keeps its files, whatever happened to them.
     plans.run_scan(store, str(libraries), NOW[2], ["one"])

@@ -127,7 +127,7 @@ def test_error_digest_counts_all_and_shows_some(spark):
     df = spark.createDataFrame(rows, "library string, kind string, relative_path string, error string")
     row = stats.error_digest(df).first()
     assert row.error_count == 25 and row.error_message.count(" | ") == 19
-    assert row.error_message.startswith("Scan encountered 25 filesystem access errors: p00: denied | p01")
+    assert row.error_message.startswith("Scan encountered 25 filesystem access errors: /libraries/lib/p00: denied | /libraries/lib/p01")
     none = stats.error_digest(df.filter("kind = 'file'")).first()
     assert tuple(none) == (0, "Scan encountered 0 filesystem access errors")
 

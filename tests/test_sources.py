@@ -72,6 +72,11 @@ def test_unreadable_library_is_an_error_row(spark, tree):
         assert ("other", "deep/er/y") in entries(df, "file")
 
 
+def test_library_that_is_a_link_is_an_error_row(spark, tree):
+    df = filetree.walk_tree(spark, tree, ["linked-library"])
+    assert entries(df, "error") == {("linked-library", "")} and entries(df, "file") == set()
+
+
 def test_directory_that_appears_after_planning_is_walked(tree):
     reader = filetree.FileTreeReader({"path": tree, "splits": "50"})
     parts = reader.partitions()

@@ -130,10 +130,10 @@ def test_queue_metrics(spark):
 
 
 def test_pruning_spares_active_variants(spark):
-    current = table(spark, [(1, "a", "ready", None, "g", "x"), (2, "b", "running", None, "g", None), (3, "c", "failed", None, "g", None), (4, "d", "ready", None, "h", "y"), (5, "e", "ready", None, None, "z")])
+    current = table(spark, [(1, "a", "ready", None, "g", "x"), (2, "b", "running", None, "g", None), (3, "c", "failed", None, "g", None), (6, "f", "ready", None, "g", "../x"), (4, "d", "ready", None, "h", "y"), (5, "e", "ready", None, None, "z")])
     groups = spark.createDataFrame([(" g ",)], "group_key string")
     listed = variants.prunable_variants(current, groups).collect()
-    assert sorted((r.id, r.output_relpath) for r in listed) == [(1, "x"), (3, "")]
+    assert sorted((r.id, r.output_relpath, r.removable) for r in listed) == [(1, "x", True), (3, "", False), (6, "../x", False)]
     assert sorted(r.id for r in variants.prune_variants(current, groups).collect()) == [2, 4, 5]
 
 
