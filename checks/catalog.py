@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from checks.registry import check
 from checks.views import NOW
 from samebytes import schemas as S
-from samebytes.operators import conform, duplicates, hashing, merge, scale, stats
-from samebytes.operators.scale import lookup_join, materialize, shared_folder
+from samebytes.operators import conform, duplicates, hashing, merge, stats
+from samebytes.operators.scale import materialize, shared_folder
 from samebytes.sources import content, filetree, ship
 from samebytes.sources.store import SnapshotStore
 
@@ -37,9 +37,9 @@ def document_tree(t) -> str:
     """
     folder = shared_folder(t.spark).removeprefix("file:")
     root = os.path.join(folder, f"tree-{uuid.uuid5(uuid.NAMESPACE_URL, t.folder).hex}")
-    if os.path.isdir(root):
+    if os.path.exists(f"{root}.done"):
         return root
-    os.makedirs(root)
+    os.makedirs(root, exist_ok=True)
 
     def write(rows):
         for row in rows:
@@ -49,6 +49,7 @@ def document_tree(t) -> str:
                 file.write(row.text.encode("utf-8"))
 
     t.documents.repartition(8).foreachPartition(write)
+    open(f"{root}.done", "w").close()
     return root
 
 

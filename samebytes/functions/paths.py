@@ -58,7 +58,8 @@ def library_name(raw: Column | str) -> Column:
         (name.rlike(r"[/\\]"), "nested"),
         (name.rlike(r"[~$]"), "expansion"),
     )
-    return F.struct(name.alias("name"), checked["ok"].alias("ok"), checked["reason"].alias("reason"))
+    ok, reason = checked["ok"].alias("ok"), checked["reason"].alias("reason")
+    return F.struct(name.alias("name"), ok, reason)
 
 
 def suffix(path: Column | str) -> Column:

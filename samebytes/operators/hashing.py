@@ -50,9 +50,8 @@ def apply_outcomes(
     hashed: digest and hashed stat stored; requeued: new stat stored and hash state dropped;
     missing: marked gone; failed: error stored and retried later.
     """
-    results = outcomes.select(
-        F.col("id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in ("outcome", "digest", "error", *SEEN)]
-    )
+    used = ("id", "outcome", "digest", "error", *SEEN)
+    results = outcomes.select(*[F.col(c).alias(f"_{c}") for c in used])
     joined = lookup_join(catalog, results, F.col("id") == F.col("_id"), "left")
     outcome = F.col("_outcome")
     hashed, requeued = outcome == "hashed", outcome == "requeued"

@@ -184,6 +184,7 @@ def stamp_scanned_roots(roots: DataFrame, scanned: DataFrame, now: Clock) -> Dat
     """Set `last_scanned_at` of the walked libraries after a complete scan."""
     targets = scanned.select(F.col("library_id").alias("id"), F.lit(True).alias("_hit")).distinct()
     joined = lookup_join(roots, targets, "id", "left")
+    stamp = as_timestamp(now)
     for name in ("last_scanned_at", "updated_at"):
-        joined = joined.withColumn(name, F.when(F.col("_hit"), as_timestamp(now)).otherwise(F.col(name)))
+        joined = joined.withColumn(name, F.when(F.col("_hit"), stamp).otherwise(F.col(name)))
     return joined.select(*LIBRARY_ROOTS.fieldNames())

@@ -72,7 +72,8 @@ def rows_not_in(
     known = table.select(*keys)
     if rows.count() <= max_rows:
         # No more keys than rows, so the second broadcast is as small as the first.
-        known = F.broadcast(known.join(F.broadcast(rows.select(*keys)), keys, "left_semi").distinct())
+        wanted = F.broadcast(rows.select(*keys))
+        known = F.broadcast(known.join(wanted, keys, "left_semi").distinct())
     return rows.join(known, keys, "left_anti")
 
 

@@ -41,7 +41,8 @@ def error_digest(
     are shown below the logical root.
     """
     errors = entries.filter(F.col("kind") == "error")
-    path = F.concat_ws("/", F.lit(libraries_root), "library", F.nullif("relative_path", F.lit("")))
+    below = F.nullif("relative_path", F.lit(""))
+    path = F.concat_ws("/", F.lit(libraries_root), "library", below)
     text = F.concat_ws(": ", path, "error")
     # The message carries a fixed number of samples by definition.
     first = errors.orderBy("library", "relative_path", "error").limit(samples)

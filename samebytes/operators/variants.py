@@ -321,7 +321,8 @@ def prunable_variants(variants: DataFrame, groups: DataFrame) -> DataFrame:
 
 def prune_variants(variants: DataFrame, groups: DataFrame) -> DataFrame:
     """The variant table without them; waiting and running rows stay."""
-    keys = groups.select(strip("group_key").alias("group_key"), F.lit(True).alias("_hit")).distinct()
+    hit = F.lit(True).alias("_hit")
+    keys = groups.select(strip("group_key").alias("group_key"), hit).distinct()
     joined = lookup_join(variants, keys, "group_key", "left")
     gone = F.col("_hit").isNotNull() & F.col("status").isin(*TERMINAL)
     return joined.filter(~gone).select(*variants.columns)

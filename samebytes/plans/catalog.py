@@ -41,7 +41,8 @@ def run_scan(
     if targets.count() != len({name.strip() for name in names}):
         raise ValueError("a library name is not valid")
 
-    found = targets.select("name", F.concat(F.lit(libraries_root.rstrip("/") + "/"), "name").alias("root_path"))
+    base = F.lit(libraries_root.rstrip("/") + "/")
+    found = targets.select("name", F.concat(base, "name").alias("root_path"))
     roots = materialize(register_roots(store.read("library_roots"), found, now))
     entries = walk_tree(spark, libraries_root, [row.name for row in targets.collect()])
 

@@ -216,8 +216,10 @@ def walk_tree(
         yield record_batch(rows, TREE_ENTRIES)
 
     # A fixed number of tasks: few short rows may stand for most of the tree.
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    frontier = spark.createDataFrame([(name, "") for name in names], "library string, relative_path string")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(spark.sparkContext.defaultParallelism, partitions)
+    schema = "library string, relative_path string"
+    frontier = spark.createDataFrame([(name, "") for name in names], schema)
     rounds = []
     while True:
         dealt = frontier.repartition(tasks, "library", "relative_path")
