@@ -22,7 +22,7 @@ _WORK = "kind IN ('scan', 'hash')"
 )
 def _(t):
     first = queues.list_jobs(t.jobs)
-    return queues.job_page(t.jobs, cursor=first.next_cursor).select("id", "kind", "status")
+    return queues.job_page(t.jobs, cursor=first.items[-1].id).select("id", "kind", "status")
 
 
 @check(
