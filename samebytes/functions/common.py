@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,8 +23,8 @@ def as_timestamp(now: Column | datetime | str) -> Column:
         now = datetime.fromisoformat(now)
     if now.tzinfo is None:
         now = now.replace(tzinfo=timezone.utc)
-    micros = int(now.timestamp()) * 1_000_000 + now.microsecond
-    return F.timestamp_micros(F.lit(micros))
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    return F.timestamp_micros(F.lit((now - epoch) // timedelta(microseconds=1)))
 
 
 def seconds(value: Column | int) -> Column:

@@ -18,7 +18,7 @@ from samebytes.functions.cursors import (
 )
 from samebytes.functions.hashes import group_key, hash_hex, read_group_key
 from samebytes.functions.predicates import dedup_eligible
-from samebytes.operators.scale import lookup_join, materialize, with_position
+from samebytes.operators.scale import TOP_K_ROWS, lookup_join, materialize, with_position
 
 HOT_GROUP_FILES = 1_000_000
 
@@ -91,7 +91,8 @@ def _after(cursor: GroupCursor) -> Column:
         F.lit(cursor.hash_algorithm),
         F.lit(cursor.content_hash_hex),
     )
-    return here > anchor
+    # The first part follows from the second, but this one reaches the scan of a stored table.
+    return (F.col("file_count") <= cursor.file_count) & (here > anchor)
 
 
 def group_page(groups: DataFrame, limit: int | None = None, cursor: str | None = None) -> DataFrame:
@@ -118,12 +119,15 @@ def _token(row: Row) -> str:
     return encode_group_cursor(GroupCursor(*(row[name] for name in GroupCursor._fields)))
 
 
-def group_pages(groups: DataFrame, limit: int | None = None, ahead: int = 10) -> Iterator[Page]:
+def group_pages(
+    groups: DataFrame, limit: int | None = None, ahead: int | None = None
+) -> Iterator[Page]:
     """T1 for a whole traversal: the pages `list_groups` would give, `ahead` of them per job.
 
-    The driver holds at most `ahead` pages at a time.
+    The driver holds no more than these; by default they have about 10,000 rows.
     """
     size = page_limit(limit)
+    ahead = max(1, TOP_K_ROWS // size) if ahead is None else ahead
     names = [c for c in groups.columns if c != "content_hash"]
     cursor = None
     while True:

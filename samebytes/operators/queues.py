@@ -60,10 +60,11 @@ def has_work(queue: str, table: DataFrame, now: Clock) -> bool:
 def job_page(jobs: DataFrame, limit: int | None = None, cursor: str | None = None) -> DataFrame:
     """Newest jobs first; the cursor is the id of the last job already seen."""
     if cursor:
-        anchor = jobs.filter(F.col("id") == cursor).select("created_at").first()
+        micros = F.unix_micros("created_at").alias("at")
+        anchor = jobs.filter(F.col("id") == cursor).select(micros).first()
         if anchor is None:
             raise InvalidCursor(f"no job has the id {cursor}")
-        at = F.lit(anchor.created_at)
+        at = F.timestamp_micros(F.lit(anchor["at"]))
         jobs = jobs.filter(
             (F.col("created_at") < at) | ((F.col("created_at") == at) & (F.col("id") < cursor))
         )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from samebytes.functions.predicates import Clock
 from samebytes.functions.common import as_timestamp
+from samebytes.functions.cursors import GroupCursor
+from samebytes.functions.predicates import Clock
 from samebytes.operators.duplicates import duplicate_groups
 from samebytes.operators.hashing import apply_outcomes, hash_summary, next_hash_files, with_root
 from samebytes.operators.merge import (
@@ -92,8 +93,9 @@ def run_hash(
 
 
 def publish_groups(store: SnapshotStore) -> DataFrame:
-    """Find duplicate groups once and keep them for paging."""
-    store.publish("duplicate_groups", duplicate_groups(store.read("library_files")))
+    """Find duplicate groups once and keep them for paging, clustered in page order."""
+    groups = duplicate_groups(store.read("library_files"))
+    store.publish("duplicate_groups", groups, cluster_by=list(GroupCursor._fields))
     return store.read("duplicate_groups")
 
 

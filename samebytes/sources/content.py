@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samebytes.schemas import HASH_OUTCOMES, HASH_READ_CHUNK_BYTES
+from samebytes.sources import ship
 from samebytes.sources.rows import record_batch
 
 BYTES_PER_TASK = 8 * 1024**3
@@ -85,6 +86,7 @@ def hash_files(
     large files is spread. Write the result before using it twice: it reads the files.
     """
     _hasher(algorithm)
+    ship(candidates.sparkSession)
     total = candidates.agg(F.coalesce(F.sum(F.col("expected_size") + 4096), F.lit(0))).first()[0]
     parallel = candidates.sparkSession.sparkContext.defaultParallelism
     tasks = max(parallel, -(-int(total) // bytes_per_task))

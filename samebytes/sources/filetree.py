@@ -22,6 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from samebytes.operators.scale import materialize
 from samebytes.schemas import TREE_ENTRIES
+from samebytes.sources import ship
 from samebytes.sources.rows import record_batch
 
 Entry = tuple[str, str, str | None, int | None, int | None, int | None, int | None, str | None]
@@ -170,6 +171,7 @@ class FileTreeDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(FileTreeDataSource)
 
 
@@ -193,6 +195,7 @@ def walk_tree(
     as `pending` rows, which are spread over all tasks in the next round. A library or a
     subtree that holds most of the files is thus shared out after one round.
     """
+    ship(spark)
     names = library_names(root) if libraries is None else sorted(set(libraries))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

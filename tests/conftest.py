@@ -10,14 +10,12 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 from checks.compare import local_session  # noqa: E402
-from samebytes.sources import ship  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session()
     session.sparkContext.setLogLevel("ERROR")
-    ship(session)
     yield session
     session.stop()
 

@@ -68,7 +68,7 @@ def test_full_traversal_has_no_gaps_and_no_repeats(spark):
             break
     assert seen == expected and len(seen) == 40
     single = duplicates.list_groups(groups, 7)
-    for size, ahead in ((7, 1), (7, 3), (8, 5), (40, 2), (13, 10)):
+    for size, ahead in ((7, 1), (7, 3), (8, 5), (40, 2), (13, 10), (6, None)):
         pages = list(duplicates.group_pages(groups, size, ahead))
         assert [r.group_key for p in pages for r in p.items] == expected
         assert [len(p.items) for p in pages] == [size] * (40 // size) + [40 % size] * (40 % size > 0)

@@ -1,3 +1,7 @@
+import posixpath
+import random
+from pathlib import PurePosixPath
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +44,41 @@ def test_lexical_normalisation(spark):
     assert column(spark, list(cases), "string", paths.normalize_lexically) == list(cases.values())
 
 
+def test_random_paths_agree_with_the_standard_library(spark):
+    rng = random.Random(3)
+    parts = ["a", "b.Jpg", "..", ".", "", "c.tar.gz", ".hid", "x.", "é.MP4", "..."]
+    made = ["/".join(rng.choice(parts) for _ in range(rng.randint(1, 7))) for _ in range(600)]
+    absolute = ["/" + path for path in made]
+    normal = column(spark, absolute, "string", paths.normalize_lexically)
+    assert normal == ["/" + posixpath.normpath(path).lstrip("/") for path in absolute]
+    safe = column(spark, made, "string", paths.safe_relative_path)
+    assert [r.ok for r in safe] == [not p.startswith("/") and ".." not in PurePosixPath(p).parts for p in made]
+    named = [p for p in made if PurePosixPath(p).name not in ("", "..", "...")]
+    assert column(spark, named, "string", paths.suffix) == [PurePosixPath(p).suffix.lower() for p in named]
+
+
+def test_random_group_keys_are_read_the_same_way_everywhere(spark):
+    rng = random.Random(4)
+    made = []
+    for _ in range(300):
+        digest = "".join(rng.choice("0123456789abcdefABCDEF") for _ in range(rng.choice([64, 64, 64, 62, 65])))
+        if rng.random() < 0.2:
+            digest = digest[:-1] + rng.choice("gz :")
+        made.append(rng.choice(["sha256:", "BLAKE3:", " sha256:", "md5:", "sha256", ""]) + digest + rng.choice(["", " ", "\n"]))
+    for key, row in zip(made, column(spark, made, "string", hashes.parse_group_key)):
+        try:
+            algorithm, digest = hashes.read_group_key(key)
+        except ValueError:
+            assert not row.ok, key
+        else:
+            assert row.ok and (row.algorithm, bytes(row.content_hash)) == (algorithm, digest), key
+
+
+def test_clock_before_1970(spark):
+    df = spark.range(1).select(F.unix_micros(common.as_timestamp("1969-12-31 23:59:59.500000")))
+    assert df.first()[0] == -500_000
+
+
 def test_containment_is_by_component(spark):
     cases = {
         "/libraries": True,
