@@ -172,7 +172,7 @@ def group_members(
     """
     keys = ["hash_algorithm", "content_hash"]
     files = catalog.filter(dedup_eligible())
-    wanted = materialize(groups.select(*keys, "group_key", "file_count"))
+    wanted = materialize(groups.select(*keys, "file_count"))
     is_hot = F.col("file_count") >= hot_files
     hot = wanted.filter(is_hot).drop("file_count")
     cold = wanted.filter(~is_hot).drop("file_count")
@@ -181,6 +181,7 @@ def group_members(
     else:
         rest = lookup_join(files, hot.select(*keys), keys, "left_anti")
         members = lookup_join(files, hot, keys).unionByName(rest.join(cold, keys))
+    members = members.withColumn("group_key", group_key(*keys))
     return _with_library(members, roots).select("group_key", *MEMBER_COLUMNS)
 
 
@@ -225,6 +226,16 @@ def list_group_files(
 
 
 def numbered_pages(groups: DataFrame, page_size: int) -> DataFrame:
-    """The whole traversal at once; `page` and `rank` start at 0."""
-    placed = with_position(groups, group_order(), "rank")
-    return placed.withColumn("page", F.call_function("div", F.col("rank"), F.lit(page_size)))
+    """The whole traversal at once; `page` and `rank` start at 0.
+
+    Digests are ranked as bytes, which sort like their hex text; the text is added afterwards.
+    """
+    *sizes, _ = group_order()
+    slim = groups.drop("group_key", "content_hash_hex")
+    placed = with_position(slim, [*sizes, F.asc("content_hash")], "rank")
+    return placed.select(
+        group_key("hash_algorithm", "content_hash").alias("group_key"),
+        hash_hex("content_hash").alias("content_hash_hex"),
+        *placed.columns,
+        F.call_function("div", F.col("rank"), F.lit(page_size)).alias("page"),
+    )

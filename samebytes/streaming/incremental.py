@@ -99,9 +99,9 @@ def running_groups(files: DataFrame) -> DataFrame:
 
     A group shows up when its second file arrives. State grows with the number of contents.
     """
-    return (
+    totals = (
         files.filter(dedup_eligible())
-        .groupBy(group_key("hash_algorithm", "content_hash").alias("group_key"))
+        .groupBy("hash_algorithm", "content_hash")
         .agg(
             F.count(F.lit(1)).alias("file_count"),
             F.sum("size_bytes").alias("total_size_bytes"),
@@ -110,6 +110,8 @@ def running_groups(files: DataFrame) -> DataFrame:
         )
         .filter(F.col("file_count") > 1)
     )
+    key = group_key("hash_algorithm", "content_hash").alias("group_key")
+    return totals.select(key, *totals.columns[2:])
 
 
 def latest_groups(updates: DataFrame) -> DataFrame:
