@@ -26,13 +26,20 @@ def merge_stream(
     """Every micro-batch of scanned files becomes a new catalog version.
 
     A file seen twice in a batch counts once, with its newest modification time. Missing
-    files are left to a complete scan, since no batch is one. The version of batch n is
-    written once: a replayed batch finds it in `merged_batches` and is skipped.
+    files are left to a complete scan, since no batch is one. Every batch writes the catalog
+    anew, so let triggers gather much.
+
+    A batch that is replayed after a crash is found in `merged_batches` and skipped. Batch
+    numbers belong to a checkpoint: a stream with a new one merges everything it reads.
     """
+    log = "stream string, batch long"
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        merged = store.read("merged_batches") if store.current_version("merged_batches") else None
-        if merged is not None and not merged.filter(F.col("batch") >= batch_id).isEmpty():
+        spark = batch.sparkSession
+        known = store.current_version("merged_batches") > 0
+        merged = store.read("merged_batches") if known else spark.createDataFrame([], log)
+        mine = F.col("stream") == checkpoint
+        if not merged.filter(mine & (F.col("batch") >= batch_id)).isEmpty():
             return
         newest = batch.groupBy(*KEY).agg(
             F.max_by(F.struct(*SEEN), F.struct("mtime_ns", "size_bytes")).alias("s")
@@ -46,8 +53,8 @@ def merge_stream(
         )
         # A crash between the two writes repeats the merge, which then changes nothing more.
         store.publish("library_files", after.drop("change"))
-        done = batch.sparkSession.createDataFrame([(batch_id,)], "batch long")
-        store.publish("merged_batches", done)
+        done = spark.createDataFrame([(checkpoint, batch_id)], log)
+        store.publish("merged_batches", merged.filter(~mine).unionByName(done).coalesce(1))
 
     return (
         scans.writeStream.foreachBatch(merge)

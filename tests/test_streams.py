@@ -28,9 +28,15 @@ def test_drops_are_merged_and_replays_change_nothing(spark, tmp_path):
     drop(spark, drops, [(1, "b", 9, 2, None, None), (2, "c", 1, 1, None, None)], SCAN)
     assert run("one") == {"a": (1, 2), "b": (2, 9), "c": (3, 1)}
     versions = store.current_version("library_files")
-    # A lost checkpoint replays batches that were merged already.
-    assert run("two") == {"a": (1, 2), "b": (2, 9), "c": (3, 1)}
+    # Without its commit the last batch is run again, and skipped.
+    (tmp_path / "one" / "commits" / "1").unlink()
+    (tmp_path / "one" / "commits" / ".1.crc").unlink(missing_ok=True)
+    assert run("one") == {"a": (1, 2), "b": (2, 9), "c": (3, 1)}
     assert store.current_version("library_files") == versions
+    # A new checkpoint numbers its batches anew; nothing it brings may be skipped.
+    drop(spark, drops, [(2, "d", 4, 4, None, None)], SCAN)
+    assert run("two") == {"a": (1, 2), "b": (2, 9), "c": (3, 1), "d": (4, 4)}
+    assert store.current_version("library_files") == versions + 3
 
 
 def collect(spark, query, folder, mode="append"):
