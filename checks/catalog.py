@@ -171,8 +171,9 @@ _MERGE = f""", joined AS (SELECT f.*, s.library_id AS n_library, s.relative_path
 )
 def _(t):
     catalog = conform.conform(t.files, "library_files").withColumn("updated_at", F.timestamp_micros(F.lit(0)))
-    ids = merge.assign_ids(catalog, t.scan)
-    merged = merge.merge_scan(catalog, t.scan, t.scanned, scan_id=77, now=NOW, new_ids=ids)
+    scan = materialize(t.scan)
+    ids = merge.assign_ids(catalog, scan)
+    merged = merge.merge_scan(catalog, scan, t.scanned, scan_id=77, now=NOW, new_ids=ids)
     return merged.select(
         "id", "library_id", "relative_path", "size_bytes", "mtime_ns", "inode", "is_missing",
         "needs_hash", "last_seen_scan_id", "hash_algorithm",

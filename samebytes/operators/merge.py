@@ -9,6 +9,7 @@ from samebytes.functions.common import as_timestamp
 from samebytes.functions.predicates import Clock, metadata_changed
 from samebytes.operators.scale import (
     BROADCAST_ROWS,
+    fits_broadcast,
     lookup_join,
     rows_not_in,
     with_position,
@@ -89,11 +90,11 @@ def merge_scan(
     missing. `new_ids` comes from `assign_ids`; without it inserted rows keep a NULL id.
 
     The join runs on (library_id, relative_path), which is unique, so no partition is hot. A
-    catalog bucketed on that key is not shuffled, and neither is any catalog when the scan has
-    at most `small_rows` rows and their ids, as the batches of a stream do.
+    catalog bucketed on that key is not shuffled, and neither is any catalog when the scan is
+    small and has its ids, as the batches of a stream do.
     """
     scan = scan.select(*KEY, *SEEN)
-    small = new_ids is not None and scan.count() <= small_rows
+    small = new_ids is not None and fits_broadcast(scan, small_rows)
     if new_ids is None:
         scan = scan.withColumn("_id", F.lit(None).cast("bigint"))
     else:

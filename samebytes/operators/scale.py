@@ -3,7 +3,7 @@
 * `ordered_slices` range-partitions rows by a total order and freezes the result, so that a
   position, a running sum or a look at the previous row needs only one row per slice from
   the rest of the table. No step puts all rows, or all rows of one key, into one task.
-* `lookup_join` broadcasts only a side whose row count was checked.
+* `lookup_join` broadcasts only a side whose rows and bytes were measured.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 TOP_K_ROWS = 10_000
 
 
@@ -44,6 +45,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a table is small, by its real rows and bytes, measured in one aggregation."""
+    text = F.lit(0).cast("bigint")
+    for field in df.schema:
+        if field.dataType.typeName() in ("string", "binary"):
+            text = text + F.coalesce(F.octet_length(field.name), F.lit(0))
+    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
+    return rows <= max_rows and size + 16 * rows * len(df.columns) <= BROADCAST_BYTES
+
+
 def lookup_join(
     big: DataFrame,
     small: DataFrame,
@@ -53,10 +64,10 @@ def lookup_join(
 ) -> DataFrame:
     """Join with a table that is usually small.
 
-    The right side is broadcast only when a count shows at most `max_rows` rows. Beyond that it
-    is an ordinary shuffle join, where adaptive execution splits skewed keys.
+    The right side is broadcast only when it is measured to be small. Otherwise this is an
+    ordinary shuffle join, where adaptive execution splits skewed keys.
     """
-    if small.count() <= max_rows:
+    if fits_broadcast(small, max_rows):
         small = F.broadcast(small)
     return big.join(small, on, how)
 
@@ -66,11 +77,11 @@ def rows_not_in(
 ) -> DataFrame:
     """Rows whose key the table does not have.
 
-    At most `max_rows` rows are looked up in place, so that a big table is not shuffled for a
-    few of them; otherwise it is an ordinary anti join.
+    Rows measured to be few are looked up in place, so that a big table is not shuffled for
+    them; otherwise it is an ordinary anti join.
     """
     known = table.select(*keys)
-    if rows.count() <= max_rows:
+    if fits_broadcast(rows.select(*keys), max_rows):
         # No more keys than rows, so the second broadcast is as small as the first.
         wanted = F.broadcast(rows.select(*keys))
         known = F.broadcast(known.join(wanted, keys, "left_semi").distinct())

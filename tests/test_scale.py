@@ -42,6 +42,14 @@ def test_previous_row_over_slices(spark, many_slices, seed):
     assert {r.i: r.before for r in found} == expected
 
 
+def test_wide_rows_do_not_fit_a_broadcast(spark, monkeypatch):
+    df = spark.range(100).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.lit(None).cast("binary").alias("b"))
+    assert scale.fits_broadcast(df) and not scale.fits_broadcast(df, 99)
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 100_000)
+    assert not scale.fits_broadcast(df) and scale.fits_broadcast(df.select("id", "b"))
+    assert scale.fits_broadcast(df.limit(0))
+
+
 def test_lookup_join_without_broadcast_gives_the_same(spark):
     big = spark.range(1000).select((F.col("id") % 10).alias("k"), "id")
     small = spark.range(5).select(F.col("id").alias("k"))
