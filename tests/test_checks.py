@@ -8,7 +8,7 @@ from checks.compare import compare
 FOLDER = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_query_agrees_with_sql(spark, name):
     verdict = compare(spark, FOLDER, entry.queries()[name], entry.oracle_sql()[name])
     assert verdict.startswith("ok"), verdict
@@ -21,7 +21,7 @@ def test_entry_returns_a_page(spark):
 
 
 def test_every_operator_of_the_inventory_has_a_query():
-    ids = {name.split("_")[0] for name in entry.queries()}
+    ids = {name.split("_")[0] for name in entry.QUERIES}
     expected = {f"s{i}" for i in range(1, 7)} | {f"p{i}" for i in range(1, 11)}
     expected |= {f"f{i}" for i in range(1, 25)} - {"f14", "f20"}
     expected |= {f"j{i}" for i in range(1, 13)} | {f"a{i}" for i in range(1, 13)}
