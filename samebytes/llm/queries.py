@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samebytes.llm import chat, pii, urls
+from samebytes.llm import chat, decontamination, near_duplicates, pii, urls
 from samebytes.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,39 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query(
+    "op2_setsketch_near_duplicates",
+    r"""
+WITH RECURSIVE words AS (
+ SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+ SELECT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) END AS s FROM words),
+grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pairs AS (
+ SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+ SELECT a, b FROM pairs JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * common >= 80 * (len(x.s) + len(y.s) - common)),
+sides AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, sides.b FROM reach JOIN sides ON reach.b = sides.a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
+FROM sets JOIN reach ON reach.a = doc_id GROUP BY doc_id, s""",
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near-duplicates over two-word shingles, with exact copies as one class."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_duplicates.near_duplicates(docs, size=2, percent=80)
+
+
+@query("op10_cgk_decontamination")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the benchmark items of which it holds a passage."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.find_passages(docs, table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        (F.size("passages") > 0).alias("contaminated"),
+        F.array_sort(F.array_distinct(F.transform("passages", lambda p: p["item"]))).alias("item_ids"),
+        F.array_min(F.transform("passages", lambda p: p["distance"])).alias("least_distance"),
+    )
