@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samebytes.llm import chat, decontamination, near_duplicates, pii, urls
+from samebytes.llm import (
+    chat,
+    decontamination,
+    embeddings,
+    language,
+    mixing,
+    near_duplicates,
+    pii,
+    quality,
+    toxicity,
+    urls,
+)
 from samebytes.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +190,44 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.array_sort(F.array_distinct(F.transform("passages", lambda p: p["item"]))).alias("item_ids"),
         F.array_min(F.transform("passages", lambda p: p["distance"])).alias("least_distance"),
     )
+
+
+@query("op1_nnpu_toxicity")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from two of three folds."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learn_toxicity(docs, table(spark, folder, "labels"))
+    held_out = (fold(F.col("doc_id"), 3) == toxicity.HELD_OUT).alias("held_out")
+    return toxicity.score_toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+@query("op3_hierarchical_quality")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document from its text, its source and the language within its source."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source", "lang")
+    scored = quality.score_quality(docs, table(spark, folder, "labels"))
+    return scored.select("doc_id", "text_score", "site_score", "quality_score", "accepted")
+
+
+@query("op4_temperature_mixing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed by source to a target entropy, at a budget of all tokens."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.mix_sources(docs).drop("text")
+
+
+@query("op5_subword_language")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from four of five folds."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = language.identify_language(docs, language.learn_languages(docs))
+    held_out = (fold(F.col("doc_id"), 5) == language.HELD_OUT).alias("held_out")
+    return found.select(
+        "doc_id", held_out, "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted")
+    )
+
+
+@query("op9_lattice_near_vectors")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Components and links of near-equal embeddings within each label."""
+    return embeddings.near_vectors(table(spark, folder, "embeddings"))
