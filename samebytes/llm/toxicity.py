@@ -7,8 +7,9 @@ and unlabelled (U) documents, the risk of a classifier g is
     p * P[l(g)] + max(0, U[l(-g)] - p * P[l(-g)])
 
 where the second term estimates the risk on the negatives. It is never negative for the true
-classifier; where a batch drives it below zero, the classifier has begun to memorise, and the
-step goes back up that term instead.
+classifier; where a step drives it below zero, the classifier has begun to memorise, and the
+next step goes back up that term instead. Steps are taken over the whole samples: in small batches
+the number of hidden positives varies so much that the term is below zero by chance.
 
 The classifier is linear over hashed features that are present or not: words, and beginnings of
 words that at least one, two, four or eight different words of the text share. So one insult in a
@@ -102,8 +103,8 @@ def _matrix(rows: list[np.ndarray], buckets: np.ndarray) -> np.ndarray:
 
 
 def train(
-    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, batch: int = 512,
-    rate: float = 0.02, ridge: float = 1e-4, slack: float = 0.0, seed: int = 11,
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 500,
+    rate: float = 0.02, ridge: float = 1e-4,
 ) -> Classifier:
     """Minimise the non-negative risk with logistic loss by Adam.
 
@@ -115,32 +116,26 @@ def train(
     if not positive or not unlabelled or prior == 0 or not len(buckets):
         return Classifier(buckets[:0], np.empty(0), start)
     p, u = _matrix(positive, buckets), _matrix(unlabelled, buckets)
-    random = np.random.default_rng(seed)
     weights = np.zeros(len(buckets) + 1)
     weights[-1] = start
-    first, second, step = np.zeros_like(weights), np.zeros_like(weights), 0
-    total = epochs * -(-len(u) // batch)
-    for _ in range(epochs):
-        order = random.permutation(len(u))
-        for at in range(0, len(u), batch):
-            xu = u[order[at : at + batch]]
-            xp = p[random.integers(0, len(p), min(batch, len(p)))]
-            gp, gu = xp @ weights[:-1] + weights[-1], xu @ weights[:-1] + weights[-1]
-            sp, su = sigmoid(gp), sigmoid(gu)
-            # Loss of calling x negative is log(1 + e^g), its slope the sigmoid.
-            negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-            down_u, down_p = su / len(su), -prior * sp / len(sp)
-            if negative >= -slack:
-                slope_u, slope_p = down_u, down_p + prior * (sp - 1) / len(sp)
-            else:
-                slope_u, slope_p = -down_u, -down_p
-            gradient = np.append(xu.T @ slope_u + xp.T @ slope_p, slope_u.sum() + slope_p.sum())
-            gradient[:-1] += ridge * weights[:-1]
-            step += 1
-            first = 0.9 * first + 0.1 * gradient
-            second = 0.999 * second + 0.001 * gradient**2
-            speed = rate * (1 - step / (total + 1))
-            weights -= speed * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    for step in range(1, steps + 1):
+        narrow = weights[:-1].astype(np.float32)
+        gp, gu = p @ narrow + weights[-1], u @ narrow + weights[-1]
+        sp, su = sigmoid(gp), sigmoid(gu)
+        # Loss of calling x negative is log(1 + e^g), its slope the sigmoid.
+        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        down_u, down_p = su / len(su), -prior * sp / len(sp)
+        if negative >= 0:
+            slope_u, slope_p = down_u, down_p + prior * (sp - 1) / len(sp)
+        else:
+            slope_u, slope_p = -down_u, -down_p
+        inner = u.T @ slope_u.astype(np.float32) + p.T @ slope_p.astype(np.float32)
+        gradient = np.append(inner + ridge * weights[:-1], slope_u.sum() + slope_p.sum())
+        first = 0.9 * first + 0.1 * gradient
+        second = 0.999 * second + 0.001 * gradient**2
+        speed = rate * (1 - (step - 1) / steps)
+        weights -= speed * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
     return Classifier(buckets, weights[:-1], float(weights[-1]))
 
 
