@@ -227,7 +227,22 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op9_lattice_near_vectors")
+@query(
+    "op9_lattice_near_vectors",
+    """
+WITH RECURSIVE vectors AS (
+ SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+ WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+ SELECT x.vec_id AS a, y.vec_id AS b FROM vectors x JOIN vectors y ON x.label = y.label AND x.vec_id <> y.vec_id
+ WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+roots AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN roots ON roots.a = vec_id LEFT JOIN counts ON counts.a = vec_id""",
+)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Components and links of near-equal embeddings within each label."""
     return embeddings.near_vectors(table(spark, folder, "embeddings"))
