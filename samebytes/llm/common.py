@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samebytes.operators.scale import materialize
+from samebytes.operators.scale import materialize, shared_folder
 from samebytes.sources import ship
 
-__all__ = ["fold", "hash_share", "materialize", "ship", "spread", "table", "without"]
+__all__ = ["fold", "hash_share", "materialize", "ship", "spread", "table", "without", "Workspace"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -37,3 +39,28 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def without(df: DataFrame, *names: str) -> list[str]:
     """The columns but some, for passing extra columns through."""
     return [c for c in df.columns if c not in names]
+
+
+class Workspace:
+    """Tables written to the shared folder by a loop, which drops them as it goes on.
+
+    A checkpoint keeps the size estimate of its plan, and joins multiply estimates: in a loop of joins
+    they grow without bound, and so does the time that planning takes. A table that is read again
+    has its real size.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/loop-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Remove all tables; what is needed further has to be materialised before."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samebytes.llm.common import materialize
+from samebytes.llm.common import Workspace, materialize
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
     """Smallest neighbour of every vertex `u`."""
-    return materialize(edges.groupBy("u").agg(F.min("v").alias("m")))
+    return edges.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -32,19 +32,20 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ignored, and no link gives an empty table.
     """
     u, v = F.greatest(a, b), F.least(a, b)
-    edges = materialize(
+    tables = Workspace(links.sparkSession)
+    edges = tables.write(
         links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(u.alias("u"), v.alias("v")).distinct()
     )
     mark = _mark(edges)
     while mark[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialize(
-            both.filter("v > u").join(_smallest(both), "u")
+        large = tables.write(
+            both.filter("v > u").join(tables.write(_smallest(both)), "u")
             .select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         )
-        near = _smallest(large)
-        edges = materialize(
+        near = tables.write(_smallest(large))
+        edges = tables.write(
             large.join(near, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(near.select("u", F.col("m").alias("v"))).distinct()
         )
@@ -52,4 +53,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if mark == before:
             break
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-    return materialize(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
+    found = materialize(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
+    tables.drop()
+    return found

@@ -11,9 +11,12 @@ Bands of registers are bucketed. Candidates of a bucket are not all of its pairs
 2. Every class is compared with the smallest leader of its buckets, one candidate per class.
 3. In buckets that still hold several components, the classes outside the bucket's main
    component are compared with one member of it per bucket.
-4. In buckets that still hold several components, the classes outside the main component are
-   compared with every member of another component. After this step no candidate of any bucket is
-   left untested but those within one component, where a link changes nothing.
+4. In buckets that still hold several components, no candidate may be left open but those within
+   one component, where a link changes nothing. Jaccard distance is a metric, and the exact
+   similarity of every class in such a bucket to a central member of the main component is
+   known, so most classes that met the component by chance are ruled out without a comparison.
+   The others are compared with all members in blocks, inside the tasks, and only links are
+   returned. Classes outside the main component that met each other are compared as pairs.
 
 A candidate is first estimated jointly from both sketches by maximum likelihood and goes if its
 estimate is five deviations below the limit. The rest is confirmed on the full sets.
@@ -40,6 +43,9 @@ REGISTERS = BANDS * ROWS
 #: Base, rate and number of values of a register of two bytes.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 
+#: Shingles of a block of step 4.
+BLOCK_SHINGLES = 8192
+
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {upper: upper + 32 for upper in range(65, 91)}
 _MASK = (1 << 64) - 1
@@ -197,22 +203,48 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return fitting.filter(estimate("r_a", "r_b", "n_a", "n_b") >= floor).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the limit."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs with the size of the intersection (`common`) and of the union (`all`) of their full sets."""
 
-    @F.pandas_udf("boolean")
-    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
+    @F.pandas_udf("struct<common:bigint,all:bigint>")
+    def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        rows = []
         for x, y in zip(a, b, strict=True):
             left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            common = len(left) + len(right) - len(np.union1d(left, right))
-            out.append(100 * common >= percent * (len(left) + len(right) - common))
-        return pd.Series(out, dtype=bool)
+            union = len(np.union1d(left, right))
+            rows.append((len(left) + len(right) - union, union))
+        return pd.DataFrame(rows, columns=["common", "all"])
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b"))
     joined = pairs.join(left, "a").join(right, "b")
-    return joined.filter(linked("s_a", "s_b")).select("a", "b")
+    return joined.withColumn("c", compare("s_a", "s_b")).select("a", "b", "c.common", "c.all")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose full sets reach the limit."""
+    return _compared(pairs, sets).filter(100 * F.col("common") >= percent * F.col("all")).select("a", "b")
+
+
+def _near_pivot(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of mixed buckets with their similarity `s` to the pivot of the bucket's main component.
+
+    The pivot is the member that occurs in most of the buckets.
+    """
+    often = mixed.groupBy("component", "id").agg(F.count(F.lit(1)).alias("times"))
+    pivots = materialize(
+        often.groupBy("component").agg(F.max(F.struct("times", (-F.col("id")).alias("last")))["last"].alias("last"))
+        .select(F.col("component").alias("main"), (-F.col("last")).alias("b"))
+    )
+    wanted = materialize(mixed.select(F.col("id").alias("a"), "main").distinct())
+    pairs = materialize(wanted.join(pivots, "main"))
+    # Where one id has several texts, the range of its similarities counts.
+    ratio = F.col("common") / F.col("all")
+    known = _compared(pairs.select("a", "b").distinct(), sets).groupBy("a", "b").agg(
+        F.min(ratio).alias("low"), F.max(ratio).alias("high")
+    )
+    near = materialize(pairs.join(materialize(known), ["a", "b"]).select(F.col("a").alias("id"), "main", "low", "high"))
+    return materialize(mixed.join(near, ["id", "main"]))
 
 
 def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
@@ -230,6 +262,46 @@ def _mixed(members: DataFrame, components: DataFrame) -> DataFrame:
     return materialize(tagged.join(buckets, "key"))
 
 
+def _linked_in_blocks(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the classes outside a main component that are near it, and all that is near it.
+
+    Both sides are dealt into blocks of about `BLOCK_SHINGLES`, and a task compares one block with
+    one block. What is sent grows with the number of blocks, not of pairs.
+    """
+    near = materialize(
+        mixed.filter("inside OR near").select("main", "id", "component", "inside", "n_shingles").distinct()
+    )
+    asking = near.filter("NOT inside")
+    blocks = lambda rows, name: rows.groupBy("main").agg(
+        F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias(name)
+    )
+    grid = materialize(blocks(near, "columns").join(blocks(asking, "rows"), "main"))
+    place = lambda count: F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    asked = near.join(grid, "main").select("main", every("rows").alias("row"), place("columns").alias("column"), "id", "component", F.lit(False).alias("asks"))
+    asks = asking.join(grid, "main").select("main", place("rows").alias("row"), every("columns").alias("column"), "id", "component", F.lit(True).alias("asks"))
+    dealt = asked.unionByName(asks).join(sets, "id")
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        data, queries = group[~group.asks], group[group.asks]
+        out: list[tuple[int, int]] = []
+        if len(data) and len(queries):
+            rows = [np.frombuffer(s, np.uint64) for s in data.shingles]
+            flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+            begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            ids, components = data.id.to_numpy(), data.component.to_numpy()
+            for id_, component, shingles in zip(queries.id, queries.component, queries.shingles, strict=True):
+                own = np.frombuffer(shingles, np.uint64)
+                where = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                common = np.add.reduceat((own[where] == flat).astype(np.int64), begins)
+                hit = (100 * common >= percent * (sizes + len(own) - common)) & (components != component)
+                out += [(id_, other) for other in ids[hit]]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    kind = near.schema["id"].dataType.simpleString()
+    return dealt.groupBy("main", "row", "column").applyInPandas(compare, f"a {kind}, b {kind}")
+
+
 def near_duplicates(
     docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -280,18 +352,28 @@ def near_duplicates(
     found = materialize(found.unionByName(links(outside.join(materialize(chosen), "key").select(F.col("id").alias("a"), "b"))))
     components = connected_components(found)
     mixed = _mixed(mixed.select("key", "id", "n_shingles"), components)
-    outside = mixed.filter("component != main").select(
-        "key", F.col("id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), "main"
-    )
-    inside = mixed.select(
-        "key", F.col("id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b")
+    mixed = _near_pivot(mixed, sets)
+    slack = 1 - percent / 100 + 1e-9
+    least = materialize(mixed.filter("component = main").groupBy("main").agg(F.min("low").alias("least")))
+    mixed = materialize(
+        mixed.join(least, "main").withColumn("inside", F.col("component") == F.col("main"))
+        .withColumn("near", F.col("high") >= F.col("least") - slack).drop("least")
     )
-    rest = outside.join(inside, "key").filter(
-        (F.col("c_a") != F.col("c_b"))
-        & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    found = found.unionByName(materialize(_linked_in_blocks(mixed, sets, percent)))
+
+    def side(name: str) -> DataFrame:
+        columns = ("id", "n_shingles", "component", "low", "high", "near")
+        return mixed.filter("NOT inside").select("key", *[F.col(c).alias(f"{c}_{name}") for c in columns])
+
+    apart = F.greatest(F.col("low_a") - F.col("high_b"), F.col("low_b") - F.col("high_a"))
+    rest = side("a").join(side("b"), "key").filter(
+        (F.col("id_a") < F.col("id_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & ~(F.col("near_a") & F.col("near_b"))
+        & (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+        & (apart <= slack)
     )
-    found = found.unionByName(links(rest.select("a", "b")))
+    found = found.unionByName(links(rest.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))))
     # One id with several texts stands in several classes; all of them are one document.
     several = usable.groupBy("id").agg(
         F.min(F.xxhash64("digest")).alias("least"), F.max(F.xxhash64("digest")).alias("most")
