@@ -42,8 +42,19 @@ def typed(name: str, value: object) -> Column:
     return F.lit(value).cast(LIBRARY_FILES[name].dataType)
 
 
+def newest_per_key(scan: DataFrame) -> DataFrame:
+    """One row per file: of several, the one with the newest modification time, then the largest."""
+    last = F.max_by(F.struct(*SEEN), F.struct("mtime_ns", "size_bytes", "inode", "device"))
+    return scan.groupBy(*KEY).agg(last.alias("_last")).select(*KEY, "_last.*")
+
+
 def _joined(
-    catalog: DataFrame, scan: DataFrame, scanned: DataFrame, complete: bool, small: bool = False
+    catalog: DataFrame,
+    scan: DataFrame,
+    scanned: DataFrame,
+    complete: bool,
+    small: bool = False,
+    small_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Catalog and scan side by side (`o_`, `n_`) with the kind of change per file."""
     old = catalog.select(*[F.col(c).alias(f"o_{c}") for c in catalog.columns])
@@ -52,10 +63,13 @@ def _joined(
     new = new.withColumn("_new", F.lit(True))
     same = [F.col(f"o_{k}") == F.col(f"n_{k}") for k in KEY]
     if small:
-        # Known files look up the scan; files with a fresh id are all the others.
+        # Known files look up the scan; all others are new, whether or not they have an id.
         known = old.join(F.broadcast(new), same, "left")
         nothing = old.filter(F.lit(False))
-        added = new.filter(F.col("n__id").isNotNull()).join(nothing, same, "left")
+        unknown = rows_not_in(scan, catalog, KEY, small_rows).select(
+            *[F.col(c).alias(f"n_{c}") for c in scan.columns], F.lit(True).alias("_new")
+        )
+        added = unknown.join(nothing, same, "left").select(*known.columns)
         both = known.unionByName(added)
     else:
         both = old.join(new, same, "full_outer")
@@ -85,22 +99,24 @@ def merge_scan(
 ) -> DataFrame:
     """The catalog after a scan, plus a `change` column.
 
-    `scan` has one row per file; `scanned` lists the library ids that were walked, including
+    Of several rows of a file in `scan` the newest counts; `scanned` lists the library ids that were walked, including
     empty ones; `complete` is false when the scan met any error, and then nothing is marked
-    missing. `new_ids` comes from `assign_ids`; without it inserted rows keep a NULL id.
+    missing. `new_ids` comes from `assign_ids`; inserted rows without one there keep a NULL id, and
+    ids of files the catalog knows by now are not used.
 
     The join runs on (library_id, relative_path), which is unique, so no partition is hot. A
     catalog bucketed on that key is not shuffled, and neither is any catalog when the scan is
     small and has its ids, as the batches of a stream do.
     """
-    scan = scan.select(*KEY, *SEEN)
+    scan = newest_per_key(scan)
     small = new_ids is not None and fits_broadcast(scan, small_rows)
     if new_ids is None:
         scan = scan.withColumn("_id", F.lit(None).cast("bigint"))
     else:
         # Same keys as the merge itself, so the scan is shuffled once for both joins.
-        scan = scan.join(new_ids.select(*KEY, F.col("id").alias("_id")), KEY, "left")
-    joined = _joined(catalog, scan, scanned, complete, small)
+        ids = new_ids.groupBy(*KEY).agg(F.min("id").alias("_id"))
+        scan = scan.join(ids, KEY, "left")
+    joined = _joined(catalog, scan, scanned, complete, small, small_rows)
 
     change = F.col("change")
     seen = F.col("_new").isNotNull()
@@ -131,7 +147,7 @@ def scan_changes(
 ) -> DataFrame:
     """What a scan would do to each file, reading only keys and stat columns."""
     slim = catalog.select("id", *KEY, *SEEN, "is_missing")
-    joined = _joined(slim, scan.select(*KEY, *SEEN), scanned, complete)
+    joined = _joined(slim, newest_per_key(scan), scanned, complete)
     keys = [F.coalesce(f"n_{k}", f"o_{k}").alias(k) for k in KEY]
     return joined.select(F.col("o_id").alias("id"), *keys, "change")
 
@@ -146,9 +162,10 @@ def missing_files(catalog: DataFrame, scan: DataFrame, scanned: DataFrame) -> Da
 def assign_ids(catalog: DataFrame, scan: DataFrame) -> DataFrame:
     """Ids for files the catalog does not know, dense after its largest id, by key.
 
-    Only keys are read from the catalog; only new keys are ranked, in range slices.
+    Only keys are read from the catalog; only new keys are ranked, in range slices. A file that
+    the scan has several times gets one id.
     """
-    added = rows_not_in(scan.select(*KEY), catalog, KEY)
+    added = rows_not_in(scan.select(*KEY).distinct(), catalog, KEY)
     placed = with_position(added, KEY, "_rank")
     largest = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
     return placed.select(*KEY, (largest + F.col("_rank") + 1).cast("bigint").alias("id"))

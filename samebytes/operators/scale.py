@@ -46,9 +46,14 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table is small, by its real rows and bytes, measured in one aggregation."""
+    """Whether a table is small, by its real rows and bytes, measured in one aggregation.
+
+    The size of arrays, maps and structs is not known, so tables with such columns never fit.
+    """
     text = F.lit(0).cast("bigint")
     for field in df.schema:
+        if field.dataType.typeName() in ("array", "map", "struct", "variant"):
+            return False
         if field.dataType.typeName() in ("string", "binary"):
             text = text + F.coalesce(F.octet_length(field.name), F.lit(0))
     rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(text), F.lit(0))).first()
@@ -92,11 +97,11 @@ def first_rows(df: DataFrame, order: Sequence[Column | str], limit: int) -> Data
     """The first `limit` rows by `order`, which must be unique per row.
 
     Every task of a top-k sends its k best rows to one task, so beyond `TOP_K_ROWS` positions
-    in range slices are used instead.
+    in range slices are used instead. Either way the rows come out in order.
     """
     if limit <= TOP_K_ROWS:
         return df.orderBy(*order).limit(limit)
-    return with_position(df, order, "_place").filter(F.col("_place") < limit).drop("_place")
+    return with_position(df, order, "_place").filter(F.col("_place") < limit).drop("_place").orderBy(*order)
 
 
 def ordered_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -224,22 +226,19 @@ def next_variants(
 ) -> DataFrame:
     """Per media type, the oldest due variants that the free workers can take.
 
-    The constant bound on the rank lets Spark keep only that many rows per task before the
-    shuffle, so two media types do not mean two big tasks.
+    Each media type of `concurrency` is a top-k of its own, whatever its limit, so no task gets all
+    waiting variants of a type.
     """
     limits = VARIANT_CONCURRENCY if concurrency is None else concurrency
-    limit = F.lit(0)
-    for kind, count in limits.items():
-        limit = F.when(F.col("media_type") == kind, F.lit(count)).otherwise(limit)
     waiting = variants.filter((F.col("status") == "pending") & due("retry_after", now))
-    rank = F.row_number().over(Window.partitionBy("media_type").orderBy("created_at", "id"))
-    first = waiting.withColumn("_rank", rank).filter(F.col("_rank") <= max(limits.values()))
     busy = live_running(variants, now).filter(F.col("media_type").isin(*limits))
-    return (
-        first.join(busy, "media_type", "left")
-        .filter(F.col("_rank") <= limit - F.coalesce("running", F.lit(0)))
-        .drop("_rank", "running")
-    )
+    # One row per media type of the limits.
+    running = {row.media_type: row.running for row in busy.collect()}
+    first = [
+        first_rows(waiting.filter(F.col("media_type") == kind), ["created_at", "id"], max(0, limit - running.get(kind, 0)))
+        for kind, limit in limits.items()
+    ]
+    return reduce(DataFrame.unionByName, first) if first else waiting.limit(0)
 
 
 def ready_cleanups(cleanups: DataFrame, variants: DataFrame, now: Clock) -> DataFrame:

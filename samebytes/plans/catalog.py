@@ -80,13 +80,20 @@ def run_scan(
 
 
 def run_hash(
-    store: SnapshotStore, now: Clock, max_files: int | None = None, algorithm: str = "sha256"
+    store: SnapshotStore,
+    now: Clock,
+    max_files: int | None = None,
+    algorithm: str = "sha256",
+    libraries_root: str | None = None,
 ) -> Row:
-    """Hash due files (all of them, or the first `max_files` by id) and return the counts."""
+    """Hash due files (all of them, or the first `max_files` by id) and return the counts.
+
+    With `libraries_root`, libraries outside it are not read; their files fail.
+    """
     catalog = store.read("library_files")
     candidates = with_root(next_hash_files(catalog, now, max_files), store.read("library_roots"))
     # Reading files is the expensive part and must happen once.
-    outcomes = materialize(hash_files(candidates, algorithm=algorithm))
+    outcomes = materialize(hash_files(candidates, algorithm=algorithm, libraries_root=libraries_root))
     updated = apply_outcomes(catalog, outcomes, algorithm=algorithm, now=now)
     store.publish("library_files", updated, cluster_by=["hash_algorithm", "content_hash", "id"])
     return hash_summary(outcomes).first()

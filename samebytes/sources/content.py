@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from samebytes.schemas import HASH_OUTCOMES, HASH_READ_CHUNK_BYTES
 from samebytes.sources import ship
+from samebytes.sources.filetree import name_on_disk
 from samebytes.sources.rows import record_batch
 
 BYTES_PER_TASK = 8 * 1024**3
@@ -46,16 +47,26 @@ def _digest(path: str, algorithm: str, chunk: int) -> tuple[bytes, int]:
 
 
 def _hash_one(
-    path: str, root: str, expected: tuple[int, int], algorithm: str, chunk: int
+    path: str,
+    root: str,
+    expected: tuple[int, int],
+    algorithm: str,
+    chunk: int,
+    libraries_root: str | None = None,
 ) -> tuple:
     """(outcome, digest, size, mtime_ns, inode, device, bytes, error) of one candidate.
 
     The file counts as hashed only if its size and time were the expected ones both before
-    and after reading.
+    and after reading. A file outside its library, or a library outside `libraries_root`, is
+    not opened. Whatever is wrong with one path fails that candidate alone.
     """
     nothing = (None, None, None, None)
     try:
         real_root = os.path.realpath(root, strict=True)
+        if libraries_root is not None:
+            top = os.path.realpath(libraries_root, strict=True)
+            if real_root == top or os.path.commonpath([top, real_root]) != top:
+                return "failed", None, *nothing, 0, "library lies outside the libraries root"
         real = os.path.realpath(path)
         if os.path.commonpath([real_root, real]) != real_root:
             return "failed", None, *nothing, 0, "candidate path escapes its library"
@@ -71,6 +82,8 @@ def _hash_one(
         return "hashed", digest, *after, count, None
     except OSError as error:
         return "failed", None, *nothing, 0, error.strerror or str(error)
+    except ValueError as error:
+        return "failed", None, *nothing, 0, str(error)
 
 
 def hash_files(
@@ -79,11 +92,12 @@ def hash_files(
     algorithm: str = "sha256",
     chunk_bytes: int = HASH_READ_CHUNK_BYTES,
     bytes_per_task: int = BYTES_PER_TASK,
+    libraries_root: str | None = None,
 ) -> DataFrame:
     """Hash every candidate row of `with_root`; one outcome row per candidate.
 
     Tasks are sized by the bytes to read, and rows are dealt out by id so that a library of
-    large files is spread. Write the result before using it twice: it reads the files.
+    large files is spread. With `libraries_root`, only libraries under it are read. Write the result before using it twice: it reads the files.
     """
     _hasher(algorithm)
     ship(candidates.sparkSession)
@@ -95,11 +109,12 @@ def hash_files(
         for batch in batches:
             rows = [
                 (row["id"], *_hash_one(
-                    os.path.join(row["root_path"], row["relative_path"]),
-                    row["root_path"],
+                    name_on_disk(os.path.join(row["root_path"], row["relative_path"])),
+                    name_on_disk(row["root_path"]),
                     (row["expected_size"], row["expected_mtime_ns"]),
                     algorithm,
                     chunk_bytes,
+                    libraries_root,
                 ))
                 for row in batch.to_pylist()
             ]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import stat
 from collections import deque
 from collections.abc import Iterator
@@ -28,9 +29,34 @@ from samebytes.sources.rows import record_batch
 Entry = tuple[str, str, str | None, int | None, int | None, int | None, int | None, str | None]
 
 
-def _text(name: str) -> str:
-    """File names as valid text; bytes that are not UTF-8 become the replacement character."""
-    return os.fsencode(name).decode("utf-8", "replace")
+#: Marks a byte of a name that is not UTF-8; the byte follows as two hexadecimal digits.
+_MARK = "\ufffd"
+
+
+def name_text(name: str) -> str:
+    """A file name as valid text, a different one for every name.
+
+    Bytes that are not UTF-8 become `_MARK` and two digits; the mark itself is doubled.
+    """
+    if _MARK not in name and name.isascii():
+        return name
+    out = (
+        _MARK * 2 if c == _MARK else f"{_MARK}{ord(c) - 0xDC00:02X}" if "\udc80" <= c <= "\udcff" else c
+        for c in name
+    )
+    return "".join(out)
+
+
+def name_on_disk(text: str) -> str:
+    """The name or path that `name_text` has written as text."""
+    if _MARK not in text:
+        return text
+
+    def undo(match: re.Match) -> str:
+        code = match[1]
+        return _MARK if code == _MARK else chr(0xDC00 + int(code, 16))
+
+    return re.sub(f"{_MARK}({_MARK}|[89A-F][0-9A-F])", undo, text)
 
 
 def _message(error: OSError) -> str:
@@ -38,13 +64,13 @@ def _message(error: OSError) -> str:
 
 
 def library_names(root: str) -> list[str]:
-    """Real directories directly under the root."""
+    """Real directories directly under the root, as text."""
     names = []
     with os.scandir(root) as entries:
         for entry in entries:
             try:
                 if entry.is_dir(follow_symlinks=False):
-                    names.append(entry.name)
+                    names.append(name_text(entry.name))
             except OSError:
                 continue
     return sorted(names)
@@ -54,15 +80,15 @@ def list_directory(root: str, library: str, relative: str) -> Iterator[tuple[Ent
     """Entries of one directory, and for each whether it is a directory still to be visited.
 
     The directory itself must still be a real directory at its own path; a link put in its
-    place meanwhile is not followed.
+    place meanwhile is not followed. Names are given and returned as text (`name_text`).
     """
-    base = os.path.join(os.path.realpath(root), library)
-    path = os.path.join(base, relative) if relative else base
+    base = os.path.join(os.path.realpath(root), name_on_disk(library))
+    path = os.path.join(base, name_on_disk(relative)) if relative else base
 
     def failure(where: str, error: OSError) -> tuple[Entry, bool]:
-        return (library, "error", _text(where), None, None, None, None, _message(error)), False
+        return (library, "error", where, None, None, None, None, _message(error)), False
 
-    yield (library, "directory", _text(relative), None, None, None, None, None), False
+    yield (library, "directory", relative, None, None, None, None, None), False
     try:
         if os.path.realpath(path, strict=True) != path:
             if not relative:
@@ -81,7 +107,8 @@ def list_directory(root: str, library: str, relative: str) -> Iterator[tuple[Ent
                 return
             if entry is None:
                 return
-            name = f"{relative}/{entry.name}" if relative else entry.name
+            own = name_text(entry.name)
+            name = f"{relative}/{own}" if relative else own
             try:
                 info = entry.stat(follow_symlinks=False)
             except OSError as error:
@@ -91,7 +118,7 @@ def list_directory(root: str, library: str, relative: str) -> Iterator[tuple[Ent
                 yield (library, "pending", name, None, None, None, None, None), True
             elif stat.S_ISREG(info.st_mode):
                 yield (
-                    (library, "file", _text(name), info.st_size, info.st_mtime_ns,
+                    (library, "file", name, info.st_size, info.st_mtime_ns,
                      info.st_ino, info.st_dev, None),
                     False,
                 )
@@ -110,10 +137,23 @@ def walk(
                 stack.append(entry[2])
 
 
-class _Subtree(InputPartition):
-    def __init__(self, library: str, relative: str, elsewhere: frozenset[str] = frozenset()):
-        super().__init__((library, relative))
-        self.library, self.relative, self.elsewhere = library, relative, elsewhere
+def subdirectories(root: str, library: str, relative: str) -> list[str]:
+    """Real directories directly under one, as text; none if it cannot be read."""
+    path = os.path.join(os.path.realpath(root), name_on_disk(library), name_on_disk(relative)).rstrip("/")
+    try:
+        if os.path.realpath(path, strict=True) != path:
+            return []
+        with os.scandir(path) as entries:
+            names = [name_text(e.name) for e in entries if e.is_dir(follow_symlinks=False)]
+    except OSError:
+        return []
+    return [f"{relative}/{name}" if relative else name for name in sorted(names)]
+
+
+class _Subtrees(InputPartition):
+    def __init__(self, starts: list[tuple[str, str]], elsewhere: frozenset[str] = frozenset()):
+        super().__init__(tuple(starts))
+        self.starts, self.elsewhere = starts, elsewhere
 
 
 class FileTreeReader(DataSourceReader):
@@ -122,34 +162,30 @@ class FileTreeReader(DataSourceReader):
         self.libraries = json.loads(options["libraries"]) if "libraries" in options else None
         self.splits = int(options.get("splits", "256"))
 
-    def partitions(self) -> list[_Subtree]:
+    def partitions(self) -> list[_Subtrees]:
         """Subtrees, split from the top until there are about `splits` of them.
 
-        At most `splits` directories are listed here and only names of directories are kept.
-        The task of a directory that was split reads it again and walks whatever was not
-        handed out, so directories that appear meanwhile are not lost.
+        At most `splits` directories are listed here, and only names of directories are read. A
+        directory with more subdirectories than that is split all the same: subtrees are then
+        shared out evenly. The task of a directory that was split reads it again and walks
+        whatever was not handed out, so directories that appear meanwhile are not lost.
         """
         names = library_names(self.root) if self.libraries is None else sorted(set(self.libraries))
         open_ends = deque((name, "") for name in names)
-        done: list[_Subtree] = []
+        done: list[_Subtrees] = []
         for _ in range(self.splits):
             if not open_ends or len(open_ends) + len(done) >= self.splits:
                 break
             library, relative = open_ends.popleft()
-            below = []
-            for entry, descend in list_directory(self.root, library, relative):
-                if descend:
-                    below.append((library, entry[2]))
-                    if len(below) > self.splits:
-                        break
-            if len(below) > self.splits:
-                below = []
-            done.append(_Subtree(library, relative, frozenset(name for _, name in below)))
-            open_ends.extend(below)
-        return done + [_Subtree(library, relative) for library, relative in open_ends]
-
-    def read(self, partition: _Subtree) -> Iterator[Entry]:
-        return walk(self.root, partition.library, partition.relative, partition.elsewhere)
+            below = subdirectories(self.root, library, relative)
+            done.append(_Subtrees([(library, relative)], frozenset(below)))
+            open_ends.extend((library, name) for name in below)
+        rest = list(open_ends)
+        return done + [_Subtrees(rest[i :: self.splits]) for i in range(min(self.splits, len(rest)))]
+
+    def read(self, partition: _Subtrees) -> Iterator[Entry]:
+        for library, start in partition.starts:
+            yield from walk(self.root, library, start, partition.elsewhere)
 
 
 class FileTreeDataSource(DataSource):

@@ -26,9 +26,12 @@ class SnapshotStore:
         return f"{self.root}/{table}/commits"
 
     def versions(self, table: str) -> DataFrame:
+        """Committed versions. Only a log that does not exist counts as nothing published."""
         try:
             return self.spark.read.schema("version long, path string").json(self._log(table))
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], "version long, path string")
 
     def current_version(self, table: str) -> int:
@@ -60,6 +63,14 @@ class SnapshotStore:
         reader = self.spark.read
         return (reader.schema(TABLES[table]) if table in TABLES else reader).parquet(row.path)
 
+    def retain(self, table: str, versions: int = 2) -> None:
+        """Remove the data of all but the newest versions; readers of older ones lose them."""
+        keep_from = self.current_version(table) - max(versions, 1) + 1
+        system = self.spark._jvm.org.apache.hadoop.fs
+        for row in self.versions(table).filter(F.col("version") < keep_from).toLocalIterator():
+            path = system.Path(row.path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def save_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int) -> DataFrame:
     """A metastore table bucketed and sorted by `keys`.
