@@ -34,7 +34,7 @@ def tree(tmp_path):
 
 FILES = {
     ("media", ".dot"), ("media", "_under"), ("media", "a.bin"), ("media", "hard.bin"), ("media", "empty"),
-    ("media", "bad-�"), ("media", "sub/.hidden/x"), ("other", "deep/er/y"),
+    ("media", "bad-�FF"), ("media", "sub/.hidden/x"), ("other", "deep/er/y"),
 }
 DIRECTORIES = {("media", ""), ("media", "sub"), ("media", "sub/.hidden"), ("other", ""), ("other", "deep"), ("other", "deep/er")}
 
