@@ -54,7 +54,8 @@ def test_stages_one_by_one(spark):
 def test_run_and_awkward_rows(spark, awkward, no_docs):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
     for docs in (awkward, no_docs):
-        for _, stage in corpus_pipeline.STAGES:
+        for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, FOLDER)
             assert set(docs.columns) <= set(out.columns)
-            assert out.count() <= docs.count()
+            # Mixing repeats documents of small sources.
+            assert out.count() <= docs.count() * (4 if name == "mixing" else 1)
