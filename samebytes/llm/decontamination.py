@@ -7,8 +7,13 @@ step, emits the word under it and moves on or stays by a random bit of step and
 at a small edit distance have walks at a small Hamming distance, so equal words at sampled steps
 are a locality-sensitive hash of edit distance.
 
-Items are grouped into length classes, and every window of a class's size is walked, from each
-word of a document. Windows that share too few three-word sequences with all items together to be
+Walks of long sequences drift apart, so items of `2 * SEGMENT_WORDS` words or more are cut into
+segments: of a passage within the item's edit limit, at least one segment is within its own (the
+shares of the edits cannot all be above average). Segments are grouped into length classes. How
+many walks a class takes is found when the index is built: segments are edited at random up to
+their limit, and walks are added until `RECALL` of them are found, for every kind of edit.
+
+Every window of a class's size is walked, from each word of a document. Windows that share too few three-word sequences with all items together to be
 within the edit limit of any of them (q-gram lemma, so none is lost) are not walked. Candidates
 are verified by a bit-parallel computation of the exact edit distance.
 """
@@ -20,6 +25,7 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from random import Random
 
 import numpy as np
 import pandas as pd
@@ -30,15 +36,22 @@ from samebytes.llm.common import ship
 
 #: Edits allowed per word of an item, rounded down; items of fewer words are no passages.
 EDIT_SHARE, MIN_WORDS = 0.2, 5
-#: Walks, sampled hashes per walk and steps per hash.
+#: Walks at least, sampled hashes per walk and steps per hash.
 WALKS, TABLES, SAMPLES = 8, 6, 4
-#: Items of a length class differ by at most this factor.
+#: Share of segments with as many edits as allowed that walks have to find, and trials per kind of edit.
+RECALL, TRIALS = 0.99, 256
+#: A class that needs more walks has every window that survives verified against all its segments.
+MOST_WALKS = 256
+#: Shortest segment of a long item; the longest has one word less than two of them.
+SEGMENT_WORDS = 20
+#: Segments of a length class differ by at most this factor.
 CLASS_RATIO = 1.1
 #: Text of items per pass; more items are handled in several blocks within one scan.
 BLOCK_BYTES = 8 << 20
 
 _WORD = re.compile(r"\w+")
 _GRAM = 3
+_EDIT_KINDS = ("replace", "delete", "insert", "mixed")
 _WORD_FACTOR, _FOREIGN = np.uint64(0xA0761D6478BD642F), 0x5851F42D4C957F2D
 #: Windows walked and words held at a time.
 _WINDOWS, _WORDS = 8192, 500_000
@@ -67,21 +80,18 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=256)
-def _plan(size: int) -> tuple[list, np.ndarray]:
-    """Random bits of every step, by walk, with the (table, factor) pairs that sample the step."""
-    steps, random = 2 * size, np.random.default_rng(size)
-    bits = random.integers(0, 1 << 63, (WALKS, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    samples: list[list[list[tuple[int, np.uint64]]]] = []
-    for _ in range(WALKS):
-        at = [[] for _ in range(steps)]
-        for table in range(TABLES):
-            for step in random.choice(steps, min(SAMPLES, steps), replace=False):
-                at[step].append((table, random.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
-        while not at[-1]:
-            at.pop()
-        samples.append(at)
-    return samples, bits
+@lru_cache(maxsize=1 << 14)
+def _plan(size: int, walk: int) -> tuple[list[list[tuple[int, np.uint64]]], np.ndarray]:
+    """Random bits of every step of a walk, with the (table, factor) pairs that sample the step."""
+    steps, random = 2 * size, np.random.default_rng((size, walk))
+    bits = random.integers(0, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    at: list[list[tuple[int, np.uint64]]] = [[] for _ in range(steps)]
+    for table in range(TABLES):
+        for step in random.choice(steps, min(SAMPLES, steps), replace=False):
+            at[step].append((table, random.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)))
+    while not at[-1]:
+        at.pop()
+    return at, bits
 
 
 def windows_of(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -92,27 +102,44 @@ def windows_of(codes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     return windows
 
 
-def walk_keys(windows: np.ndarray) -> np.ndarray:
+def walk_keys(windows: np.ndarray, walks: range) -> np.ndarray:
     """LSH keys of windows: a column per walk and table.
 
     The same window size gives the same random bits and samples, in every process.
     """
     count, size = windows.shape[0], windows.shape[1] - 1
-    samples, bits = _plan(size)
     flat, rows = windows.ravel(), np.arange(count) * (size + 1)
-    keys = np.empty((count, WALKS, TABLES), np.uint64)
-    for walk in range(WALKS):
+    keys = np.empty((count, len(walks), TABLES), np.uint64)
+    for column, walk in enumerate(walks):
+        samples, bits = _plan(size, walk)
         sums = np.zeros((TABLES, count), np.uint64)
         at = np.zeros(count, np.int64)
-        for step, used in enumerate(samples[walk]):
+        for step, used in enumerate(samples):
             word = flat[rows + at]
             for table, factor in used:
                 sums[table] += _mix(word * factor)
-            at += ((word * bits[walk, step]) >> np.uint64(63)).astype(np.int64)
+            at += ((word * bits[step]) >> np.uint64(63)).astype(np.int64)
             np.minimum(at, size, out=at)
         for table in range(TABLES):
-            keys[:, walk, table] = _mix(sums[table] + np.uint64(walk * TABLES + table + 1))
-    return keys.reshape(count, -1)
+            keys[:, column, table] = _mix(sums[table] + np.uint64(walk * TABLES + table + 1))
+    return keys.reshape(count, len(walks) * TABLES)
+
+
+def segments_of(words: int) -> list[tuple[int, int]]:
+    """Begin and end of the segments of an item; a short item is one segment."""
+    parts = max(1, words // SEGMENT_WORDS)
+    edges = [words * i // parts for i in range(parts + 1)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def edit_codes(codes: list, edits: int, kind: str, fresh: list, random) -> list:
+    """Codes with that many random edits; new words are taken from `fresh`."""
+    codes = list(codes)
+    for _ in range(edits):
+        done = random.choice(("replace", "delete", "insert")) if kind == "mixed" else kind
+        at, new = random.randrange(len(codes) + (done == "insert")), random.choice(fresh)
+        codes[at : at + (done != "insert")] = [] if done == "delete" else [new]
+    return codes
 
 
 def passage_distance(item: list[int], stretch: list[int]) -> tuple[int, int]:
@@ -144,12 +171,18 @@ def passage_distance(item: list[int], stretch: list[int]) -> tuple[int, int]:
 
 @dataclass
 class LengthClass:
-    """Items of similar length with the sorted LSH keys of their windows."""
+    """Segments of similar length with the sorted LSH keys of their windows.
+
+    `keys` refer to places in `items` and `offsets`: the item of a segment and where in it the
+    segment begins. Without walks every surviving window is a candidate for all segments.
+    """
 
     size: int
     needed: int
+    walks: int
     keys: np.ndarray
     items: np.ndarray
+    offsets: np.ndarray
 
 
 class ItemIndex:
@@ -167,44 +200,117 @@ class ItemIndex:
         codes = [self._codes(words) for words in self.words]
         self.grams = np.unique(np.concatenate([_grams(c) for c in codes])) if codes else np.empty(0, np.uint64)
         self.classes: list[LengthClass] = []
-        order = sorted(range(len(codes)), key=lambda i: len(codes[i]))
+        order = sorted(
+            ((end - begin, i, begin) for i, c in enumerate(codes) for begin, end in segments_of(len(c))),
+        )
         while order:
-            size = len(codes[order[0]])
-            members = [i for i in order if len(codes[i]) <= size * CLASS_RATIO]
-            order = order[len(members) :]
-            needed = size - _GRAM + 1 - _GRAM * max(self.edits[i] for i in members)
-            keys = walk_keys(np.concatenate([windows_of(codes[i], np.zeros(1, np.int64), size) for i in members]))
-            flat = np.repeat(np.array(members, np.int32), keys.shape[1])
+            size = order[0][0]
+            stop = bisect_right(order, size * CLASS_RATIO, key=lambda segment: segment[0])
+            members, order = order[:stop], order[stop:]
+            parts = [codes[i][begin : begin + length] for length, i, begin in members]
+            edits = [edits_allowed(length, share) for length, _, _ in members]
+            needed = size - _GRAM + 1 - _GRAM * max(edits)
+            walks = self._walks(size, needed, parts, edits)
+            own = np.concatenate([windows_of(part, np.zeros(1, np.int64), size) for part in parts])
+            keys = walk_keys(own, range(walks))
             place = np.argsort(keys.ravel(), kind="stable")
-            self.classes.append(LengthClass(size, needed, keys.ravel()[place], flat[place]))
+            flat = np.repeat(np.arange(len(members)), keys.shape[1])[place]
+            of = np.array([(i, begin) for _, i, begin in members], np.int32)
+            if walks:
+                of = of[flat]
+            self.classes.append(LengthClass(size, needed, walks, keys.ravel()[place], of[:, 0], of[:, 1]))
+
+    def _walks(self, size: int, needed: int, parts: list[np.ndarray], edits: list[int]) -> int:
+        """Walks that find `RECALL` of the segments of a class after as many edits as allowed, or 0.
+
+        Trials stand between foreign words and are found as in a document: windows that survive
+        are walked, and any key in common with the segment counts.
+        """
+        if not any(edits):
+            return WALKS
+        random = Random(size)
+        foreign = int(self._codes_in(np.zeros(1, np.uint64))[0])
+        known = self._codes(list(self.vocabulary.values())[:1000]).tolist()
+        distinct = self._codes_in(np.arange(1, 1001, dtype=np.uint64) + np.uint64(1 << 40)).tolist()
+        line, begins, picked = [], [], []
+        for kind in _EDIT_KINDS:
+            for trial in range(TRIALS):
+                member = random.randrange(len(parts))
+                begins.append(len(line))
+                picked.append(member)
+                fresh = ([foreign], known, distinct)[trial % 3]
+                line += [foreign] * size
+                line += edit_codes(parts[member].tolist(), edits[member], kind, fresh, random)
+        codes = np.array(line + [foreign] * size, np.uint64)
+        starts = self._survivors_of(codes, size, needed)
+        trials = np.searchsorted(begins, starts, "right") - 1
+        picked = np.array(picked)
+        windows, own = windows_of(codes, starts, size), np.concatenate(
+            [windows_of(part, np.zeros(1, np.int64), size) for part in parts]
+        )
+        found = np.zeros(len(picked), bool)
+        for walk in range(MOST_WALKS):
+            left = np.flatnonzero(~found[trials])
+            keys = walk_keys(windows[left], range(walk, walk + 1))
+            hits = (keys == walk_keys(own, range(walk, walk + 1))[picked[trials[left]]]).any(axis=1)
+            found[trials[left[hits]]] = True
+            if walk + 1 >= WALKS and found.reshape(len(_EDIT_KINDS), -1).mean(axis=1).min() >= RECALL:
+                return walk + 1
+        return 0
 
     @staticmethod
     def _codes(words: list[int]) -> np.ndarray:
         return _mix(np.array(words, np.uint64) * _WORD_FACTOR)
 
-    def _survivors(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Starts of windows that may hold an item, by length class."""
+    @staticmethod
+    def _codes_in(words: np.ndarray) -> np.ndarray:
+        """Codes of the words of a document, of which 0 and those above the vocabulary are foreign."""
+        return np.where(
+            (words > 0) & (words < np.uint64(1 << 40)), _mix(words * _WORD_FACTOR), _mix(np.uint64(_FOREIGN) + words)
+        )
+
+    def _covered(self, codes: np.ndarray) -> np.ndarray:
+        """How many word sequences before each place are in an item."""
         grams = _grams(codes)
         place = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        covered = np.concatenate([[0], np.cumsum(self.grams[place] == grams)])
-        places = np.flatnonzero(codes[: len(grams)])
-        out = []
+        return np.concatenate([[0], np.cumsum(self.grams[place] == grams)])
+
+    def _survivors_of(
+        self, codes: np.ndarray, size: int, needed: int, covered: np.ndarray | None = None
+    ) -> np.ndarray:
+        """Starts of windows that may hold a segment of a class."""
+        covered = self._covered(codes) if covered is None else covered
+        last = len(covered) - 1
+        places = np.flatnonzero(codes[:last])
+        return places[covered[np.minimum(places + size - _GRAM + 1, last)] - covered[places] >= needed]
+
+    def _survivors(self, codes: np.ndarray) -> Iterator[np.ndarray]:
+        """Starts of windows that may hold an item, by length class."""
+        covered = self._covered(codes)
         for group in self.classes:
-            stop = np.minimum(places + group.size - _GRAM + 1, len(grams))
-            out.append(places[covered[stop] - covered[places] >= group.needed])
-        return out
+            yield self._survivors_of(codes, group.size, group.needed, covered)
 
     def _verify(self, words: list[int], pairs: Iterable[tuple[int, int]]) -> list[tuple[int | None, int, int]]:
-        best: dict[int, tuple[int, int]] = {}
+        """Best passage of each item around its candidate starts, given in order."""
+        stretches: dict[int, list[list[int]]] = {}
         for item, start in pairs:
-            if best.get(item, (1,))[0] == 0:
-                continue
-            slack = self.edits[item]
-            begin = max(0, start - slack)
-            stretch = words[begin : start + len(self.words[item]) + 2 * slack]
-            distance, end = passage_distance(self.words[item], stretch)
-            if distance <= slack:
-                best[item] = min(best.get(item, (slack + 1, 0)), (distance, begin + end - 1))
+            # A segment's window and the words before it may both be shifted by the edits.
+            size, slack = len(self.words[item]), self.edits[item]
+            shift = slack * (1 + (size >= 2 * SEGMENT_WORDS))
+            begin, end = max(0, start - shift), start + size + slack + shift
+            known = stretches.setdefault(item, [])
+            if known and begin <= known[-1][1]:
+                known[-1][1] = max(known[-1][1], end)
+            else:
+                known.append([begin, end])
+        best: dict[int, tuple[int, int]] = {}
+        for item, known in stretches.items():
+            for begin, end in known:
+                distance, last = passage_distance(self.words[item], words[begin:end])
+                if distance <= self.edits[item]:
+                    best[item] = min(best.get(item, (self.edits[item] + 1, 0)), (distance, begin + last - 1))
+                if distance == 0:
+                    break
         return [(self.ids[item], *found) for item, found in sorted(best.items())]
 
     def _search_some(self, texts: dict[int, list[int]]) -> dict[int, list[tuple[int | None, int, int]]]:
@@ -223,20 +329,27 @@ class ItemIndex:
         if not numbers:
             return {}
         words = np.array(line, np.uint64)
-        codes = np.where(words > 0, _mix(words * _WORD_FACTOR), _mix(np.uint64(_FOREIGN) + words))
+        codes = self._codes_in(words)
         codes[self._gaps(begins, texts, len(line))] = 0
         pairs: dict[int, set[tuple[int, int]]] = {}
         for group, starts in zip(self.classes, self._survivors(codes), strict=True):
             for at in range(0, len(starts), _WINDOWS):
                 block = starts[at : at + _WINDOWS]
-                keys = walk_keys(windows_of(codes, block, group.size))
-                low = np.searchsorted(group.keys, keys.ravel(), "left")
-                high = np.searchsorted(group.keys, keys.ravel(), "right")
-                for place in np.flatnonzero(high > low):
-                    start = int(block[place // keys.shape[1]])
+                if group.walks:
+                    keys = walk_keys(windows_of(codes, block, group.size), range(group.walks))
+                    low = np.searchsorted(group.keys, keys.ravel(), "left")
+                    high = np.searchsorted(group.keys, keys.ravel(), "right")
+                    hits = [(p // keys.shape[1], low[p], high[p]) for p in np.flatnonzero(high > low)]
+                else:
+                    hits = [(p, 0, len(group.items)) for p in range(len(block))]
+                for place, first, end in hits:
+                    start = int(block[place])
                     doc = bisect_right(begins, start) - 1
                     pairs.setdefault(doc, set()).update(
-                        (item, start - begins[doc]) for item in group.items[low[place] : high[place]].tolist()
+                        (item, start - begins[doc] - offset)
+                        for item, offset in zip(
+                            group.items[first:end].tolist(), group.offsets[first:end].tolist(), strict=True
+                        )
                     )
         return {numbers[d]: self._verify(texts[numbers[d]], sorted(found)) for d, found in pairs.items()}
 

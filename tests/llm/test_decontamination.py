@@ -78,3 +78,33 @@ def test_awkward_rows(spark, awkward, no_docs):
     assert {len(r.passages) for r in dc.find_passages(awkward, items).collect()} == {0}
     assert dc.find_passages(awkward, items.limit(0)).filter("size(passages) = 0").count() == awkward.count()
     assert dc.find_passages(no_docs, items).count() == 0
+
+
+def test_recall_at_the_edit_limit_by_length():
+    """Items of every length are found after as many edits as are allowed, of one kind or mixed."""
+    some = random.Random(5)
+    pool = [f"w{i}" for i in range(3000)]
+    for size in (15, 25, 59, 100, 200, 400):
+        items = [(n, " ".join(some.choice(pool) for _ in range(size))) for n in range(25)]
+        wanted, docs = [], []
+        for n, text in items:
+            for kind in ("replace", "delete", "insert", "mixed"):
+                fresh = (["foreign"], pool, [f"x{i}" for i in range(9999)])[n % 3]
+                words = dc.edit_codes(text.split(), dc.edits_allowed(size), kind, fresh, some)
+                around = [some.choice(pool) for _ in range(60)]
+                wanted.append(n)
+                docs.append(" ".join(around + words + around[::-1]))
+        found = dc.ItemIndex(items, dc.EDIT_SHARE, dc.MIN_WORDS).search(docs)
+        recall = sum(any(p[0] == n for p in passages) for n, passages in zip(wanted, found, strict=True)) / len(docs)
+        assert recall >= 0.97, (size, recall)
+
+
+def test_class_that_walks_do_not_find_is_verified_whole(monkeypatch):
+    monkeypatch.setattr(dc, "MOST_WALKS", 1)
+    some = random.Random(6)
+    pool = [f"w{i}" for i in range(500)]
+    items = [(n, " ".join(some.choice(pool) for _ in range(50))) for n in range(20)]
+    index = dc.ItemIndex(items, dc.EDIT_SHARE, dc.MIN_WORDS)
+    docs = [" ".join(["a"] * 9 + edited(text.split(), 10, pool, some) + ["b"] * 9) for _, text in items]
+    assert [group.walks for group in index.classes] == [0]
+    assert [[p[0] for p in found] for found in index.search(docs)] == [[n] for n, _ in items]
