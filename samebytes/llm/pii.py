@@ -25,20 +25,34 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "secret", "url")
 KINDS = BASE_KINDS + ADDED_KINDS
 
-#: What precedes the value of an account or a secret.
+#: What precedes the value of an account or a secret, in any case of A-Z.
 CUES = {
     "iban": "iban",
     "ssn": "ssn",
     "social security": "ssn",
+    "social security number": "ssn",
     "password": "secret",
     "passwd": "secret",
+    "passphrase": "secret",
     "pwd": "secret",
     "api_key": "secret",
     "api-key": "secret",
     "apikey": "secret",
     "secret_key": "secret",
+    "access_key": "secret",
+    "private_key": "secret",
+    "auth_key": "secret",
     "access_token": "secret",
+    "token": "secret",
+    "secret": "secret",
+    "credential": "secret",
+    "credentials": "secret",
+    "auth": "secret",
+    "authorization": "secret",
+    "bearer": "bearer",
 }
+#: Kinds whose value may follow its cue after blanks alone; a `bearer` value is a secret.
+_BARE = frozenset(("iban", "ssn", "bearer"))
 
 _DIGITS = frozenset(string.digits)
 _ALNUM = frozenset(string.ascii_letters + string.digits)
@@ -128,14 +142,23 @@ def _phone(text: str, at: int) -> tuple[int, int] | None:
     return (at, end) if end > at + 3 and text[end - 1] in _DIGITS else None
 
 
-def _after_cue(text: str, at: int) -> int | None:
-    """Where the value after a cue starts: past blanks and one `:`, `=` or `is`."""
-    at = _run(text, at, _SPACE)
-    if text[at : at + 1] and text[at] in ":=#":
-        return _run(text, at + 1, _SPACE)
-    if text[at : at + 3].lower() == "is ":
-        return _run(text, at + 3, _SPACE)
-    return None
+def _after_cue(text: str, at: int, bare: bool) -> int | None:
+    """Where the value after a cue starts: past blanks, a quote that ends the cue, and one `:`, `=`, `#` or `is`.
+
+    With `bare` blanks are enough.
+    """
+    after = _run(text, at, _SPACE)
+    sign = _run(text, after + 1, _SPACE) if text[after : after + 1] in ("'", '"') else after
+    if text[sign : sign + 1] and text[sign] in ":=#":
+        return _run(text, sign + 1, _SPACE)
+    if text[after : after + 3].lower() == "is ":
+        return _run(text, after + 3, _SPACE)
+    return after if bare and after > at else None
+
+
+def _folded(text: str) -> str:
+    """The text with A-Z lower-cased and nothing else, so that places stay the same."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def _iban(text: str, at: int) -> tuple[int, int] | None:
@@ -187,7 +210,7 @@ def _user_url(text: str, at: int, anchor_end: int) -> tuple[int, int] | None:
 
 
 def automaton():
-    """Anchors of all kinds as one Aho-Corasick automaton."""
+    """Anchors of all kinds as one Aho-Corasick automaton, for texts with A-Z lower-cased."""
     import ahocorasick
 
     anchors = ahocorasick.Automaton()
@@ -196,8 +219,7 @@ def automaton():
     for digit in string.digits:
         anchors.add_word(digit, ("number", 1))
     for cue, kind in CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
-            anchors.add_word(form, (kind, len(form)))
+        anchors.add_word(cue, (kind, len(cue)))
     anchors.make_automaton()
     return anchors
 
@@ -209,7 +231,7 @@ def find_spans(text: str | None, anchors) -> list[Span]:
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     ends = dict.fromkeys(KINDS, 0)
     ip_next = 0
-    for last, (kind, size) in anchors.iter(text):
+    for last, (kind, size) in anchors.iter(_folded(text)):
         at = last - size + 1
         if kind == "number":
             # Only the first digit of a run is an anchor of its own for `ip`.
@@ -247,7 +269,8 @@ def find_spans(text: str | None, anchors) -> list[Span]:
                     found["url"].append(span)
                     ends["url"] = span[1]
         else:
-            value = _after_cue(text, last + 1)
+            value = _after_cue(text, last + 1, kind in _BARE)
+            kind = "secret" if kind == "bearer" else kind
             if value is not None and value >= ends[kind]:
                 span = {"iban": _iban, "ssn": _ssn, "secret": _secret}[kind](text, value)
                 if span:

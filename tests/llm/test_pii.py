@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+import corpus_pipeline
 from samebytes.llm import pii
 
 PATTERNS = {
@@ -59,3 +60,35 @@ def test_awkward_rows_and_redaction(spark, awkward, no_docs):
     assert [r.pii for r in rows if r.doc_id in (2, 3)] == [[], []]
     assert pii.add_pii(no_docs).count() == 0
     assert pii.redact("abcdef", [("email", 1, 4), ("url", 2, 5)]) == "a[EMAIL]f"
+
+
+@pytest.mark.parametrize(
+    "text, kind, value",
+    [
+        ('x token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" y', "secret", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"),
+        ('x TOKEN = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" y', "secret", "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"),
+        ("PassWord: b7db7aa4a5fc done", "secret", "b7db7aa4a5fc"),
+        ("client_secret=b7db7aa4a5fc done", "secret", "b7db7aa4a5fc"),
+        ('{"auth": "b7db7aa4a5fc"}', "secret", "b7db7aa4a5fc"),
+        ("Authorization: Bearer b7db7aa4a5fc done", "secret", "b7db7aa4a5fc"),
+        ("\u0130\u1e9e ToKeN=b7db7aa4a5fc done", "secret", "b7db7aa4a5fc"),
+        ("IBAN DE89 3704 0044 0532 0130 00 ok", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("SSN 123-45-6789.", "ssn", "123-45-6789"),
+        ("Social Security Number 123-45-6789.", "ssn", "123-45-6789"),
+    ],
+)
+def test_cues_of_any_case_and_after_blanks(text, kind, value):
+    assert [text[a:b] for k, a, b in pii.find_spans(text, pii.automaton()) if k == kind] == [value]
+
+
+def test_cues_alone_are_no_secrets():
+    for text in ("the token is wrong", "author: somebody1234", "IBAN DE00 3704 0044 0532 0130 00", "SSN 123456789", "a bearer of news"):
+        assert not [s for s in pii.find_spans(text, pii.automaton()) if s[0] in pii.ADDED_KINDS], text
+
+
+def test_pipeline_leaves_no_planted_token(spark):
+    secrets = [f"{n:02d}ef4d6b2755a36d7d9c25bd72c4d5f67e061f{n:02d}" for n in range(20)]
+    rows = [(n, f'{"TOKEN" if n % 2 else "token"} = "{s}" after', 0) for n, s in enumerate(secrets)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    clean = corpus_pipeline.redact_pii(spark, docs, "").collect()
+    assert all(r.text.split(" = ")[1] == '"[SECRET]" after' for r in clean)
