@@ -12,6 +12,7 @@ identifier cue) and `url` (a URL that carries user information before its host).
 
 from __future__ import annotations
 
+import re
 import string
 from collections.abc import Iterator
 
@@ -59,19 +60,18 @@ _ALNUM = frozenset(string.ascii_letters + string.digits)
 _LOCAL = _ALNUM | frozenset("._%+-")
 _LABEL = _ALNUM | frozenset("-")
 _PHONE = _DIGITS | frozenset(" ().-")
-_SECRET = _ALNUM | frozenset("_-+/=.~!$%&*")
-_URL = _SECRET | frozenset("@:")
+_URL = _ALNUM | frozenset("_-+/=.~!$%&*@:")
 _SPACE = frozenset(" \t\r\n")
-
-#: Longest secret and longest URL, in characters; base kinds have no limit.
-SECRET_CHARS, URL_CHARS = 512, 4096
+#: A value in quotes ends at the same quote on its line, any other value at white space.
+_QUOTED = re.compile(r""""((?:[^"\\\r\n]++|\\.)*+)"|'((?:[^'\\\r\n]++|\\.)*+)'""")
+_WORD = re.compile(r"\S*")
 
 Span = tuple[str, int, int]
 
 
-def _run(text: str, at: int, allowed: frozenset, most: int | None = None) -> int:
-    """End of the run of allowed characters that starts at `at`, at most `most` long."""
-    end, size = at, len(text) if most is None else min(len(text), at + most)
+def _run(text: str, at: int, allowed: frozenset) -> int:
+    """End of the run of allowed characters that starts at `at`."""
+    end, size = at, len(text)
     while end < size and text[end] in allowed:
         end += 1
     return end
@@ -188,25 +188,38 @@ def _ssn(text: str, at: int) -> tuple[int, int] | None:
     return (at, end) if shaped and (end >= len(text) or text[end] not in _ALNUM) else None
 
 
-def _secret(text: str, at: int) -> tuple[int, int] | None:
-    """A token of eight characters or more with a letter and a digit."""
-    quoted = at + (text[at : at + 1] in ("'", '"'))
-    end = _run(text, quoted, _SECRET, SECRET_CHARS)
-    value = text[quoted:end].rstrip(".!")
-    mixed = any(c in _DIGITS for c in value) and any(c.isalpha() for c in value)
-    return (quoted, quoted + len(value)) if len(value) >= 8 and mixed else None
-
+def _secret(text: str, at: int, parsed: int) -> tuple[tuple[int, int] | None, int]:
+    """A value of eight characters or more with a letter and a digit, and how far text is parsed.
 
-def _user_url(text: str, at: int, anchor_end: int) -> tuple[int, int] | None:
-    """A URL with `user:password@host`, from its scheme to the end of the host."""
+    A value without quotes that begins before `parsed` is the end of one that was looked at. A
+    value in quotes may reach further: it goes to the next such quote, so no part of a text is
+    in many of them.
+    """
+    quoted = _QUOTED.match(text, at)
+    if quoted:
+        start, end = quoted.span(quoted.lastindex)
+    else:
+        if at < parsed:
+            return None, parsed
+        start = at + (text[at : at + 1] in ("'", '"'))
+        end = parsed = _WORD.match(text, start).end()
+    value = text[start:end]
+    if len(value) >= 8 and any(c in _DIGITS for c in value) and any(c.isalpha() for c in value):
+        return (start, end), max(parsed, end)
+    return None, parsed
+
+
+def _user_url(text: str, at: int, anchor_end: int) -> tuple[tuple[int, int] | None, int]:
+    """A URL with `user:password@host`, from its scheme to the end of the host, and how far text is parsed."""
     start = at
     while start > 0 and text[start - 1] in _ALNUM:
         start -= 1
-    if start == at:
-        return None
-    end = _run(text, anchor_end, _URL, URL_CHARS)
+    if start == at or text[anchor_end : anchor_end + 1] == "@":
+        return None, at
+    end = _run(text, anchor_end, _URL)
     host = text.find("@", anchor_end, end)
-    return (start, end) if anchor_end < host < end - 1 else None
+    # Without an at-sign in the run, or with one at its end alone, no later scheme in it has a host.
+    return ((start, end) if anchor_end < host < end - 1 else None), end
 
 
 def automaton():
@@ -230,7 +243,7 @@ def find_spans(text: str | None, anchors) -> list[Span]:
         return []
     found: dict[str, list[tuple[int, int]]] = {kind: [] for kind in KINDS}
     ends = dict.fromkeys(KINDS, 0)
-    ip_next = 0
+    ip_next, secret_at = 0, -1
     for last, (kind, size) in anchors.iter(_folded(text)):
         at = last - size + 1
         if kind == "number":
@@ -264,15 +277,21 @@ def find_spans(text: str | None, anchors) -> list[Span]:
                         found["phone"].append(span)
         elif kind == "url":
             if at >= ends["url"]:
-                span = _user_url(text, at, last + 1)
+                span, ends["url"] = _user_url(text, at, last + 1)
                 if span:
                     found["url"].append(span)
-                    ends["url"] = span[1]
+        elif kind in ("secret", "bearer"):
+            value = _after_cue(text, last + 1, kind in _BARE)
+            # Two cues may end at one place.
+            if value is not None and value > secret_at:
+                secret_at = value
+                span, ends["secret"] = _secret(text, value, ends["secret"])
+                if span:
+                    found["secret"].append(span)
         else:
             value = _after_cue(text, last + 1, kind in _BARE)
-            kind = "secret" if kind == "bearer" else kind
             if value is not None and value >= ends[kind]:
-                span = {"iban": _iban, "ssn": _ssn, "secret": _secret}[kind](text, value)
+                span = {"iban": _iban, "ssn": _ssn}[kind](text, value)
                 if span:
                     found[kind].append(span)
                     ends[kind] = span[1]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 
@@ -92,3 +93,40 @@ def test_pipeline_leaves_no_planted_token(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
     clean = corpus_pipeline.redact_pii(spark, docs, "").collect()
     assert all(r.text.split(" = ")[1] == '"[SECRET]" after' for r in clean)
+
+
+LONG = "a1B2-" * 4000
+
+
+@pytest.mark.parametrize(
+    "text, value",
+    [
+        (f"access_token={LONG} after", LONG),
+        (f'access_token = "{LONG}" after', LONG),
+        ("password: Tr0ub4dor#3xyz after", "Tr0ub4dor#3xyz"),
+        ("password: p@ssw0rd123 after", "p@ssw0rd123"),
+        ("password: 'corr3ct horse, \\'battery' after", "corr3ct horse, \\'battery"),
+        ('password: "unclosed#1 after\n" end', "unclosed#1"),
+        ('password=token="a1 b2c3d4e5" after', "a1 b2c3d4e5"),
+    ],
+)
+def test_secrets_to_their_true_end(text, value):
+    spans = pii.find_spans(text, pii.automaton())
+    assert value in [text[a:b] for k, a, b in spans if k == "secret"]
+    assert not set(re.findall(r"\w+", value)) & set(re.findall(r"\w+", pii.redact(text, spans)))
+
+
+def test_urls_with_a_long_password():
+    text = f"see https://joe:{'x' * 9000}@host.example/x now"
+    assert [text[a:b] for k, a, b in pii.find_spans(text, pii.automaton()) if k == "url"] == [text[4:-4]]
+
+
+@pytest.mark.parametrize("piece", ["password=", 'token="', "token='token=\"", "token=\\\"", "a://", "a://@", "a://b@", "secret is "])
+def test_scan_stays_linear(piece):
+    anchors, took = pii.automaton(), []
+    for copies in (5_000, 40_000):
+        start = time.process_time()
+        pii.find_spans(piece * copies, anchors)
+        took.append(time.process_time() - start)
+    # Eight times the text; a square would take 64 times.
+    assert took[1] < 24 * took[0] + 0.2
