@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from samebytes.llm.common import ship
 
-#: Edits allowed per word of an item, rounded down; items of fewer words are no passages.
+#: Edits allowed per word of an item, rounded down; items of fewer words are found without edits only.
 EDIT_SHARE, MIN_WORDS = 0.2, 5
 #: Walks at least, sampled hashes per walk and steps per hash.
 WALKS, TABLES, SAMPLES = 8, 6, 4
@@ -169,6 +169,11 @@ def passage_distance(item: list[int], stretch: list[int]) -> tuple[int, int]:
     return best
 
 
+def _order(passage: tuple[int | None, int, int]) -> tuple:
+    """By item, unnamed ones last."""
+    return passage[0] is None, passage[0] or 0
+
+
 @dataclass
 class LengthClass:
     """Segments of similar length with the sorted LSH keys of their windows.
@@ -191,9 +196,14 @@ class ItemIndex:
     def __init__(self, items: list[tuple[int | None, str | None]], share: float, min_words: int):
         self.vocabulary: dict[str, int] = {}
         self.ids, self.words, self.edits = [], [], []
+        #: Items of few words by their number of words and the words themselves.
+        self.short: dict[int, dict[tuple[int, ...], list[int | None]]] = {}
         for name, text in items:
             words = words_of(text)
-            if len(words) >= min_words:
+            if 0 < len(words) < min_words:
+                numbers = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words)
+                self.short.setdefault(len(words), {}).setdefault(numbers, []).append(name)
+            elif words:
                 self.ids.append(name)
                 self.words.append([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words])
                 self.edits.append(edits_allowed(len(words), share))
@@ -361,6 +371,17 @@ class ItemIndex:
         np.add.at(edge, [b + len(w) for b, w in zip(begins, texts.values(), strict=True)], -1)
         return np.cumsum(edge[:-1]) == 0
 
+    def _search_short(self, words: list[int]) -> list[tuple[int | None, int, int]]:
+        """First exact passage of every short item."""
+        found = []
+        for size, items in self.short.items():
+            seen: dict[tuple[int, ...], int] = {}
+            for last, part in enumerate(zip(*(words[i:] for i in range(size)), strict=False), size - 1):
+                if part in items:
+                    seen.setdefault(part, last)
+            found += [(name, 0, last) for part, last in seen.items() for name in items[part]]
+        return sorted(found, key=_order)
+
     def search(self, texts: Iterable[str | None]) -> list[list[tuple[int | None, int, int]]]:
         """(item id, distance, last word) of the best passage of every item, for each text."""
         get = self.vocabulary.get
@@ -368,17 +389,17 @@ class ItemIndex:
         some: dict[int, list[int]] = {}
         held = 0
         for number, text in enumerate(texts):
-            out.append([])
-            words = [get(w, 0) for w in words_of(text)] if self.ids else []
-            if len(words) >= _GRAM and any(words):
+            words = [get(w, 0) for w in words_of(text)] if self.vocabulary else []
+            out.append(self._search_short(words) if self.short else [])
+            if self.ids and len(words) >= _GRAM and any(words):
                 some[number] = words
                 held += len(words)
             if held > _WORDS:
                 for found, passages in self._search_some(some).items():
-                    out[found] = passages
+                    out[found] = sorted(out[found] + passages, key=_order)
                 some, held = {}, 0
         for found, passages in self._search_some(some).items():
-            out[found] = passages
+            out[found] = sorted(out[found] + passages, key=_order)
         return out
 
 
@@ -408,8 +429,8 @@ def find_passages(
     number of the passage's last word. Items are brought to the driver and to the tasks in blocks
     of `block_bytes` of text; every block is searched in the same scan. Documents stay in place:
     nothing is shuffled, and each text is searched whole. Null and empty texts, and tables
-    without items, give empty arrays; items with null text or fewer than `min_words` words are
-    left out; repeated items are each reported. Other columns pass through, one called
+    without items, give empty arrays; items without words are left out; items of fewer than
+    `min_words` words are found as exact word sequences; repeated items are each reported. Other columns pass through, one called
     `passages` is replaced.
     """
     ship(docs.sparkSession)

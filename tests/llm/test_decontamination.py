@@ -108,3 +108,11 @@ def test_class_that_walks_do_not_find_is_verified_whole(monkeypatch):
     docs = [" ".join(["a"] * 9 + edited(text.split(), 10, pool, some) + ["b"] * 9) for _, text in items]
     assert [group.walks for group in index.classes] == [0]
     assert [[p[0] for p in found] for found in index.search(docs)] == [[n] for n, _ in items]
+
+
+def test_short_items_are_found_without_edits():
+    items = [(1, "Blue moon"), (2, "yes"), (3, "one two three four"), (4, ""), (5, "blue moon"), (6, "a b c d e f")]
+    index = dc.ItemIndex(items, dc.EDIT_SHARE, dc.MIN_WORDS)
+    found = index.search(["blue, MOON.", "One two three for four", "so: one two three four blue sky moon", None, "a b c d e f yes"])
+    assert found == [[(1, 0, 1), (5, 0, 1)], [], [(3, 0, 4)], [], [(2, 0, 6), (6, 0, 5)]]
+    assert dc.ItemIndex(items[:2], dc.EDIT_SHARE, dc.MIN_WORDS).search(["yes"]) == [[(2, 0, 0)]]
