@@ -73,72 +73,163 @@ MAINTENANCE_RETRY_SECONDS = 120
 PAGE_SIZE = (100, 1000)
 JOB_PAGE_SIZE = (50, 200)
 ERROR_TEXT_LIMIT = 1024
-STDERR_TEXT_LIMIT = 2048
 
 
-def _struct(spec: str) -> T.StructType:
-    """`name type[!]` lines; `!` marks a column that is never NULL."""
+def _table(ddl: str) -> T.StructType:
+    """A schema from DDL, without the session that Spark's own parser needs."""
     kinds = {
-        "L": T.LongType(),
-        "I": T.IntegerType(),
-        "S": T.StringType(),
-        "B": T.BooleanType(),
-        "D": T.DoubleType(),
-        "T": T.TimestampType(),
-        "X": T.BinaryType(),
+        "bigint": T.LongType(),
+        "int": T.IntegerType(),
+        "string": T.StringType(),
+        "boolean": T.BooleanType(),
+        "double": T.DoubleType(),
+        "timestamp": T.TimestampType(),
+        "binary": T.BinaryType(),
     }
-    fields = []
-    for item in spec.split(","):
-        name, kind = item.split()
-        fields.append(T.StructField(name, kinds[kind[0]], not kind.endswith("!")))
-    return T.StructType(fields)
+    columns = [column.split(maxsplit=2) for column in ddl.split(",")]
+    return T.StructType([T.StructField(name, kinds[kind], not rest) for name, kind, *rest in columns])
 
 
-LIBRARY_ROOTS = _struct(
-    "id L!, name S!, root_path S!, created_at T, updated_at T, last_scanned_at T"
-)
+# --- fixed values: columns of the stored tables ------------------------------
+LIBRARY_ROOTS = _table("""
+    id bigint NOT NULL,
+    name string NOT NULL,
+    root_path string NOT NULL,
+    created_at timestamp,
+    updated_at timestamp,
+    last_scanned_at timestamp
+""")
 
-LIBRARY_FILES = _struct(
-    "id L!, library_id L!, relative_path S!, size_bytes L!, mtime_ns L!, inode L, device L, "
-    "is_missing B!, needs_hash B!, last_seen_scan_id L, hash_algorithm S, content_hash X, "
-    "hashed_size_bytes L, hashed_mtime_ns L, hashed_at T, hash_error_count I!, "
-    "hash_last_error S, hash_last_error_at T, hash_retry_after T, hash_claim_token S, "
-    "hash_claimed_at T, created_at T, updated_at T"
-)
+LIBRARY_FILES = _table("""
+    id bigint NOT NULL,
+    library_id bigint NOT NULL,
+    relative_path string NOT NULL,
+    size_bytes bigint NOT NULL,
+    mtime_ns bigint NOT NULL,
+    inode bigint,
+    device bigint,
+    is_missing boolean NOT NULL,
+    needs_hash boolean NOT NULL,
+    last_seen_scan_id bigint,
+    hash_algorithm string,
+    content_hash binary,
+    hashed_size_bytes bigint,
+    hashed_mtime_ns bigint,
+    hashed_at timestamp,
+    hash_error_count int NOT NULL,
+    hash_last_error string,
+    hash_last_error_at timestamp,
+    hash_retry_after timestamp,
+    hash_claim_token string,
+    hash_claimed_at timestamp,
+    created_at timestamp,
+    updated_at timestamp
+""")
 
-SCAN_SESSIONS = _struct(
-    "id L!, status S!, started_at T, finished_at T, error_message S, files_seen L!, "
-    "directories_seen L!, bytes_seen L!, error_count I!"
-)
+SCAN_SESSIONS = _table("""
+    id bigint NOT NULL,
+    status string NOT NULL,
+    started_at timestamp,
+    finished_at timestamp,
+    error_message string,
+    files_seen bigint NOT NULL,
+    directories_seen bigint NOT NULL,
+    bytes_seen bigint NOT NULL,
+    error_count int NOT NULL
+""")
 
-JOBS = _struct(
-    "id S!, kind S!, status S!, dry_run B!, worker_id S, worker_heartbeat_at T, "
-    "lease_expires_at T, progress D!, total_items I, processed_items I!, payload S, "
-    "error_code S, error_message S, created_at T, updated_at T, started_at T, finished_at T"
-)
+JOBS = _table("""
+    id string NOT NULL,
+    kind string NOT NULL,
+    status string NOT NULL,
+    dry_run boolean NOT NULL,
+    worker_id string,
+    worker_heartbeat_at timestamp,
+    lease_expires_at timestamp,
+    progress double NOT NULL,
+    total_items int,
+    processed_items int NOT NULL,
+    payload string,
+    error_code string,
+    error_message string,
+    created_at timestamp,
+    updated_at timestamp,
+    started_at timestamp,
+    finished_at timestamp
+""")
 
-THUMBNAILS = _struct(
-    "id L!, thumb_key S!, file_id L!, group_key S, status S!, media_type S!, format S!, "
-    "max_dimension I!, version I!, source_size_bytes L!, source_mtime_ns L!, "
-    "output_relpath S, width I, height I, bytes_size L, error_code S, error_message S, "
-    "error_count I!, retry_after T, worker_id S, worker_heartbeat_at T, lease_expires_at T, "
-    "created_at T, updated_at T, started_at T, finished_at T"
-)
+THUMBNAILS = _table("""
+    id bigint NOT NULL,
+    thumb_key string NOT NULL,
+    file_id bigint NOT NULL,
+    group_key string,
+    status string NOT NULL,
+    media_type string NOT NULL,
+    format string NOT NULL,
+    max_dimension int NOT NULL,
+    version int NOT NULL,
+    source_size_bytes bigint NOT NULL,
+    source_mtime_ns bigint NOT NULL,
+    output_relpath string,
+    width int,
+    height int,
+    bytes_size bigint,
+    error_code string,
+    error_message string,
+    error_count int NOT NULL,
+    retry_after timestamp,
+    worker_id string,
+    worker_heartbeat_at timestamp,
+    lease_expires_at timestamp,
+    created_at timestamp,
+    updated_at timestamp,
+    started_at timestamp,
+    finished_at timestamp
+""")
 
-CLEANUP_JOBS = _struct(
-    "id L!, group_key S!, status S!, execute_after T!, worker_id S, worker_heartbeat_at T, "
-    "lease_expires_at T, error_code S, error_message S, created_at T, updated_at T, "
-    "finished_at T"
-)
+CLEANUP_JOBS = _table("""
+    id bigint NOT NULL,
+    group_key string NOT NULL,
+    status string NOT NULL,
+    execute_after timestamp NOT NULL,
+    worker_id string,
+    worker_heartbeat_at timestamp,
+    lease_expires_at timestamp,
+    error_code string,
+    error_message string,
+    created_at timestamp,
+    updated_at timestamp,
+    finished_at timestamp
+""")
 
-MAINTENANCE_JOBS = _struct(
-    "id L!, requested_mode S!, status S!, requested_by S, reason S, execute_after T!, "
-    "retry_count I!, retry_after T, worker_id S, worker_heartbeat_at T, lease_expires_at T, "
-    "checkpoint_busy I, checkpoint_log_frames I, checkpointed_frames I, error_code S, "
-    "error_message S, created_at T, updated_at T, started_at T, finished_at T"
-)
+MAINTENANCE_JOBS = _table("""
+    id bigint NOT NULL,
+    requested_mode string NOT NULL,
+    status string NOT NULL,
+    requested_by string,
+    reason string,
+    execute_after timestamp NOT NULL,
+    retry_count int NOT NULL,
+    retry_after timestamp,
+    worker_id string,
+    worker_heartbeat_at timestamp,
+    lease_expires_at timestamp,
+    checkpoint_busy int,
+    checkpoint_log_frames int,
+    checkpointed_frames int,
+    error_code string,
+    error_message string,
+    created_at timestamp,
+    updated_at timestamp,
+    started_at timestamp,
+    finished_at timestamp
+""")
 
-IO_RATE_LIMITS = _struct("bucket_key S!, next_available_at_ms L!, updated_at T")
+IO_RATE_LIMITS = _table("""
+    bucket_key string NOT NULL,
+    next_available_at_ms bigint NOT NULL,
+    updated_at timestamp
+""")
 
 # --- fixed values: defaults of columns that older tables may lack ------------
 COLUMN_DEFAULTS = {
@@ -198,12 +289,26 @@ UNIQUE_KEYS = {
 }
 
 # One entry seen while walking a file tree.
-TREE_ENTRIES = _struct(
-    "library S!, kind S!, relative_path S, size_bytes L, mtime_ns L, inode L, device L, error S"
-)
+TREE_ENTRIES = _table("""
+    library string NOT NULL,
+    kind string NOT NULL,
+    relative_path string,
+    size_bytes bigint,
+    mtime_ns bigint,
+    inode bigint,
+    device bigint,
+    error string
+""")
 
 # Result of hashing one candidate.
-HASH_OUTCOMES = _struct(
-    "id L!, outcome S!, digest X, size_bytes L, mtime_ns L, inode L, device L, "
-    "bytes_hashed L!, error S"
-)
+HASH_OUTCOMES = _table("""
+    id bigint NOT NULL,
+    outcome string NOT NULL,
+    digest binary,
+    size_bytes bigint,
+    mtime_ns bigint,
+    inode bigint,
+    device bigint,
+    bytes_hashed bigint NOT NULL,
+    error string
+""")
