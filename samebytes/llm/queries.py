@@ -11,6 +11,7 @@ from samebytes.llm import (
     chat,
     decontamination,
     embeddings,
+    exact,
     language,
     mixing,
     near_duplicates,
@@ -246,3 +247,16 @@ FROM embeddings JOIN roots ON roots.a = vec_id LEFT JOIN counts ON counts.a = ve
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     """Components and links of near-equal embeddings within each label."""
     return embeddings.near_vectors(table(spark, folder, "embeddings"))
+
+
+@query(
+    "op11_grace_exact",
+    """
+WITH texts AS (
+ SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+copies AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM texts JOIN copies USING (t)""",
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents with equal texts."""
+    return exact.exact_duplicates(table(spark, folder, "documents"))

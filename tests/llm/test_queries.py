@@ -16,6 +16,9 @@ COLUMNS = {
     "op7": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
     "op8": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
     "op9": "vec_id n_links component_id kept",
+    "op11": "doc_id keep_id group_size kept text_sha256",
+    "op12": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op13": "item_id rank doc_id score",
 }
 
 
