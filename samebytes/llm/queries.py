@@ -17,6 +17,7 @@ from samebytes.llm import (
     near_duplicates,
     pii,
     quality,
+    runs,
     toxicity,
     urls,
 )
@@ -260,3 +261,37 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of documents with equal texts."""
     return exact.exact_duplicates(table(spark, folder, "documents"))
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """Texts of about a tenth of the documents made periodic from some word on."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.select(
+        "doc_id", "text", hashed.alias("h"),
+        F.when(hashed % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("words"),
+    )
+    count = words.withColumn("n", F.size("words")).withColumn("g", F.floor(F.col("h") / 10))
+    placed = count.withColumn("a", F.expr("CASE WHEN n > 0 THEN cast(g % n AS int) END")).withColumn(
+        "p", F.expr("1 + cast(floor((n - a) / (3 + g % 8)) AS int)")
+    )
+    tail = "flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) AS int)))"
+    periodic = F.expr(f"array_join(slice(concat(slice(words, 1, a), {tail}), 1, n), ' ')")
+    return placed.select("doc_id", F.when((F.col("h") % 10 == 0) & (F.col("n") > 0), periodic).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_maximal_pair_runs")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document: the longest one, digests of all of them and of the collapsed text."""
+    found = runs.find_runs(with_periodic_tails(table(spark, folder, "documents")))
+    # Longest first, then by start and period.
+    place = F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"]))
+    longest = found.withColumn("_best", F.array_min(place))
+    start, length, period = F.col("_best.start"), -F.col("_best.col1"), F.col("_best.period")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return longest.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
