@@ -18,6 +18,7 @@ from samebytes.llm import (
     pii,
     quality,
     runs,
+    search,
     toxicity,
     urls,
 )
@@ -295,3 +296,28 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    "op13_shared_search",
+    r"""
+WITH said AS (
+ SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+asked AS (
+ SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+times AS (SELECT doc_id, term, count(*) AS tf FROM said GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS n FROM said GROUP BY ALL),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM lengths),
+weights AS (
+ SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM times, totals GROUP BY term),
+scores AS (
+ SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::BIGINT AS score
+ FROM asked JOIN times USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), totals GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20""",
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    return search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
