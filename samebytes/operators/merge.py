@@ -159,16 +159,17 @@ def missing_files(catalog: DataFrame, scan: DataFrame, scanned: DataFrame) -> Da
     return present.join(scan.select(*KEY), KEY, "left_anti")
 
 
-def assign_ids(catalog: DataFrame, scan: DataFrame) -> DataFrame:
+def assign_ids(catalog: DataFrame, scan: DataFrame, largest: int | None = None) -> DataFrame:
     """Ids for files the catalog does not know, dense after its largest id, by key.
 
     Only keys are read from the catalog; only new keys are ranked, in range slices. A file that
-    the scan has several times gets one id.
+    the scan has several times gets one id. `largest` is given where `catalog` is a part of the
+    whole one, as long as it holds every file of the scan that is known.
     """
     added = rows_not_in(scan.select(*KEY).distinct(), catalog, KEY)
     placed = with_position(added, KEY, "_rank")
-    largest = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
-    return placed.select(*KEY, (largest + F.col("_rank") + 1).cast("bigint").alias("id"))
+    top = F.lit(largest) if largest is not None else catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
+    return placed.select(*KEY, (top + F.col("_rank") + 1).cast("bigint").alias("id"))
 
 
 def register_roots(roots: DataFrame, discovered: DataFrame, now: Clock) -> DataFrame:

@@ -163,8 +163,13 @@ def admit(
     return matched.withColumn("outcome", final)
 
 
-def apply_requests(variants: DataFrame, admitted: DataFrame, now: Clock) -> DataFrame:
-    """The variant table after a batch: requeued rows reset, admitted rows added (W8 ids)."""
+def apply_requests(
+    variants: DataFrame, admitted: DataFrame, now: Clock, largest: int | None = None
+) -> DataFrame:
+    """The variant table after a batch: requeued rows reset, admitted rows added (W8 ids).
+
+    `largest` is the largest id where `variants` is a part of the table.
+    """
     stamp = as_timestamp(now)
     again = admitted.filter(F.col("outcome") == "requeued").select(
         "thumb_key", F.lit(True).alias("_again")
@@ -183,9 +188,9 @@ def apply_requests(variants: DataFrame, admitted: DataFrame, now: Clock) -> Data
     new = with_position(
         admitted.filter(F.col("outcome") == "admitted"), ["first_seq", "thumb_key"], "_rank"
     )
-    largest = variants.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
+    top = F.lit(largest) if largest is not None else variants.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
     fixed = {
-        "id": largest + F.col("_rank") + 1,
+        "id": top + F.col("_rank") + 1,
         "status": F.lit("pending"),
         "version": F.lit(VARIANT_VERSION),
         "error_count": F.lit(0),

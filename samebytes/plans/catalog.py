@@ -88,14 +88,20 @@ def run_hash(
 ) -> Row:
     """Hash due files (all of them, or the first `max_files` by id) and return the counts.
 
+    Only the buckets of the catalog that hold these files are written anew.
+
     With `libraries_root`, libraries outside it are not read; their files fail.
     """
     catalog = store.read("library_files")
-    candidates = with_root(next_hash_files(catalog, now, max_files), store.read("library_roots"))
+    due = next_hash_files(catalog, now, max_files)
+    candidates = with_root(due, store.read("library_roots"))
     # Reading files is the expensive part and must happen once.
     outcomes = materialize(hash_files(candidates, algorithm=algorithm, libraries_root=libraries_root))
-    updated = apply_outcomes(catalog, outcomes, algorithm=algorithm, now=now)
-    store.publish("library_files", updated, cluster_by=["hash_algorithm", "content_hash", "id"])
+    touched = store.touched("library_files", due)
+    updated = apply_outcomes(
+        store.read("library_files", buckets=touched), outcomes, algorithm=algorithm, now=now
+    )
+    store.replace("library_files", updated, touched, cluster_by=["hash_algorithm", "content_hash", "id"])
     return hash_summary(outcomes).first()
 
 
@@ -123,6 +129,11 @@ def run_requests(
         )
     )
     decided = materialize(admit(match_variants(planned, variants, now), variants, capacity))
-    store.publish("thumbnails", apply_requests(variants, decided, now))
+    changed = decided.filter(F.col("outcome").isin("admitted", "requeued"))
+    touched = store.touched("thumbnails", changed)
+    after = apply_requests(
+        store.read("thumbnails", buckets=touched), decided, now, largest=store.top_id("thumbnails")
+    )
+    store.replace("thumbnails", after, touched)
     rejected = planned.filter(F.col("reject").isNotNull())
     return decided.unionByName(rejected.withColumn("outcome", F.lit("rejected")))

@@ -26,8 +26,8 @@ def merge_stream(
     """Every micro-batch of scanned files becomes a new catalog version.
 
     A file seen twice in a batch counts once, with its newest modification time. Missing
-    files are left to a complete scan, since no batch is one. Every batch writes the catalog
-    anew, so let triggers gather much.
+    files are left to a complete scan, since no batch is one. A batch reads and writes the
+    buckets of the catalog that its files fall into, and no others.
 
     A batch that is replayed after a crash is found in `merged_batches` and skipped. Batch
     numbers belong to a checkpoint: a stream with a new one merges everything it reads.
@@ -45,14 +45,15 @@ def merge_stream(
             F.max_by(F.struct(*SEEN), F.struct("mtime_ns", "size_bytes")).alias("s")
         )
         scan = materialize(newest.select(*KEY, "s.*"))
-        catalog = store.read("library_files")
+        touched = store.touched("library_files", scan)
+        catalog = store.read("library_files", buckets=touched)
         nothing = scan.select("library_id").limit(0)
         after = merge_scan(
-            catalog, scan, nothing,
-            scan_id=scan_id, now=now, complete=False, new_ids=assign_ids(catalog, scan),
+            catalog, scan, nothing, scan_id=scan_id, now=now, complete=False,
+            new_ids=assign_ids(catalog, scan, largest=store.top_id("library_files")),
         )
         # A crash between the two writes repeats the merge, which then changes nothing more.
-        store.publish("library_files", after.drop("change"))
+        store.replace("library_files", after.drop("change"), touched)
         done = spark.createDataFrame([(checkpoint, batch_id)], log)
         store.publish("merged_batches", merged.filter(~mine).unionByName(done).coalesce(1))
 

@@ -3,6 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from samebytes.operators.conform import conform
 from samebytes.operators.hashing import hash_summary
 from samebytes.sources import content, filetree
 from samebytes.sources.store import SnapshotStore
@@ -145,3 +146,79 @@ def test_snapshots(spark, tmp_path):
     # A reader of the old version is not disturbed by a new one made from it.
     assert store.publish("thing", reader.filter("id > 0"), cluster_by=["id"]) == 2
     assert (reader.count(), store.read("thing").count(), store.read("thing", 1).count()) == (3, 2, 3)
+
+
+def _files(spark, *rows):
+    columns = "id long, library_id long, relative_path string, size_bytes long, mtime_ns long"
+    return conform(spark.createDataFrame(rows, columns), "library_files")
+
+
+def _parquet(folder):
+    return {os.path.join(d, f) for d, _, names in os.walk(folder) for f in names if f.endswith(".parquet")}
+
+
+def test_a_small_change_writes_one_bucket(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"), buckets=8)
+    assert store.touched("library_files", _files(spark)) is None
+    rows = [(i, i % 3, f"f{i}", i, i) for i in range(1, 101)]
+    store.publish("library_files", _files(spark, *rows), cluster_by=["id"])
+    before, old = _parquet(tmp_path), store.read("library_files")
+    assert len(before) == 8 and store.top_id("library_files") == 100
+
+    changed = _files(spark, (7, 1, "f7", 700, 7), (101, 1, "f7b", 1, 1))
+    touched = store.touched("library_files", changed.limit(1))
+    assert len(touched) == 1
+    part = store.read("library_files", buckets=touched)
+    assert 0 < part.count() < 40
+    after = part.filter("id != 7").unionByName(changed.limit(1))
+    assert store.replace("library_files", after, touched) == 2
+    assert len(_parquet(tmp_path) - before) == 1 and before <= _parquet(tmp_path)
+    assert old.filter("id = 7").first().size_bytes == 7  # readers of the old version are not disturbed
+    assert store.read("library_files", 1).agg({"size_bytes": "sum"}).first()[0] == 5050
+    assert store.read("library_files").agg({"size_bytes": "sum"}).first()[0] == 5050 + 693
+    assert store.read("library_files").schema == old.schema
+
+    # A bucket may lose all its rows, and a whole version starts anew.
+    store.replace("library_files", after.limit(0), touched)
+    assert store.read("library_files").count() == 100 - part.count()
+    store.publish("library_files", _files(spark, *rows[:5]))
+    assert (store.read("library_files").count(), store.read("library_files", 2).count(), store.top_id("library_files")) == (5, 100, 5)
+
+
+def test_retained_versions_keep_folders_of_older_ones(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path / "store"), buckets=4)
+    store.publish("library_files", _files(spark, *[(i, 1, f"f{i}", 1, 1) for i in range(1, 41)]))
+    for size in (2, 3, 4):
+        one = _files(spark, (1, 1, "f1", size, 1))
+        touched = store.touched("library_files", one)
+        rest = store.read("library_files", buckets=touched).filter("id != 1")
+        store.replace("library_files", rest.unionByName(one), touched)
+    store.retain("library_files", 2)
+    assert len(_parquet(tmp_path)) == 3 + 2
+    assert [store.read("library_files", v).agg({"size_bytes": "sum"}).first()[0] for v in (3, 4)] == [42, 43]
+
+
+def test_whole_tables_of_older_stores_get_buckets(spark, tmp_path):
+    rows = [(i, 1, f"f{i}", 1, 1) for i in range(1, 11)]
+    SnapshotStore(spark, str(tmp_path / "store"), buckets=0).publish("library_files", _files(spark, *rows))
+    store = SnapshotStore(spark, str(tmp_path / "store"), buckets=4)
+    assert store.touched("library_files", _files(spark, rows[0])) is None
+    assert store.read("library_files").count() == 10 and store.top_id("library_files") == 10
+    store.replace("library_files", store.read("library_files"), None)
+    assert len(store.touched("library_files", _files(spark, rows[0]))) == 1
+
+
+def test_a_stream_batch_leaves_other_buckets_alone(spark, tmp_path):
+    from samebytes.streaming import incremental
+
+    store = SnapshotStore(spark, str(tmp_path / "store"), buckets=16)
+    store.publish("library_files", _files(spark, *[(i, 1, f"f{i}", 1, 1) for i in range(1, 201)]))
+    before = _parquet(tmp_path / "store" / "library_files")
+    scan = "library_id long, relative_path string, size_bytes long, mtime_ns long, inode long, device long"
+    spark.createDataFrame([(1, "f7", 9, 9, None, None), (1, "new", 5, 5, None, None)], scan).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(scan).parquet(str(tmp_path / "in"))
+    incremental.merge_stream(stream, store, str(tmp_path / "ckpt"), scan_id=3, now="2026-01-01").awaitTermination()
+    fresh = _parquet(tmp_path / "store" / "library_files") - before
+    assert 1 <= len(fresh) <= 2
+    rows = {r.relative_path: (r.id, r.size_bytes) for r in store.read("library_files").collect()}
+    assert len(rows) == 201 and rows["f7"] == (7, 9) and rows["new"] == (201, 5)
