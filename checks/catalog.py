@@ -29,6 +29,28 @@ GROUPS = f""", grouped AS (SELECT hash_algorithm || ':' || content_hash_hex AS g
 _ORDER = "file_count DESC, total_size_bytes DESC, hash_algorithm, content_hash_hex"
 
 
+def flat(catalog, *more):
+    """All columns of a catalog as numbers and text, which both engines write alike."""
+    kinds = {
+        "timestamp": lambda c: F.unix_micros(c),
+        "binary": lambda c: F.lower(F.hex(c)),
+        "integer": lambda c: F.col(c).cast("bigint"),
+    }
+    columns = [kinds.get(f.dataType.typeName(), F.col)(f.name).alias(f.name) for f in S.LIBRARY_FILES]
+    return catalog.select(*columns, *more)
+
+
+def flat_sql(**changed: str) -> str:
+    """The same of the `catalog` view, with other expressions for some columns."""
+    parts = []
+    for f in S.LIBRARY_FILES:
+        value = changed.get(f.name, "content_hash_hex" if f.name == "content_hash" else f.name)
+        kind = f.dataType.typeName()
+        value = f"epoch_us({value})" if kind == "timestamp" else f"CAST({value} AS BIGINT)" if kind == "integer" else value
+        parts.append(f"{value} AS {f.name}")
+    return ", ".join(parts)
+
+
 # --- sources: the documents as files ------------------------------------------
 def document_tree(t) -> str:
     """Every document as a file `lib-<source>/<lang>/<doc_id>.txt` in the shared folder.
@@ -94,17 +116,18 @@ def _(t):
 
 @check(
     "s4_snapshot_store",
-    "SELECT id, library_id, relative_path, size_bytes, content_hash_hex FROM files",
-    "files",
+    f"SELECT {flat_sql(size_bytes='size_bytes + CASE WHEN id % 97 = 3 THEN 1 ELSE 0 END')} FROM catalog",
+    "catalog",
 )
 def _(t):
     store = SnapshotStore(t.spark, f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}")
-    store.publish("library_files", conform.conform(t.files, "library_files", NOW),
-                  cluster_by=["hash_algorithm", "content_hash", "id"])
-    return store.read("library_files").select(
-        "id", "library_id", "relative_path", "size_bytes",
-        F.lower(F.hex("content_hash")).alias("content_hash_hex"),
-    )
+    store.publish("library_files", t.catalog, cluster_by=["hash_algorithm", "content_hash", "id"])
+    # Some files change, and only their buckets are written again.
+    touched = store.touched("library_files", t.catalog.filter("id % 97 = 3"))
+    part = store.read("library_files", buckets=touched)
+    grown = part.withColumn("size_bytes", F.expr("size_bytes + if(id % 97 = 3, 1, 0)"))
+    store.replace("library_files", grown, touched, cluster_by=["hash_algorithm", "content_hash", "id"])
+    return flat(store.read("library_files"))
 
 
 @check(
@@ -146,45 +169,48 @@ _MERGE = f""", joined AS (SELECT f.*, s.library_id AS n_library, s.relative_path
  CASE WHEN f.id IS NULL THEN 'added' WHEN s.library_id IS NULL THEN CASE WHEN f.library_id IN (SELECT library_id FROM scanned) AND NOT f.is_missing THEN 'missing' ELSE 'untouched' END
   WHEN f.is_missing THEN 'reappeared' WHEN f.size_bytes <> s.size_bytes OR f.mtime_ns <> s.mtime_ns OR coalesce(f.inode, -1) <> coalesce(s.inode, -1) OR coalesce(f.device, -1) <> coalesce(s.device, -1) THEN 'changed'
   ELSE 'unchanged' END AS change
- FROM files f FULL OUTER JOIN scan s ON s.library_id = f.library_id AND s.relative_path = f.relative_path)
+ FROM catalog f FULL OUTER JOIN scan s ON s.library_id = f.library_id AND s.relative_path = f.relative_path)
 """
+_STALE = "change IN ('added', 'changed', 'reappeared')"
+
+
+def merged_sql(new_id: str) -> str:
+    """All columns of the catalog after a merge, from `joined`."""
+    changed = {
+        "id": f"coalesce(id, {new_id})", "library_id": "coalesce(n_library, library_id)",
+        "relative_path": "coalesce(n_path, relative_path)", "size_bytes": "coalesce(n_size, size_bytes)",
+        "mtime_ns": "coalesce(n_mtime, mtime_ns)",
+        "inode": "CASE WHEN n_library IS NULL THEN inode ELSE n_inode END",
+        "device": "CASE WHEN n_library IS NULL THEN device ELSE n_device END",
+        "is_missing": "CASE WHEN n_library IS NOT NULL THEN false WHEN change = 'missing' THEN true ELSE is_missing END",
+        "needs_hash": f"CASE WHEN {_STALE} THEN true WHEN change = 'missing' THEN false ELSE needs_hash END",
+        "last_seen_scan_id": "CASE WHEN n_library IS NULL THEN last_seen_scan_id ELSE 77 END",
+        "created_at": f"CASE WHEN change = 'added' THEN {_NOW} ELSE created_at END",
+        "updated_at": f"CASE WHEN change = 'untouched' THEN updated_at ELSE {_NOW} END",
+        "hash_error_count": f"CASE WHEN {_STALE} THEN 0 ELSE hash_error_count END",
+        "content_hash": f"CASE WHEN NOT {_STALE} THEN content_hash_hex END",
+    }
+    for name in ("hash_algorithm", "hashed_size_bytes", "hashed_mtime_ns", "hashed_at", "hash_last_error", "hash_last_error_at"):
+        changed[name] = f"CASE WHEN NOT {_STALE} THEN {name} END"
+    for name in ("hash_retry_after", "hash_claim_token", "hash_claimed_at"):
+        changed[name] = f"CASE WHEN NOT {_STALE} AND change <> 'missing' THEN {name} END"
+    return flat_sql(**changed)
 
 
 @check(
     "j1_catalog_merge",
-    _MERGE
-    + f"""SELECT coalesce(id, (SELECT max(id) FROM files) + row_number() OVER (PARTITION BY id IS NULL ORDER BY n_library, n_path)) AS id,
- coalesce(n_library, library_id) AS library_id, coalesce(n_path, relative_path) AS relative_path,
- coalesce(n_size, size_bytes) AS size_bytes, coalesce(n_mtime, mtime_ns) AS mtime_ns,
- CASE WHEN n_library IS NULL THEN inode ELSE n_inode END AS inode,
- CASE WHEN n_library IS NOT NULL THEN false WHEN change = 'missing' THEN true ELSE is_missing END AS is_missing,
- CASE WHEN change IN ('added', 'changed', 'reappeared') THEN true WHEN change = 'missing' THEN false ELSE needs_hash END AS needs_hash,
- CASE WHEN n_library IS NULL THEN last_seen_scan_id ELSE 77 END AS last_seen_scan_id,
- CASE WHEN change IN ('unchanged', 'missing', 'untouched') THEN hash_algorithm END AS hash_algorithm,
- CASE WHEN change IN ('unchanged', 'missing', 'untouched') THEN content_hash_hex END AS content_hash_hex,
- CASE WHEN change IN ('unchanged', 'missing', 'untouched') THEN hash_error_count ELSE 0 END AS hash_error_count,
- CASE WHEN change IN ('unchanged', 'untouched') THEN epoch_us(hash_retry_after) END AS hash_retry_us,
- CASE WHEN change IN ('unchanged', 'untouched') THEN hash_claim_token END AS hash_claim_token,
- CASE WHEN change = 'untouched' THEN 0 ELSE {_NOW_US} END AS updated_us, change
- FROM joined""",
-    "files scan scanned",
+    _MERGE + "SELECT "
+    + merged_sql("(SELECT max(id) FROM files) + row_number() OVER (PARTITION BY id IS NULL ORDER BY n_library, n_path)")
+    + ", change FROM joined",
+    "files catalog scan scanned",
 )
 def _(t):
-    catalog = conform.conform(t.files, "library_files").withColumn("updated_at", F.timestamp_micros(F.lit(0)))
     scan = materialize(t.scan)
-    ids = merge.assign_ids(catalog, scan)
-    merged = merge.merge_scan(catalog, scan, t.scanned, scan_id=77, now=NOW, new_ids=ids)
-    return merged.select(
-        "id", "library_id", "relative_path", "size_bytes", "mtime_ns", "inode", "is_missing",
-        "needs_hash", "last_seen_scan_id", "hash_algorithm",
-        F.lower(F.hex("content_hash")).alias("content_hash_hex"),
-        F.col("hash_error_count").cast("bigint").alias("hash_error_count"),
-        F.unix_micros("hash_retry_after").alias("hash_retry_us"),
-        "hash_claim_token", F.unix_micros("updated_at").alias("updated_us"), "change",
-    )
+    ids = merge.assign_ids(t.catalog, scan)
+    return flat(merge.merge_scan(t.catalog, scan, t.scanned, scan_id=77, now=NOW, new_ids=ids), "change")
 
 
-@check("j2_mark_missing", _MERGE + "SELECT id FROM joined WHERE change = 'missing'", "files scan scanned")
+@check("j2_mark_missing", _MERGE + "SELECT id FROM joined WHERE change = 'missing'", "catalog scan scanned")
 def _(t):
     return merge.missing_files(t.files, t.scan, t.scanned).select("id")
 
@@ -192,7 +218,7 @@ def _(t):
 @check(
     "d1_scan_diff",
     _MERGE + "SELECT coalesce(n_library, library_id) AS library_id, coalesce(n_path, relative_path) AS relative_path, change FROM joined",
-    "files scan scanned",
+    "catalog scan scanned",
 )
 def _(t):
     changes = merge.scan_changes(t.files, t.scan, t.scanned)
@@ -233,31 +259,34 @@ def _(t):
     return hashing.with_root(hashing.next_hash_files(t.files, NOW), t.roots)
 
 
+_DONE = "o.outcome IN ('hashed', 'requeued')"
+_OUTCOME = {
+    **{c: f"CASE WHEN o.outcome = 'requeued' THEN o.{c} ELSE f.{c} END" for c in ("size_bytes", "mtime_ns", "inode", "device")},
+    "id": "f.id",
+    "is_missing": f"CASE WHEN o.outcome = 'missing' THEN true WHEN {_DONE} THEN false ELSE is_missing END",
+    "needs_hash": "CASE WHEN o.outcome IN ('hashed', 'missing') THEN false WHEN o.outcome IN ('requeued', 'failed') THEN true ELSE needs_hash END",
+    "hash_algorithm": "CASE o.outcome WHEN 'hashed' THEN 'sha256' WHEN 'requeued' THEN NULL ELSE hash_algorithm END",
+    "content_hash": "CASE o.outcome WHEN 'hashed' THEN digest_hex WHEN 'requeued' THEN NULL ELSE content_hash_hex END",
+    "hashed_size_bytes": "CASE o.outcome WHEN 'hashed' THEN o.size_bytes WHEN 'requeued' THEN NULL ELSE hashed_size_bytes END",
+    "hashed_mtime_ns": "CASE o.outcome WHEN 'hashed' THEN o.mtime_ns WHEN 'requeued' THEN NULL ELSE hashed_mtime_ns END",
+    "hashed_at": f"CASE o.outcome WHEN 'hashed' THEN {_NOW} WHEN 'requeued' THEN NULL ELSE hashed_at END",
+    "hash_error_count": f"CASE WHEN {_DONE} THEN 0 WHEN o.outcome = 'failed' THEN hash_error_count + 1 ELSE hash_error_count END",
+    "hash_last_error": f"CASE WHEN {_DONE} THEN NULL WHEN o.outcome = 'failed' THEN o.error ELSE hash_last_error END",
+    "hash_last_error_at": f"CASE WHEN {_DONE} THEN NULL WHEN o.outcome = 'failed' THEN {_NOW} ELSE hash_last_error_at END",
+    "hash_retry_after": f"CASE WHEN {_DONE} OR o.outcome = 'missing' THEN NULL WHEN o.outcome = 'failed' THEN {_NOW} + least(30 * CAST(2 ** hash_error_count AS BIGINT), 3600) * INTERVAL '1' SECOND ELSE hash_retry_after END",
+    "hash_claim_token": "CASE WHEN o.outcome IS NULL THEN hash_claim_token END",
+    "hash_claimed_at": "CASE WHEN o.outcome IS NULL THEN hash_claimed_at END",
+    "updated_at": f"CASE WHEN o.outcome IS NULL THEN updated_at ELSE {_NOW} END",
+}
+
+
 @check(
     "j9_apply_outcomes",
-    f"""SELECT f.id, CASE WHEN o.outcome = 'requeued' THEN o.size_bytes ELSE f.size_bytes END AS size_bytes,
- CASE WHEN o.outcome = 'missing' THEN true WHEN o.outcome IN ('hashed', 'requeued') THEN false ELSE is_missing END AS is_missing,
- CASE WHEN o.outcome IN ('hashed', 'missing') THEN false WHEN o.outcome IN ('requeued', 'failed') THEN true ELSE needs_hash END AS needs_hash,
- CASE o.outcome WHEN 'hashed' THEN 'sha256' WHEN 'requeued' THEN NULL ELSE hash_algorithm END AS hash_algorithm,
- CASE o.outcome WHEN 'hashed' THEN digest_hex WHEN 'requeued' THEN NULL ELSE content_hash_hex END AS content_hash_hex,
- CASE WHEN o.outcome = 'hashed' THEN o.size_bytes END AS hashed_size_bytes,
- CASE WHEN o.outcome IN ('hashed', 'requeued') THEN 0 WHEN o.outcome = 'failed' THEN hash_error_count + 1 ELSE hash_error_count END AS hash_error_count,
- CASE WHEN o.outcome = 'failed' THEN o.error END AS hash_last_error,
- CASE WHEN o.outcome IN ('hashed', 'requeued', 'missing') THEN NULL WHEN o.outcome = 'failed' THEN {_NOW_US} + 1000000 * least(30 * CAST(2 ** hash_error_count AS BIGINT), 3600)
-  ELSE epoch_us(hash_retry_after) END AS hash_retry_us,
- CASE WHEN o.outcome IS NULL THEN hash_claim_token END AS hash_claim_token
- FROM files f LEFT JOIN outcomes o ON o.id = f.id""",
-    "files outcomes",
+    f"SELECT {flat_sql(**_OUTCOME)} FROM catalog f LEFT JOIN outcomes o ON o.id = f.id",
+    "catalog outcomes",
 )
 def _(t):
-    catalog = conform.conform(t.files, "library_files")
-    after = hashing.apply_outcomes(catalog, t.outcomes, algorithm="sha256", now=NOW)
-    return after.select(
-        "id", "size_bytes", "is_missing", "needs_hash", "hash_algorithm",
-        F.lower(F.hex("content_hash")).alias("content_hash_hex"), "hashed_size_bytes",
-        F.col("hash_error_count").cast("bigint").alias("hash_error_count"), "hash_last_error",
-        F.unix_micros("hash_retry_after").alias("hash_retry_us"), "hash_claim_token",
-    )
+    return flat(hashing.apply_outcomes(t.catalog, t.outcomes, algorithm="sha256", now=NOW))
 
 
 @check(
@@ -429,6 +458,29 @@ def _(t):
     return conform.duplicate_keys(folders, ["library_id", "source_name"])
 
 
+@check(
+    "a12_unique_keys",
+    """SELECT table_name, key, sum(n)::BIGINT AS row_count FROM (
+ SELECT 'library_files' AS table_name, library_id || ',' || relative_path AS key, count(*) AS n FROM (SELECT * FROM files UNION ALL SELECT * FROM files WHERE id % 50 = 1) GROUP BY ALL
+ UNION ALL SELECT 'thumbnails', thumb_key, count(*) FROM (SELECT thumb_key FROM variants UNION ALL SELECT thumb_key FROM variants WHERE id % 70 = 0) GROUP BY ALL
+ UNION ALL SELECT 'thumbnail_cleanup_jobs', group_key, count(*) FROM (SELECT group_key FROM cleanups UNION ALL SELECT group_key FROM cleanups WHERE id % 30 = 0) GROUP BY ALL)
+ GROUP BY table_name, key HAVING sum(n) > 1""",
+    "files variants cleanups",
+)
+def _(t):
+    # Every table with a unique key, some of its rows doubled.
+    doubled = {
+        "library_files": t.files.unionByName(t.files.filter("id % 50 = 1")),
+        "thumbnails": t.variants.unionByName(t.variants.filter("id % 70 = 0")),
+        "thumbnail_cleanup_jobs": t.cleanups.unionByName(t.cleanups.filter("id % 30 = 0")),
+    }
+    found = [
+        conform.duplicate_keys(doubled[name], key).select(F.lit(name).alias("table_name"), F.concat_ws(",", *key).alias("key"), "row_count")
+        for name, key in S.UNIQUE_KEYS.items()
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 _MAINTENANCE = "id, lower(requested_mode) AS requested_mode, lower(status) AS status"
 
 

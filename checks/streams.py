@@ -6,10 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from checks.catalog import GROUPS
+from checks.catalog import GROUPS, flat, merged_sql
 from checks.registry import check
 from checks.views import NOW, Tables
-from samebytes.operators import conform
 from samebytes.operators.scale import shared_folder
 from samebytes.sources.store import SnapshotStore
 from samebytes.streaming import incremental
@@ -40,25 +39,30 @@ def _run(query, target: str, checkpoint: str, mode: str = "append"):
     return query.sparkSession.read.parquet(target)
 
 
+_DROPS = 3
+
+
 @check(
     "x1_incremental_catalog",
-    """SELECT coalesce(n.library_id, f.library_id) AS library_id, coalesce(n.relative_path, f.relative_path) AS relative_path,
- coalesce(n.size_bytes, f.size_bytes) AS size_bytes, CASE WHEN n.library_id IS NULL THEN f.is_missing ELSE false END AS is_missing,
- CASE WHEN n.library_id IS NULL THEN f.needs_hash WHEN f.id IS NULL OR f.is_missing OR f.size_bytes <> n.size_bytes OR f.mtime_ns <> n.mtime_ns THEN true ELSE f.needs_hash END AS needs_hash
- FROM files f FULL OUTER JOIN scan n ON n.library_id = f.library_id AND n.relative_path = f.relative_path""",
-    "files scan",
+    f""", joined AS (SELECT f.*, s.library_id AS n_library, s.relative_path AS n_path, s.size_bytes AS n_size, s.mtime_ns AS n_mtime, s.inode AS n_inode, s.device AS n_device,
+ CASE WHEN f.id IS NULL THEN 'added' WHEN s.library_id IS NULL THEN 'untouched' WHEN f.is_missing THEN 'reappeared'
+  WHEN f.size_bytes <> s.size_bytes OR f.mtime_ns <> s.mtime_ns OR coalesce(f.inode, -1) <> coalesce(s.inode, -1) OR coalesce(f.device, -1) <> coalesce(s.device, -1) THEN 'changed' ELSE 'unchanged' END AS change
+ FROM catalog f FULL OUTER JOIN scan s ON s.library_id = f.library_id AND s.relative_path = f.relative_path)
+SELECT """
+    + merged_sql(f"(SELECT max(id) FROM files) + row_number() OVER (PARTITION BY id IS NULL ORDER BY n_library % {_DROPS}, n_library, n_path)")
+    + " FROM joined",
+    "files catalog scan",
 )
 def _(t):
     store = SnapshotStore(t.spark, _folder(t, "store"))
-    store.publish("library_files", conform.conform(t.files, "library_files", NOW))
+    store.publish("library_files", t.catalog)
     drops = _folder(t, "drops")
-    # The scan arrives in several drops of files.
-    t.scan.repartition(3, "library_id", "relative_path").write.parquet(drops)
+    # The scan arrives in several drops, one after the other, and new files get ids in that order.
+    for drop in range(_DROPS):
+        t.scan.filter(F.col("library_id") % _DROPS == drop).coalesce(1).write.mode("append").parquet(drops)
     scans = t.spark.readStream.schema(t.scan.schema).option("maxFilesPerTrigger", 1).parquet(drops)
     incremental.merge_stream(scans, store, _folder(t, "ckpt"), scan_id=77, now=NOW).awaitTermination()
-    return store.read("library_files").select(
-        "library_id", "relative_path", "size_bytes", "is_missing", "needs_hash"
-    )
+    return flat(store.read("library_files"))
 
 
 @check(

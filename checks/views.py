@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samebytes.operators.conform import conform
+
 NOW = "2024-01-16 00:00:00"
 BASE = ("documents", "events", "labels", "pages")
 
@@ -29,6 +31,13 @@ SELECT doc_id + 1 AS id, CAST(substr(source, 4) AS BIGINT) + 1 AS library_id,
  CASE WHEN doc_id % 8 = 2 THEN NULL ELSE TIMESTAMP '2024-01-16 00:00:00' + (doc_id % 11 - 9) * INTERVAL '2' MINUTE END AS hash_claimed_at,
  CASE WHEN doc_id % 3 = 0 THEN NULL ELSE doc_id % 5 + 1 END AS last_seen_scan_id
  FROM {documents}""",
+    # The files with every column of the catalog.
+    "catalog": """
+SELECT f.*, size_bytes AS hashed_size_bytes, mtime_ns AS hashed_mtime_ns,
+ CASE WHEN hash_algorithm IS NULL THEN NULL ELSE TIMESTAMP '2024-01-10 00:00:00' + (id % 30) * INTERVAL '1' HOUR END AS hashed_at,
+ CASE WHEN id % 4 = 1 THEN 'Input/output error' END AS hash_last_error,
+ CASE WHEN id % 4 = 1 THEN TIMESTAMP '2024-01-11 00:00:00' + (id % 9) * INTERVAL '1' MINUTE END AS hash_last_error_at,
+ TIMESTAMP '2024-01-01 00:00:00' + (id % 40) * INTERVAL '1' HOUR AS created_at, TIMESTAMP '2024-01-12 00:00:00' AS updated_at FROM {files} f""",
     "roots": """
 SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) + 1 AS id, concat('lib-', substr(source, 4)) AS name, concat('/libraries/lib-', substr(source, 4)) AS root_path FROM {documents}""",
     # A later scan: toxic documents are gone, low quality ones were edited, pages are new.
@@ -113,6 +122,7 @@ SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN concat('sha256:', sha2(text, 256)) WH
  WHEN 3 THEN concat('md5:', sha2(text, 256)) WHEN 4 THEN '   ' WHEN 5 THEN sha2(text, 256) ELSE concat('blake3:', substr(sha2(text, 256), 3), 'zz') END AS key FROM {documents}""",
 }
 _NEEDS = {
+    "catalog": ("files",),
     "scan": ("files",),
     "scanned": ("files",),
     "variants": ("files",),
@@ -179,6 +189,12 @@ class Tables:
         digest = F.when(F.col("hash_algorithm").isNotNull(), digest)
         return self._files.withColumn("content_hash", digest).drop("content_hash_hex")
 
+    @cached_property
+    def catalog(self) -> DataFrame:
+        """A catalog table without a default in it."""
+        rows = self.spark.sql(_VIEWS["catalog"], files=self._files)
+        return conform(rows.withColumn("content_hash", F.unhex("content_hash_hex")), "library_files")
+
     @cached_property
     def outcomes(self) -> DataFrame:
         text = self.spark.sql(_VIEWS["outcomes"], files=self._files)
