@@ -342,6 +342,23 @@ def _(t):
     return duplicates.group_page(groups, 15, first[-1].cursor).drop("content_hash", "cursor")
 
 
+@check(
+    "t1_ranked_listing",
+    GROUPS + f"SELECT * FROM grouped ORDER BY {_ORDER} LIMIT 15 OFFSET 15",
+    "files",
+)
+def _(t):
+    store = SnapshotStore(t.spark, f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}")
+    groups = duplicates.duplicate_groups(t.files)
+    store.publish("duplicate_groups", duplicates.ranked_groups(groups), partition_by=["rank_block"])
+    ranked = store.read("duplicate_groups")
+    first = duplicates.GroupListing(ranked).page(15)
+    # Another listing does not know the cursor and has to place it.
+    page = duplicates.GroupListing(ranked).page(15, first.next_cursor) if first.next_cursor else duplicates.Page([], None)
+    columns = [c for c in ranked.columns if c not in ("rank", "rank_block", "content_hash")]
+    return t.spark.createDataFrame(page.items, ranked.select(*columns).schema)
+
+
 @check(
     "t2_group_file_page",
     GROUPS

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import check
 from checks.views import NOW
+from samebytes import schemas as S
 from samebytes.operators import conform, variants
 
 _NOW = f"TIMESTAMP '{NOW}'"
@@ -83,6 +84,17 @@ def _(t):
     return variants.admit(matched, t.variants, 500).select("thumb_key", "first_seq", "outcome")
 
 
+@check(
+    "w3_default_capacity",
+    _ADMIT.replace("taken < 500", f"taken < {S.VARIANT_CAPACITY}") + "SELECT thumb_key, first_seq, outcome FROM decided",
+    "files requests variants",
+)
+def _(t):
+    # Beyond the rows of a top-k, free slots are found over range slices.
+    matched = variants.match_variants(_plan(t), t.variants, NOW)
+    return variants.admit(matched, t.variants).select("thumb_key", "first_seq", "outcome")
+
+
 @check(
     "w3_apply_requests",
     _ADMIT

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,6 +22,8 @@ from samebytes.functions.predicates import dedup_eligible
 from samebytes.operators.scale import TOP_K_ROWS, lookup_join, materialize, with_position
 
 HOT_GROUP_FILES = 1_000_000
+#: Ranks of a folder of the published groups, and cursors whose rank a listing remembers.
+RANK_BLOCK, KNOWN_CURSORS = 100_000, 10_000
 
 
 @dataclass(frozen=True)
@@ -80,19 +83,13 @@ def group_order() -> list[Column]:
 
 
 def _after(cursor: GroupCursor) -> Column:
-    def position(files, total, algorithm, digest) -> Column:
-        return F.struct((-files).alias("f"), (-total).alias("t"), algorithm.alias("a"),
-                        digest.alias("h"))
-
-    here = position(*(F.col(name) for name in GroupCursor._fields))
-    anchor = position(
-        F.lit(cursor.file_count).cast("bigint"),
-        F.lit(cursor.total_size_bytes).cast("bigint"),
-        F.lit(cursor.hash_algorithm),
-        F.lit(cursor.content_hash_hex),
-    )
-    # The first part follows from the second, but this one reaches the scan of a stored table.
-    return (F.col("file_count") <= cursor.file_count) & (here > anchor)
+    """Rows behind a cursor, in comparisons of plain columns that a scan can use."""
+    files, total = F.col("file_count"), F.col("total_size_bytes")
+    algorithm, digest = F.col("hash_algorithm"), F.col("content_hash_hex")
+    later = digest > cursor.content_hash_hex
+    later = (algorithm > cursor.hash_algorithm) | ((algorithm == cursor.hash_algorithm) & later)
+    later = (total < cursor.total_size_bytes) | ((total == cursor.total_size_bytes) & later)
+    return (files < cursor.file_count) | ((files == cursor.file_count) & later)
 
 
 def group_page(groups: DataFrame, limit: int | None = None, cursor: str | None = None) -> DataFrame:
@@ -142,6 +139,59 @@ def group_pages(
             return
 
 
+def ranked_groups(groups: DataFrame, block: int = RANK_BLOCK) -> DataFrame:
+    """Groups with their place in the listing (`rank`) and the `rank_block` it falls into."""
+    placed = numbered_pages(groups, block)
+    return placed.withColumnRenamed("page", "rank_block").select(*groups.columns, "rank", "rank_block")
+
+
+def ranked_range(ranked: DataFrame, start: int, count: int, block: int = RANK_BLOCK) -> DataFrame:
+    """Groups of some ranks, in any order. Nothing is sorted, and other blocks are not read."""
+    last = start + count - 1
+    blocks = F.col("rank_block").between(start // block, last // block)
+    return ranked.filter(blocks & F.col("rank").between(start, last))
+
+
+class GroupListing:
+    """T1 over published groups that carry their rank: a page is a range of ranks.
+
+    The listing remembers the rank behind the cursors that it handed out last. Any other cursor is
+    placed by one aggregation over the rows behind it, of which the scan reads one column.
+    """
+
+    def __init__(self, ranked: DataFrame, block: int = RANK_BLOCK):
+        self.block = block
+        self.ranked = ranked.drop("content_hash")
+        self.columns = [c for c in self.ranked.columns if c not in ("rank", "rank_block")]
+        self._places: OrderedDict[str, int] = OrderedDict()
+
+    def _place(self, token: str) -> int | None:
+        """Rank of the first group behind a cursor; None if there is none."""
+        cursor = decode_group_cursor(token)
+        known = self._places.get(encode_group_cursor(cursor))
+        if known is not None:
+            return known
+        return self.ranked.filter(_after(cursor)).agg(F.min("rank")).first()[0]
+
+    def page(self, limit: int | None = None, cursor: str | None = None) -> Page:
+        """The same page that `list_groups` gives."""
+        size = page_limit(limit)
+        start = self._place(cursor) if cursor else 0
+        if start is None:
+            return Page([], None)
+        # At most a page and one more row.
+        found = ranked_range(self.ranked, start, size + 1, self.block).select("rank", *self.columns).collect()
+        found.sort(key=lambda row: row["rank"])
+        items = [Row(*self.columns)(*row[1:]) for row in found[:size]]
+        if len(found) <= size:
+            return Page(items, None)
+        token = _token(items[-1])
+        self._places[token] = start + size
+        while len(self._places) > KNOWN_CURSORS:
+            self._places.popitem(last=False)
+        return Page(items, token)
+
+
 MEMBER_COLUMNS = (
     "file_id",
     "library_id",

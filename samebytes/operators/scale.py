@@ -77,6 +77,26 @@ def lookup_join(
     return big.join(small, on, how)
 
 
+def rows_asked_for(big: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of a big table whose key is among a few, which are sent to it; it is not shuffled."""
+    return big.join(F.broadcast(keys), keys.columns, "left_semi")
+
+
+def batch_join(
+    batch: DataFrame, big: DataFrame, on: list[str], how: str = "left", max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Join a batch with a big table that holds a key at most once.
+
+    The keys of a batch measured to be small cut the big table down to the rows they ask for, where
+    it lies; the cut, written once and measured in turn, is looked up by the batch. A larger batch is
+    an ordinary join. The batch is read twice, so it should be a table already.
+    """
+    keys = batch.select(*on)
+    if not fits_broadcast(keys, max_rows):
+        return batch.join(big, on, how)
+    return lookup_join(batch, materialize(rows_asked_for(big, keys)), on, how, max_rows)
+
+
 def rows_not_in(
     rows: DataFrame, table: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS
 ) -> DataFrame:

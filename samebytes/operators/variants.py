@@ -19,9 +19,11 @@ from samebytes.functions.variants import (
 )
 from samebytes.operators.scale import (
     TOP_K_ROWS,
+    batch_join,
     first_rows,
     lookup_join,
     materialize,
+    rows_not_in,
     with_position,
 )
 from samebytes.schemas import (
@@ -51,7 +53,8 @@ def plan_requests(
 
     `requests` has seq, file_id, max_dimension and output_format. Equal requests are
     collapsed before any join, so a file that everybody asks for is one row afterwards;
-    `first_seq` and `requests` keep the order and the volume.
+    `first_seq` and `requests` keep the order and the volume. A batch that is small against the
+    catalog looks up its files there, and the catalog stays where it is.
     """
     wanted = requests.select(
         "seq",
@@ -74,7 +77,8 @@ def plan_requests(
         "content_hash",
     )
     paths = roots.select(F.col("id").alias("library_id"), "root_path")
-    joined = lookup_join(distinct.join(known, "file_id", "left"), paths, "library_id", "left")
+    found = batch_join(materialize(distinct), known, ["file_id"])
+    joined = lookup_join(found, paths, "library_id", "left")
     full_path = F.concat_ws("/", "root_path", "relative_path")
     kind = media_type("relative_path")
     reject = (
@@ -112,7 +116,10 @@ def plan_requests(
 
 
 def match_variants(planned: DataFrame, variants: DataFrame, now: Clock) -> DataFrame:
-    """`outcome` existing, requeued, blocked or new for every accepted plan row."""
+    """`outcome` existing, requeued, blocked or new for every accepted plan row.
+
+    Variants are not shuffled for a batch that is small.
+    """
     current = variants.select(
         "thumb_key", F.col("status").alias("_status"), F.col("retry_after").alias("_retry")
     )
@@ -122,12 +129,8 @@ def match_variants(planned: DataFrame, variants: DataFrame, now: Clock) -> DataF
         .when(due("_retry", now), "requeued")
         .otherwise("blocked")
     )
-    return (
-        planned.filter(F.col("reject").isNull())
-        .join(current, "thumb_key", "left")
-        .withColumn("outcome", outcome)
-        .drop("_status", "_retry")
-    )
+    accepted = materialize(planned.filter(F.col("reject").isNull()))
+    return batch_join(accepted, current, ["thumb_key"]).withColumn("outcome", outcome).drop("_status", "_retry")
 
 
 def active_depth(variants: DataFrame) -> DataFrame:
@@ -274,7 +277,7 @@ def schedule_cleanups(
     last = valid.groupBy("group_key").agg(
         F.max_by(F.coalesce("delay_seconds", F.lit(default_delay)), "seq").alias("_delay")
     )
-    asked = last.select("group_key", (stamp + seconds(F.col("_delay"))).alias("_due"))
+    asked = materialize(last.select("group_key", (stamp + seconds(F.col("_delay"))).alias("_due")))
     hit = F.col("_due").isNotNull()
     cleared = (
         "worker_id", "worker_heartbeat_at", "lease_expires_at", "error_code", "error_message",
@@ -289,7 +292,7 @@ def schedule_cleanups(
         .withColumn("updated_at", F.when(hit, stamp).otherwise(F.col("updated_at")))
     )
     new = with_position(
-        asked.join(cleanups.select("group_key"), "group_key", "left_anti"), ["group_key"], "_rank"
+        rows_not_in(asked, cleanups, ["group_key"]), ["group_key"], "_rank"
     )
     largest = cleanups.agg(F.coalesce(F.max("id"), F.lit(0)).alias("id")).scalar()
     fixed = {

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from samebytes.functions.common import as_timestamp
-from samebytes.functions.cursors import GroupCursor
 from samebytes.functions.predicates import Clock
-from samebytes.operators.duplicates import duplicate_groups
+from samebytes.operators.duplicates import duplicate_groups, ranked_groups
 from samebytes.operators.hashing import apply_outcomes, hash_summary, next_hash_files, with_root
 from samebytes.operators.merge import (
     assign_ids,
@@ -106,9 +105,12 @@ def run_hash(
 
 
 def publish_groups(store: SnapshotStore) -> DataFrame:
-    """Find duplicate groups once and keep them for paging, clustered in page order."""
+    """Find duplicate groups once and keep them for paging, with their rank, in its order.
+
+    `duplicates.GroupListing` reads pages of them as ranges of ranks.
+    """
     groups = duplicate_groups(store.read("library_files"))
-    store.publish("duplicate_groups", groups, cluster_by=list(GroupCursor._fields))
+    store.publish("duplicate_groups", ranked_groups(groups), partition_by=["rank_block"])
     return store.read("duplicate_groups")
 
 

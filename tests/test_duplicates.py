@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,3 +184,50 @@ def test_waste_is_everything_but_the_smallest_copy(spark):
     files = catalog(spark, [("sha256", 1, 10, 1, False, False), ("sha256", 1, 14, 2, False, False)])
     row = duplicates.duplicate_groups(files).select(F.col("duplicate_waste_bytes")).first()
     assert row[0] == 38 - 10
+
+
+def test_cursor_reaches_the_scan_in_all_plain_columns(spark, tmp_path, settings):
+    rows = [(f"sha256:{i:064x}", "sha256", f"{i:064x}", bytes(32), 2, 10, 5, i) for i in range(40)]
+    columns = "group_key string, hash_algorithm string, content_hash_hex string, content_hash binary, file_count long, total_size_bytes long, duplicate_waste_bytes long, sample_file_id long"
+    groups = spark.createDataFrame(rows, columns)
+    groups.write.parquet(f"{tmp_path}/plain")
+    cursor = duplicates.list_groups(groups, 5).next_cursor
+    with settings(spark__sql__maxMetadataStringLength="2000"):
+        page = duplicates.group_page(spark.read.parquet(f"{tmp_path}/plain"), 5, cursor)
+        plan = page._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("ReadSchema")[0]
+    for name in ("LessThan(file_count", "LessThan(total_size_bytes", "GreaterThan(hash_algorithm", "GreaterThan(content_hash_hex"):
+        assert name in pushed
+
+
+def test_ranked_listing_equals_keyset_pages(spark, tmp_path):
+    some = random.Random(11)
+    files = []
+    for group in range(60):
+        for copy in range(some.randint(1, 4)):
+            files.append((len(files) + 1, 1, f"f{len(files)}", some.choice([5, 9]), False, False, some.choice(["sha256", "blake3"]) if group % 9 == 0 else "sha256", bytes([group]) * 32))
+    columns = "id long, library_id long, relative_path string, size_bytes long, is_missing boolean, needs_hash boolean, hash_algorithm string, content_hash binary"
+    groups = duplicates.duplicate_groups(spark.createDataFrame(files, columns))
+    ranked = duplicates.ranked_groups(groups, block=7)
+    ranked.write.partitionBy("rank_block").parquet(f"{tmp_path}/ranked")
+    ranked = spark.read.parquet(f"{tmp_path}/ranked")
+    plan = duplicates.ranked_range(ranked, 10, 6, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "TakeOrdered" not in plan and "Exchange" not in plan
+    assert "GreaterThanOrEqual(rank,10)" in plan and "PartitionFilters: [isnotnull(rank_block" in plan
+
+    listing, cursor, seen = duplicates.GroupListing(ranked, 7), None, []
+    while True:
+        page = listing.page(8, cursor)
+        assert page == duplicates.list_groups(groups, 8, cursor) == duplicates.GroupListing(ranked, 7).page(8, cursor)
+        seen += page.items
+        cursor = page.next_cursor
+        if cursor is None:
+            break
+    everything = duplicates.numbered_pages(groups, 8).orderBy("rank").collect()
+    assert [r.group_key for r in seen] == [r.group_key for r in everything]
+    # A cursor whose group is gone still has its place.
+    gone = duplicates.GroupListing(ranked.filter("rank != 7"), 7)
+    first = listing.page(8)
+    assert [r.group_key for r in gone.page(8, first.next_cursor).items] == [r.group_key for r in listing.page(8, first.next_cursor).items]
+    end = duplicates.encode_group_cursor(duplicates.GroupCursor(2, 0, "sha256", "f" * 64))
+    assert listing.page(8, end) == duplicates.Page([], None)

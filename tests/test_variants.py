@@ -158,3 +158,30 @@ def test_only_a_few_rows_per_media_type_are_shuffled(spark):
     plan = variants.next_variants(current, NOW)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("TakeOrderedAndProject") == 2
     assert "Window" not in plan and "Exchange" not in plan
+
+
+def test_big_tables_stay_in_place_for_small_batches(spark, tmp_path):
+    from samebytes.operators.scale import rows_asked_for
+
+    catalog(spark, [f"f{i}.jpg" for i in range(50)]).write.parquet(f"{tmp_path}/files")
+    files = spark.read.parquet(f"{tmp_path}/files").withColumnRenamed("id", "file_id")
+    plan = rows_asked_for(files, spark.range(3).toDF("file_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan.replace("BroadcastExchange", "") and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_batches_of_any_size_give_the_same(spark, monkeypatch, small):
+    from samebytes.operators import scale
+
+    if not small:
+        monkeypatch.setattr(scale, "fits_broadcast", lambda *a, **k: False)
+    files = catalog(spark, [f"f{i}.{'jpg' if i % 3 else 'txt'}" for i in range(30)])
+    asked = requests(spark, [(i % 40, 256 if i % 5 else 0, "jpeg") for i in range(90)])
+    planned = variants.plan_requests(asked, files, roots(spark))
+    some = planned.filter("thumb_key IS NOT NULL").orderBy("file_id").limit(6).collect()
+    current = table(spark, [(i, r.thumb_key, "ready" if i % 2 else "failed", None if i < 3 else 60, None, None) for i, r in enumerate(some)])
+    matched = variants.match_variants(planned, current, NOW)
+    assert sorted(r.outcome for r in matched.collect()) == sorted(
+        ["existing"] * 3 + ["requeued"] * 2 + ["blocked"] + ["new"] * (planned.filter("reject IS NULL").count() - 6)
+    )
+    assert {(r.file_id, r.reject) for r in planned.filter("file_id IN (0, 2, 35)").collect()} >= {(2, None), (35, "file_not_found")}
