@@ -233,17 +233,17 @@ def _schedule_sql(bucket: str) -> str:
     return f""", r AS (SELECT {bucket} AS bucket_key, seq, epoch_us(requested_at) // 1000 AS now_ms, greatest((bytes * 1000 + 1048575) // 1048576, 1) AS budget_ms FROM requests WHERE bytes > 0),
  c AS (SELECT *, CAST(sum(budget_ms) OVER w AS BIGINT) AS total FROM r WINDOW w AS (PARTITION BY bucket_key ORDER BY now_ms, seq)),
  e AS (SELECT *, total + greatest(max(now_ms - (total - budget_ms)) OVER (PARTITION BY bucket_key ORDER BY now_ms, seq), 0) AS end_ms FROM c)
- SELECT bucket_key, seq, budget_ms, end_ms - budget_ms AS start_ms, greatest(end_ms - budget_ms - now_ms, 0) AS delay_ms FROM e
- UNION ALL SELECT {bucket}, seq, 0, epoch_us(requested_at) // 1000, 0 FROM requests WHERE bytes <= 0"""
+ SELECT bucket_key, seq, budget_ms, end_ms - budget_ms AS start_ms, greatest(end_ms - budget_ms - now_ms, 0) AS delay_ms, end_ms FROM e
+ UNION ALL SELECT {bucket}, seq, 0, epoch_us(requested_at) // 1000, 0, epoch_us(requested_at) // 1000 FROM requests WHERE bytes <= 0"""
 
 
 @check("w4_io_schedule", _schedule_sql("'thumbnail_io_global'"), "requests")
 def _(t):
     schedule = budget.io_schedule(_reads(t, "'thumbnail_io_global'"), 1, order=["now_ms", "seq"])
-    return schedule.select("bucket_key", "seq", "budget_ms", "start_ms", "delay_ms")
+    return schedule.select("bucket_key", "seq", "budget_ms", "start_ms", "delay_ms", "end_ms")
 
 
 @check("w4_io_schedule_buckets", _schedule_sql("'disk-' || file_id % 7"), "requests")
 def _(t):
     schedule = budget.io_schedule(_reads(t, "concat('disk-', file_id % 7)"), 1, order=["now_ms", "seq"])
-    return schedule.select("bucket_key", "seq", "budget_ms", "start_ms", "delay_ms")
+    return schedule.select("bucket_key", "seq", "budget_ms", "start_ms", "delay_ms", "end_ms")

@@ -14,6 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from samebytes.operators.running import Pass, previous_rows
+from samebytes.sources import ship
+
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 TOP_K_ROWS = 10_000
@@ -124,15 +127,24 @@ def first_rows(df: DataFrame, order: Sequence[Column | str], limit: int) -> Data
     return with_position(df, order, "_place").filter(F.col("_place") < limit).drop("_place").orderBy(*order)
 
 
-def ordered_slices(df: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+def ordered_slices(
+    df: DataFrame, order: Sequence[Column | str], running: tuple[Pass, str] | None = None
+) -> DataFrame:
     """Rows sorted by `order` in contiguous slices, with `_slice` and 0-based `_pos` in it.
 
-    `order` must be unique per row, so that retries put every row at the same place.
+    `order` must be unique per row, so that retries put every row at the same place. `running` is a
+    pass over the sorted rows of a slice with the columns (DDL) that it adds; it takes place before
+    the rows are frozen, so they are shuffled and written once.
     """
     row = F.monotonically_increasing_id()
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    if running is not None:
+        ship(df.sparkSession)
+        work, added = running
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+        ordered = ordered.mapInArrow(work, f"{kept}, {added}")
     numbered = ordered.withColumn("_row", row).select(
-        *df.columns,
+        *ordered.columns,
         F.shiftright("_row", 33).cast("int").alias("_slice"),
         F.col("_row").bitwiseAND(F.lit((1 << 33) - 1)).alias("_pos"),
     )
@@ -169,21 +181,19 @@ def with_previous(
 
     `columns` maps each source column to the name of its value in the previous row of the key.
     """
-    sliced = ordered_slices(df, [key, *order])
+    slim = {c: f"_before_{c}" for c in columns}
+    added = ", ".join(f"`{slim[c]}` {df.schema[c].dataType.simpleString()}" for c in columns)
+    sliced = ordered_slices(df, [key, *order], (previous_rows(key, slim), added))
     values = F.struct(F.col(key).alias("_key"), *[F.col(c).alias(c) for c in columns])
-    within = Window.partitionBy("_slice").orderBy("_pos")
     last = sliced.groupBy("_slice").agg(F.max_by(values, "_pos").alias("_last"))
     # One row per slice: the last row of the slice before it.
     edges = last.select(
         "_slice", F.lag("_last").over(Window.orderBy("_slice")).alias("_edge")
     )
-    joined = sliced.withColumn("_lag", F.lag(values).over(within)).join(
-        F.broadcast(edges), "_slice"
-    )
-    previous = F.when(F.col("_pos") == 0, F.col("_edge")).otherwise(F.col("_lag"))
-    joined = joined.withColumn("_previous", previous)
-    same = F.col("_previous._key").eqNullSafe(F.col(key)) & F.col("_previous").isNotNull()
+    joined = sliced.join(F.broadcast(edges), "_slice")
+    # Only the first row of a slice looks back into another one.
+    goes_on = (F.col("_pos") == 0) & F.col("_edge").isNotNull() & F.col("_edge._key").eqNullSafe(F.col(key))
     return joined.select(
         *df.columns,
-        *[F.when(same, F.col(f"_previous.{c}")).alias(name) for c, name in columns.items()],
+        *[F.when(goes_on, F.col(f"_edge.{c}")).otherwise(F.col(slim[c])).alias(name) for c, name in columns.items()],
     )

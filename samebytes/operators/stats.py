@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from samebytes.functions.paths import library_name
 from samebytes.operators.hashing import saturated_sum
+from samebytes.operators.running import running_sum
 from samebytes.operators.scale import ordered_slices, slice_prefix
 from samebytes.schemas import LIBRARIES_ROOT
 
@@ -67,12 +68,8 @@ def nearest_rank(df: DataFrame, value: str, ratios: dict[str, float]) -> DataFra
     positions, so neither a hot value nor a long tail ends up in one task.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    sliced = ordered_slices(counts, [value])
-    within = Window.partitionBy("_slice").orderBy("_pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    local = sliced.withColumn("_upto", F.sum("_n").over(within))
-    sums = sliced.groupBy("_slice").agg(F.sum("_n").alias("_sum"))
+    local = ordered_slices(counts, [value], (running_sum("_n", "_upto"), "_upto bigint"))
+    sums = local.groupBy("_slice").agg(F.max("_upto").alias("_sum"))
     base = sums.select(
         "_slice", F.coalesce(F.sum("_sum").over(slice_prefix(sums)), F.lit(0)).alias("_base")
     )

@@ -150,3 +150,31 @@ def test_cluster_without_shared_folder_is_refused(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         scale.shared_folder(Session)
+
+
+def test_rows_are_shuffled_once(spark, many_slices):
+    """Behind the frozen slices only one summary row per slice moves; a hot bucket makes no difference."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 3 < 2, "hot").otherwise(F.concat(F.lit("b"), F.col("id") % 50)).alias("bucket_key"),
+        F.col("id").alias("now_ms"), F.lit(5 * MIB).alias("bytes"), F.col("id").alias("seq"),
+    )
+    plan = io_schedule(rows, 3, order=["now_ms", "seq"])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Exchange") == plan.count("BroadcastExchange")
+    plan = scale.with_previous(rows, "bucket_key", ["seq"], {"bytes": "before"})._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_slice" in plan and plan.count("partial_max_by") == 1 and "rangepartitioning" not in plan
+
+
+def test_running_passes_over_small_batches(spark, many_slices, settings):
+    """State is carried from batch to batch and from slice to slice."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", None, "a", "b"]), i, rng.randint(1, 5 * MIB), i) for i in range(900)]
+    expected, _ = schedule_by_hand(rows, 3, {})
+    df = spark.createDataFrame(rows, "bucket_key string, now_ms long, bytes long, seq long")
+    with settings(spark__sql__execution__arrow__maxRecordsPerBatch="7"):
+        schedule = io_schedule(df, 3, order=["now_ms", "seq"])
+        assert {r.seq: (r.start_ms, r.delay_ms, r.end_ms) for r in schedule.collect()} == expected
+        lagged = scale.with_previous(df, "bucket_key", ["seq"], {"bytes": "before", "seq": "at"}).collect()
+    last = {}
+    for row in sorted(lagged, key=lambda r: r.seq):
+        assert (row.before, row["at"]) == last.get(row.bucket_key, (None, None))
+        last[row.bucket_key] = (row.bytes, row.seq)
