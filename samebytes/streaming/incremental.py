@@ -80,15 +80,29 @@ def silent_workers(
     *,
     ttl_seconds: int = LEASE_TTL_SECONDS,
     delay: str = "10 minutes",
+    clock: DataFrame | None = None,
 ) -> DataFrame:
     """Spans (worker, ts) of a worker that ended in silence of at least the lease time.
 
     A stream reports a session once the watermark has passed its last heartbeat by the lease
-    time; over a table all sessions come out, the last one of each worker included.
+    time; over a table all sessions come out, the last one of each worker included. Heartbeats
+    alone move the watermark only as long as some worker is alive; `clock` (ts) is a stream
+    of times that moves it as well, such as the `rate` source, so that the last spans end too. It
+    belongs to no worker and reports nothing.
     `SESSION_SETTINGS` merge heartbeats before they are shuffled, so that a worker with most
     of them arrives as a few sessions.
     """
-    watched = heartbeats.withWatermark("ts", delay) if heartbeats.isStreaming else heartbeats
+    watched = heartbeats
+    if clock is not None:
+        ticks = clock.select(F.lit(None).cast(heartbeats.schema["worker"].dataType).alias("worker"), "ts")
+        watched = heartbeats.select("worker", "ts", F.lit(True).alias("alive")).unionByName(
+            ticks.withColumn("alive", F.lit(False))
+        )
+    if heartbeats.isStreaming:
+        watched = watched.withWatermark("ts", delay)
+    if clock is not None:
+        # The condition reads the event time, so that it stays behind the watermark.
+        watched = watched.filter(F.when(F.col("ts").isNotNull(), F.col("alive")))
     session = F.session_window("ts", f"{ttl_seconds} seconds")
     return (
         watched.groupBy("worker", session.alias("span"))

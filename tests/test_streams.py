@@ -89,3 +89,42 @@ def test_group_totals_grow_to_the_batch_result(spark, tmp_path):
     batch = duplicate_groups(spark.read.parquet(source)).select(latest.columns)
     assert sorted(map(tuple, latest.collect())) == sorted(map(tuple, batch.collect()))
     assert latest.agg(F.sum("file_count")).first()[0] == 18
+
+
+def test_a_clock_ends_the_last_spans(spark, tmp_path):
+    start = datetime(2026, 1, 1)
+    beats, ticks = str(tmp_path / "beats"), str(tmp_path / "ticks")
+    drop(spark, beats, [(w, start + timedelta(seconds=s)) for w, s in [("a", 0), ("a", 100), ("b", 4000)]], "worker string, ts timestamp")
+    drop(spark, ticks, [(start + timedelta(hours=3),)], "ts timestamp")
+    rows = [spark.readStream.schema(schema).parquet(path) for path, schema in ((beats, "worker string, ts timestamp"), (ticks, "ts timestamp"))]
+    found = collect(spark, incremental.silent_workers(rows[0], clock=rows[1]), tmp_path)
+    assert sorted((r.worker, r.heartbeats) for r in found.collect()) == [("a", 2), ("b", 1)]
+    # Over tables a clock changes nothing.
+    tables = spark.read.parquet(beats), spark.read.parquet(ticks)
+    assert sorted((r.worker, r.heartbeats) for r in incremental.silent_workers(tables[0], clock=tables[1]).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_request_keys_leave_the_state(spark, tmp_path):
+    """A repeat within the delay is dropped; one behind the watermark is late and dropped too; a new time counts anew."""
+    source, start = str(tmp_path / "in"), datetime(2026, 1, 1)
+    schema = "thumb_key string, ts timestamp"
+    drop(spark, source, [("k", start), ("old", start)], schema)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    unique = incremental.distinct_requests(stream, time="ts", delay="1 hour")
+    states, out = [], str(tmp_path / "rows")
+
+    def run():
+        query = unique.writeStream.foreachBatch(lambda batch, _: batch.write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        states.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+
+    run()
+    drop(spark, source, [("k", start + timedelta(minutes=30))], schema)
+    run()
+    drop(spark, source, [("new", start + timedelta(hours=5))], schema)
+    run()
+    drop(spark, source, [("old", start), ("k", start + timedelta(hours=6))], schema)
+    run()
+    rows = sorted((r.thumb_key, r.ts.hour) for r in spark.read.parquet(out).collect())
+    assert rows == [("k", 0), ("k", 6), ("new", 5), ("old", 0)]
+    assert max(states) <= 3 and states[-1] <= 2
