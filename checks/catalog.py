@@ -485,7 +485,7 @@ def _(t):
     "files variants cleanups",
 )
 def _(t):
-    # Every table with a unique key, some of its rows doubled.
+    # Every stored table with a unique key, some of its rows doubled.
     doubled = {
         "library_files": t.files.unionByName(t.files.filter("id % 50 = 1")),
         "thumbnails": t.variants.unionByName(t.variants.filter("id % 70 = 0")),
@@ -493,7 +493,7 @@ def _(t):
     }
     found = [
         conform.duplicate_keys(doubled[name], key).select(F.lit(name).alias("table_name"), F.concat_ws(",", *key).alias("key"), "row_count")
-        for name, key in S.UNIQUE_KEYS.items()
+        for name, key in ((name, S.UNIQUE_KEYS[name]) for name in doubled)
     ]
     return found[0].unionByName(found[1]).unionByName(found[2])
 

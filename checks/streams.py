@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from checks.catalog import GROUPS, flat, merged_sql
 from checks.registry import check
 from checks.views import NOW, Tables
+from samebytes.operators import duplicates
 from samebytes.operators.scale import shared_folder
+from samebytes.plans.catalog import refresh_totals
 from samebytes.sources.store import SnapshotStore
 from samebytes.streaming import incremental
 
@@ -118,3 +120,25 @@ def _(t):
 def _(t):
     totals = incremental.running_groups(_Streams(t.spark, t.folder).files)
     return incremental.latest_groups(_run(totals, _folder(t, "out"), _folder(t, "ckpt"), "update"))
+
+
+@check(
+    "x4_group_table",
+    GROUPS + "SELECT group_key, file_count, total_size_bytes, duplicate_waste_bytes, sample_file_id FROM grouped",
+    "files",
+)
+def _(t):
+    # Files arrive with other contents first, some of them present that go missing later.
+    store = SnapshotStore(t.spark, _folder(t, "store"), buckets=8)
+    drops = _folder(t, "drops")
+    early = t.catalog.filter("id % 3 > 0").withColumns({
+        "is_missing": F.lit(False), "needs_hash": F.lit(False), "hash_algorithm": F.lit("sha256"),
+        "content_hash": F.unhex(F.sha2((F.col("id") % 40).cast("string"), 256)),
+        "updated_at": F.col("updated_at") - F.expr("INTERVAL 1 DAY"),
+    })
+    for rows in (early, t.catalog):
+        rows.coalesce(1).write.mode("append").parquet(drops)
+    stream = t.spark.readStream.schema(t.catalog.schema).option("maxFilesPerTrigger", 1).parquet(drops)
+    incremental.group_stream(stream, store, _folder(t, "ckpt")).awaitTermination()
+    groups = duplicates.groups_of_totals(refresh_totals(store))
+    return groups.select("group_key", "file_count", "total_size_bytes", "duplicate_waste_bytes", "sample_file_id")

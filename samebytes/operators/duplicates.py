@@ -19,9 +19,18 @@ from samebytes.functions.cursors import (
 )
 from samebytes.functions.hashes import group_key, hash_hex, read_group_key
 from samebytes.functions.predicates import dedup_eligible
-from samebytes.operators.scale import TOP_K_ROWS, lookup_join, materialize, with_position
+from samebytes.operators.scale import (
+    TOP_K_ROWS,
+    fits_broadcast,
+    lookup_join,
+    materialize,
+    rows_asked_for,
+    with_position,
+)
+from samebytes.schemas import CONTENT_TOTALS
 
 HOT_GROUP_FILES = 1_000_000
+CONTENT = ["hash_algorithm", "content_hash"]
 #: Ranks of a folder of the published groups, and cursors whose rank a listing remembers.
 RANK_BLOCK, KNOWN_CURSORS = 100_000, 10_000
 
@@ -34,35 +43,97 @@ class Page:
     next_cursor: str | None
 
 
-def duplicate_groups(catalog: DataFrame) -> DataFrame:
-    """A1: one row per content that at least two eligible files share.
+def content_totals(catalog: DataFrame) -> DataFrame:
+    """Totals of every content that eligible files have, of a single file too.
 
-    Grouping runs on the 32-byte digest; partial aggregation takes care of hot contents, and
-    text is built only for the groups that remain.
+    Grouping runs on the 32-byte digest; partial aggregation takes care of hot contents.
     """
-    grouped = (
+    return (
         catalog.filter(dedup_eligible())
-        .groupBy("hash_algorithm", "content_hash")
+        .groupBy(*CONTENT)
         .agg(
             F.count(F.lit(1)).alias("file_count"),
             F.sum("size_bytes").alias("total_size_bytes"),
-            F.min("size_bytes").alias("_smallest"),
+            F.min("size_bytes").alias("smallest_size_bytes"),
             F.min("id").alias("sample_file_id"),
         )
-        .filter(F.col("file_count") > 1)
     )
-    return grouped.select(
-        group_key("hash_algorithm", "content_hash").alias("group_key"),
+
+
+def groups_of_totals(totals: DataFrame) -> DataFrame:
+    """A1 from totals; text is built only for the groups that remain."""
+    return totals.filter(F.col("file_count") > 1).select(
+        group_key(*CONTENT).alias("group_key"),
         "hash_algorithm",
         hash_hex("content_hash").alias("content_hash_hex"),
         "content_hash",
         "file_count",
         "total_size_bytes",
-        (F.col("total_size_bytes") - F.col("_smallest")).alias("duplicate_waste_bytes"),
+        (F.col("total_size_bytes") - F.col("smallest_size_bytes")).alias("duplicate_waste_bytes"),
         "sample_file_id",
     )
 
 
+def duplicate_groups(catalog: DataFrame) -> DataFrame:
+    """A1: one row per content that at least two eligible files share."""
+    return groups_of_totals(content_totals(catalog))
+
+
+def total_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """What a change of the catalog does to the totals of each content it touches.
+
+    Both sides are the same part of the catalog. A file that had another content, had none or goes
+    missing counts against its old content and for its new one; untouched files do not count.
+    """
+    slim = lambda side, name: side.filter(dedup_eligible()).select(
+        "id", F.struct(*CONTENT, "size_bytes").alias(name)
+    )
+    both = slim(before, "old").join(slim(after, "new"), "id", "full_outer").filter(~F.col("old").eqNullSafe(F.col("new")))
+    sides = F.explode(F.array(
+        F.struct(F.lit(-1).alias("sign"), F.col("old").alias("file")),
+        F.struct(F.lit(1).alias("sign"), F.col("new").alias("file")),
+    ))
+    rows = both.select("id", sides.alias("s")).filter("s.file IS NOT NULL").select("id", "s.sign", "s.file.*")
+    gone = F.col("sign") < 0
+    return rows.groupBy(*CONTENT).agg(
+        F.sum("sign").alias("files"),
+        F.sum(F.col("sign") * F.col("size_bytes")).alias("bytes"),
+        F.min(F.when(gone, F.col("size_bytes"))).alias("gone_size"),
+        F.min(F.when(gone, F.col("id"))).alias("gone_id"),
+        F.min(F.when(~gone, F.col("size_bytes"))).alias("new_size"),
+        F.min(F.when(~gone, F.col("id"))).alias("new_id"),
+    )
+
+
+def apply_changes(totals: DataFrame, changes: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Totals after a change: counts and sums are carried on, contents without files go.
+
+    `totals` is the part that `changes` fall into. A smallest size or first id can only be lost where
+    a file that went had it; the files of those contents alone are looked up in the new catalog.
+    """
+    zero = F.lit(0).cast("bigint")
+    joined = totals.join(changes, CONTENT, "full_outer").select(
+        *CONTENT,
+        (F.coalesce("file_count", zero) + F.coalesce("files", zero)).alias("file_count"),
+        (F.coalesce("total_size_bytes", zero) + F.coalesce("bytes", zero)).alias("total_size_bytes"),
+        F.least("smallest_size_bytes", "new_size").alias("smallest_size_bytes"),
+        F.least("sample_file_id", "new_id").alias("sample_file_id"),
+        F.coalesce(
+            (F.col("gone_size") <= F.col("smallest_size_bytes")) | (F.col("gone_id") <= F.col("sample_file_id")), F.lit(False)
+        ).alias("lost"),
+    )
+    kept = materialize(joined.filter("file_count > 0"))
+    lost = kept.filter("lost").select(*CONTENT)
+    files = catalog.filter(dedup_eligible())
+    asked = rows_asked_for(files, lost) if fits_broadcast(lost) else files.join(lost, CONTENT, "left_semi")
+    found = asked.groupBy(*CONTENT).agg(F.min("size_bytes").alias("_size"), F.min("id").alias("_id"))
+    mended = kept.filter("lost").join(found, CONTENT).withColumns(
+        {"smallest_size_bytes": F.col("_size"), "sample_file_id": F.col("_id")}
+    )
+    columns = CONTENT_TOTALS.fieldNames()
+    return kept.filter("NOT lost").select(*columns).unionByName(mended.select(*columns))
+
+
 def duplicate_totals(groups: DataFrame) -> DataFrame:
     """A2: number of groups, files in them and bytes that copies waste."""
     return groups.agg(

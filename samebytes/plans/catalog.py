@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from samebytes.functions.common import as_timestamp
 from samebytes.functions.predicates import Clock
-from samebytes.operators.duplicates import duplicate_groups, ranked_groups
+from samebytes.operators.duplicates import (
+    apply_changes,
+    content_totals,
+    groups_of_totals,
+    ranked_groups,
+    total_changes,
+)
 from samebytes.operators.hashing import apply_outcomes, hash_summary, next_hash_files, with_root
 from samebytes.operators.merge import (
     assign_ids,
@@ -104,12 +111,53 @@ def run_hash(
     return hash_summary(outcomes).first()
 
 
+def refresh_totals(store: SnapshotStore) -> DataFrame:
+    """The totals of all contents, brought up to the current catalog.
+
+    Buckets of the catalog that were written since the last refresh are compared with what they
+    were, and only the totals of contents that changed there are worked out and written. The first
+    time, after a whole scan, or when the older version is no longer kept, all are.
+
+    The catalog version that totals belong to is written last. What a crash before that has left in
+    some buckets is not built upon: those are worked out again from the version before.
+    """
+    spark, current = store.spark, store.current_version("library_files")
+    known = store.current_version("totals_version") > 0
+    since, base = store.read("totals_version").first() if known else (0, 0)
+    if known and since == current:
+        return store.read("content_totals", base)
+    changed = store.changed("library_files", since) if known else None
+    left_over = store.changed("content_totals", base) if changed else []
+    if changed and left_over is not None:
+        try:
+            before = store.read("library_files", since, changed)
+            store.read("content_totals", base)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            changed = None
+    elif changed:
+        changed = None
+    if changed is None:
+        store.publish("content_totals", content_totals(store.read("library_files")))
+    elif changed:
+        after = store.read("library_files", current, changed)
+        changes = materialize(total_changes(before, after))
+        touched = sorted({*store.touched("content_totals", changes), *left_over})
+        part = store.read("content_totals", base, touched)
+        catalog = store.read("library_files", current)
+        store.replace("content_totals", apply_changes(part, changes, catalog), touched)
+    base = store.current_version("content_totals")
+    store.publish("totals_version", spark.createDataFrame([(current, base)], "version long, totals long"))
+    return store.read("content_totals", base)
+
+
 def publish_groups(store: SnapshotStore) -> DataFrame:
     """Find duplicate groups once and keep them for paging, with their rank, in its order.
 
     `duplicates.GroupListing` reads pages of them as ranges of ranks.
     """
-    groups = duplicate_groups(store.read("library_files"))
+    groups = groups_of_totals(refresh_totals(store))
     store.publish("duplicate_groups", ranked_groups(groups), partition_by=["rank_block"])
     return store.read("duplicate_groups")
 

@@ -231,6 +231,16 @@ IO_RATE_LIMITS = _table("""
     updated_at timestamp
 """)
 
+# Totals of every content that an eligible file has, single files included.
+CONTENT_TOTALS = _table("""
+    hash_algorithm string NOT NULL,
+    content_hash binary NOT NULL,
+    file_count bigint NOT NULL,
+    total_size_bytes bigint NOT NULL,
+    smallest_size_bytes bigint NOT NULL,
+    sample_file_id bigint NOT NULL
+""")
+
 # --- fixed values: defaults of columns that older tables may lack ------------
 COLUMN_DEFAULTS = {
     "library_files": {"is_missing": False, "needs_hash": True, "hash_error_count": 0},
@@ -251,6 +261,7 @@ COLUMN_DEFAULTS = {
     },
     "io_rate_limits": {"next_available_at_ms": 0},
     "library_roots": {},
+    "content_totals": {},
 }
 
 TABLES = {
@@ -262,6 +273,7 @@ TABLES = {
     "thumbnail_cleanup_jobs": CLEANUP_JOBS,
     "wal_maintenance_jobs": MAINTENANCE_JOBS,
     "io_rate_limits": IO_RATE_LIMITS,
+    "content_totals": CONTENT_TOTALS,
 }
 
 # Enumerated columns per table, for validation and case normalisation.
@@ -286,6 +298,7 @@ UNIQUE_KEYS = {
     "library_files": ("library_id", "relative_path"),
     "thumbnails": ("thumb_key",),
     "thumbnail_cleanup_jobs": ("group_key",),
+    "content_totals": ("hash_algorithm", "content_hash"),
 }
 
 # One entry seen while walking a file tree.

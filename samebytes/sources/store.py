@@ -144,6 +144,13 @@ class SnapshotStore:
         reader = self.spark.read
         return (reader.schema(TABLES[table]) if table in TABLES else reader).parquet(*paths)
 
+    def changed(self, table: str, since: int) -> list[int] | None:
+        """Buckets written after a version; None if the whole table was, or is not stored in buckets."""
+        log = self.versions(table).filter(F.col("version") > since)
+        if not log.filter(F.coalesce("full", F.lit(True))).isEmpty() or not self._count(table):
+            return None
+        return sorted(row.bucket for row in log.select("bucket").distinct().collect())
+
     def top_id(self, table: str) -> int:
         """The largest id of the current version, from the log if the table is stored in buckets."""
         folders = self._folders(table)

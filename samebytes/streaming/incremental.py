@@ -9,8 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from samebytes.functions.hashes import group_key
 from samebytes.functions.predicates import Clock, dedup_eligible
 from samebytes.operators.merge import KEY, SEEN, assign_ids, merge_scan
-from samebytes.operators.scale import materialize
-from samebytes.schemas import LEASE_TTL_SECONDS
+from samebytes.operators.scale import lookup_join, materialize
+from samebytes.plans.catalog import refresh_totals
+from samebytes.schemas import LEASE_TTL_SECONDS, LIBRARY_FILES
 from samebytes.sources.store import SnapshotStore
 
 
@@ -136,6 +137,34 @@ def running_groups(files: DataFrame) -> DataFrame:
     return totals.select(key, *totals.columns[2:])
 
 
+def group_stream(files: DataFrame, store: SnapshotStore, checkpoint: str) -> StreamingQuery:
+    """X4 with retractions: catalog rows as they change, and the totals of their contents after each batch.
+
+    `files` has whole catalog rows; the last one of a file (by `updated_at`, then `id`) in a batch
+    replaces the one before. Nothing is kept in the state of the query: the catalog and the totals are
+    tables, of which a batch writes the buckets that it touches. A batch that is run again changes
+    nothing more. `groups_of_totals` makes groups of the totals.
+    """
+    names = LIBRARY_FILES.fieldNames()
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        order = F.struct("updated_at", "id")
+        newest = batch.groupBy(*KEY).agg(F.max_by(F.struct(*names), order).alias("f")).select("f.*")
+        rows = materialize(newest)
+        touched = store.touched("library_files", rows)
+        part = store.read("library_files", buckets=touched)
+        kept = lookup_join(part, rows.select(*KEY), KEY, "left_anti")
+        store.replace("library_files", kept.select(*names).unionByName(rows.select(*names)), touched)
+        refresh_totals(store)
+
+    return (
+        files.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 def latest_groups(updates: DataFrame) -> DataFrame:
     """The current state of each group from rows written in update mode; counts only grow."""
     values = F.struct(*[c for c in updates.columns if c != "group_key"])
