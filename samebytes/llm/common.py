@@ -3,14 +3,33 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from samebytes import sources
 from samebytes.operators.scale import materialize, shared_folder
-from samebytes.sources import ship
 
-__all__ = ["fold", "hash_share", "materialize", "ship", "spread", "table", "without", "Workspace"]
+__all__ = ["fold", "hash_share", "materialize", "ship", "slices", "spread", "table", "without", "Workspace"]
+
+#: Bytes of rows that go to a Python task at a time, unless the session says otherwise.
+BATCH_BYTES = "4m"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in Python workers, and send them texts some MB at a time."""
+    sources.ship(spark)
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, BATCH_BYTES)
+
+
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces, to be worked on and handed on one by one."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

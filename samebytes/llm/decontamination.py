@@ -54,7 +54,7 @@ _GRAM = 3
 _EDIT_KINDS = ("replace", "delete", "insert", "mixed")
 _WORD_FACTOR, _FOREIGN = np.uint64(0xA0761D6478BD642F), 0x5851F42D4C957F2D
 #: Windows walked and words held at a time.
-_WINDOWS, _WORDS = 8192, 500_000
+_WINDOWS, _WORDS = 8192, 200_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -80,7 +80,7 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1 << 14)
+@lru_cache(maxsize=1 << 10)
 def _plan(size: int, walk: int) -> tuple[list[list[tuple[int, np.uint64]]], np.ndarray]:
     """Random bits of every step of a walk, with the (table, factor) pairs that sample the step."""
     steps, random = 2 * size, np.random.default_rng((size, walk))

@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samebytes.llm.common import materialize, ship
+from samebytes.llm.common import materialize, ship, slices
 from samebytes.llm.components import connected_components
 from samebytes.operators.scale import lookup_join
 
@@ -43,13 +44,13 @@ REGISTERS = BANDS * ROWS
 #: Base, rate and number of values of a register of two bytes.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 
-#: Shingles of a block of step 4.
-BLOCK_SHINGLES = 8192
+#: Shingles of a block of step 4, and documents that are sent one copy of the set they are compared with.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 8192, 256
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {upper: upper + 32 for upper in range(65, 91)}
 _MASK = (1 << 64) - 1
-_MEMO = 500_000
+_MEMO = 1 << 16
 
 
 def words_of(text: str | None) -> list[str]:
@@ -148,36 +149,41 @@ def joint_similarity(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_
 def sketch_documents(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
     """`id`, `n_shingles`, `digest` of the set and `registers` of every row; null for empty sets."""
     ship(docs.sparkSession)
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
 
-    @F.pandas_udf("struct<n_shingles:bigint,digest:binary,registers:binary>")
-    def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_digest
 
         shingler = Shingler(size)
         for batch in batches:
-            rows = []
-            for one in batch:
-                shingles = shingler(one)
-                if len(shingles):
-                    rows.append((len(shingles), xxh3_128_digest(shingles.tobytes()), registers_of(shingles).tobytes()))
-                else:
-                    rows.append((0, None, None))
-            yield pd.DataFrame(rows, columns=["n_shingles", "digest", "registers"])
-
-    found = docs.select(F.col(id).alias("id"), sketch(F.col(text)).alias("_s"))
-    return found.select("id", "_s.n_shingles", "_s.digest", "_s.registers")
+            for part in slices(batch):
+                sets = [shingler(text) for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("id"),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                        pa.array([registers_of(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    ],
+                    names=["id", "n_shingles", "digest", "registers"],
+                )
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(sketch, f"id {kind}, n_shingles bigint, digest binary, registers binary")
 
 
 def full_sets(docs: DataFrame, id: str, text: str, size: int) -> DataFrame:
     """`id` and `shingles`, the sorted set as bytes."""
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
 
-    @F.pandas_udf("binary")
-    def shingle(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
-            yield pd.Series([shingler(one).tobytes() for one in batch])
+            for part in slices(batch):
+                sets = [shingler(text).tobytes() for text in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return docs.select(F.col(id).alias("id"), shingle(F.col(text)).alias("shingles"))
+    return rows.mapInArrow(shingle, f"id {rows.schema['id'].dataType.simpleString()}, shingles binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -204,21 +210,46 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs with the size of the intersection (`common`) and of the union (`all`) of their full sets."""
+    """Pairs with the size of the intersection (`common`) and of the union (`all`) of their full sets.
 
-    @F.pandas_udf("struct<common:bigint,all:bigint>")
-    def compare(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-        rows = []
-        for x, y in zip(a, b, strict=True):
-            left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            union = len(np.union1d(left, right))
-            rows.append((len(left) + len(right) - union, union))
-        return pd.DataFrame(rows, columns=["common", "all"])
+    Each `b` is sent once to every block of the documents `a` that are compared with it, ahead of them.
+    """
+    kind = pairs.schema["a"].dataType.simpleString()
+    counts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    blocks = materialize(counts)
+    asked = pairs.join(blocks, "b").select(
+        F.col("a").alias("id"), "b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("leads")
+    )
+    leads = blocks.select(
+        F.col("b").alias("id"), "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("leads")
+    )
+    dealt = asked.unionByName(leads).join(sets, "id").repartition("b", "block")
 
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s_a"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("s_b"))
-    joined = pairs.join(left, "a").join(right, "b")
-    return joined.withColumn("c", compare("s_a", "s_b")).select("a", "b", "c.common", "c.all")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, leaders = None, []
+        for batch in batches:
+            for part in slices(batch):
+                found: list[tuple] = []
+                columns = [part.column(c).to_pylist() for c in ("b", "block", "leads", "id", "shingles")]
+                for b, block, first, a, shingles in zip(*columns, strict=True):
+                    own = np.frombuffer(shingles, np.uint64)
+                    if (b, block) != place:
+                        place, leaders = (b, block), []
+                    if first:
+                        leaders.append(own)
+                        continue
+                    for leader in leaders:
+                        where = np.minimum(np.searchsorted(leader, own), len(leader) - 1)
+                        common = int((leader[where] == own).sum())
+                        found.append((a, b, common, len(leader) + len(own) - common))
+                ids = part.schema.field("id").type
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f[i] for f in found], t) for i, t in enumerate((ids, ids, pa.int64(), pa.int64()))],
+                    names=["a", "b", "common", "all"],
+                )
+
+    ordered = dealt.sortWithinPartitions("b", "block", F.desc("leads"))
+    return ordered.mapInArrow(compare, f"a {kind}, b {kind}, common bigint, all bigint")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,8 +264,8 @@ def _near_pivot(mixed: DataFrame, sets: DataFrame) -> DataFrame:
     """
     often = mixed.groupBy("component", "id").agg(F.count(F.lit(1)).alias("times"))
     pivots = materialize(
-        often.groupBy("component").agg(F.max(F.struct("times", (-F.col("id")).alias("last")))["last"].alias("last"))
-        .select(F.col("component").alias("main"), (-F.col("last")).alias("b"))
+        often.groupBy("component").agg(F.min(F.struct((-F.col("times")).alias("times"), "id"))["id"].alias("b"))
+        .withColumnRenamed("component", "main")
     )
     wanted = materialize(mixed.select(F.col("id").alias("a"), "main").distinct())
     pairs = materialize(wanted.join(pivots, "main"))
