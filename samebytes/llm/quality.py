@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samebytes.llm.common import fold, hash_share, materialize, ship
+from samebytes.llm.common import Workspace, fold, hash_share, materialize, ship
 from samebytes.llm.linear import fit_logistic
 from samebytes.operators.scale import lookup_join
 
@@ -154,36 +154,36 @@ def score_quality(
 
     known = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull() & (fold(F.col(id), 3) != HELD_OUT))
     known = materialize(known.groupBy(id).agg(F.min(F.when(F.col(label) == 1, 1).otherwise(0)).alias("known")))
-    site = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
-    measured = materialize(
-        docs.select(F.col(id).alias("id"), site(host).alias("host"), site(path).alias("path"), features(F.col(text)).alias("x"))
-    )
     known = known.withColumnRenamed(id, "id")
     rows = known.count()
     sample = known if rows <= train_rows else known.filter(hash_share(F.col("id"), train_rows / rows, "quality"))
-    # About `train_rows` rows of a dozen numbers.
-    fitted = lookup_join(measured.select("id", "x"), sample, "id").orderBy("id", "x").select("x", "known").collect()
+    # About `train_rows` labels, and a dozen numbers for each of their documents.
+    learned = lookup_join(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), sample, "id")
+    fitted = learned.select("id", features("text").alias("x"), "known").collect()
+    fitted.sort(key=lambda r: (r.id, r.x))
     model = TextClassifier(
         np.array([r.x for r in fitted]).reshape(-1, len(FEATURES)), np.array([r.known for r in fitted], float)
     )
 
     @F.pandas_udf("double")
-    def log_odds(x: pd.Series) -> pd.Series:
-        return pd.Series(model.log_odds(np.array(x.tolist()).reshape(-1, len(FEATURES))))
-
-    @F.pandas_udf("double")
-    def text_log_odds(texts: pd.Series) -> pd.Series:
+    def log_odds(texts: pd.Series) -> pd.Series:
         x = np.array([text_features(t) for t in texts]).reshape(-1, len(FEATURES))
         return pd.Series(model.log_odds(x))
 
-    expected = 1 / (1 + F.exp(-log_odds("x")))
-    good = measured.join(known, "id", "left").withColumn("good", F.coalesce("known", expected))
-    sites, base = site_posteriors(good.select("host", "path", "good"))
+    site = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
     plain = docs.drop(*[c for c in results if c in docs.columns])
-    packed = plain.select(
-        F.struct(*plain.columns).alias("row"), site(host).alias("host"), site(path).alias("path"),
-        text_log_odds(F.col(text)).alias("odds"),
+    # Every text is measured once; rows are written with their evidence and read twice.
+    packed = Workspace(docs.sparkSession).write(
+        plain.select(
+            F.struct(*plain.columns).alias("row"), F.col(id).alias("id"), site(host).alias("host"), site(path).alias("path"),
+            log_odds(F.col(text)).alias("odds"),
+        )
     )
+    expected = 1 / (1 + F.exp(-F.col("odds")))
+    good = lookup_join(packed.select("id", "host", "path", "odds"), known, "id", "left").withColumn(
+        "good", F.coalesce("known", expected)
+    )
+    sites, base = site_posteriors(good.select("host", "path", "good"))
     scored = lookup_join(packed, materialize(sites), ["host", "path"])
     score = 1 / (1 + F.exp(-(F.col("odds") + _logit(F.col("site")) - _logit(F.lit(base)))))
     return scored.withColumn("score", score).select(
