@@ -29,10 +29,11 @@ from random import Random
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samebytes.llm.common import ship
+from samebytes.llm.common import Workspace, materialize, ship
+from samebytes.operators.scale import lookup_join
 
 #: Edits allowed per word of an item, rounded down; items of fewer words are found without edits only.
 EDIT_SHARE, MIN_WORDS = 0.2, 5
@@ -46,7 +47,7 @@ MOST_WALKS = 256
 SEGMENT_WORDS = 20
 #: Segments of a length class differ by at most this factor.
 CLASS_RATIO = 1.1
-#: Text of items per pass; more items are handled in several blocks within one scan.
+#: Text of items per block. One block is on the driver and in tasks at a time, and is searched in a scan of its own.
 BLOCK_BYTES = 8 << 20
 
 _WORD = re.compile(r"\w+")
@@ -171,7 +172,7 @@ def passage_distance(item: list[int], stretch: list[int]) -> tuple[int, int]:
 
 def _order(passage: tuple[int | None, int, int]) -> tuple:
     """By item, unnamed ones last."""
-    return passage[0] is None, passage[0] or 0
+    return passage[0] is None, 0 if passage[0] is None else passage[0]
 
 
 @dataclass
@@ -403,14 +404,17 @@ class ItemIndex:
         return out
 
 
-def item_blocks(items: DataFrame, item: str, text: str, block_bytes: int) -> Iterator[list]:
-    """Items in blocks of about `block_bytes` of text, one at a time."""
+def block_count(items: DataFrame, text: str, block_bytes: int) -> int:
+    """Blocks of about `block_bytes` that the text of all items makes."""
     size = items.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    blocks = -(-size // block_bytes)
-    number = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(max(blocks, 1)))
-    for block in range(blocks):
-        rows = items.filter(number == block).select(item, text).collect()
-        yield sorted(((r[0], r[1]) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    return -(-size // block_bytes)
+
+
+def item_block(items: DataFrame, item: str, text: str, block: int, blocks: int) -> list:
+    """Items of one block, in order. Rows with one text are in one block."""
+    number = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(blocks))
+    rows = items.filter(number == block).select(item, text).collect()
+    return sorted(((r[0], r[1]) for r in rows), key=lambda r: (*_order((r[0], 0, 0)), r[1] or ""))
 
 
 def find_passages(
@@ -423,19 +427,20 @@ def find_passages(
     min_words: int = MIN_WORDS,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Documents with `passages`: an array of (item, distance, last_word), by item and block.
+    """Documents with `passages`: an array of (item, distance, last_word), by block and item.
 
     One entry for every item with a passage in the document: its smallest distance found and the
-    number of the passage's last word. Items are brought to the driver and to the tasks in blocks
-    of `block_bytes` of text; every block is searched in the same scan. Documents stay in place:
-    nothing is shuffled, and each text is searched whole. Null and empty texts, and tables
+    number of the passage's last word. Items of up to `block_bytes` of text are searched as documents
+    are read: nothing is written or shuffled. More items make several blocks, of which the driver and
+    the tasks hold one at a time: documents are written once, each block reads them and writes what it
+    finds, and the few documents with a passage are looked up at the end. Each text is searched whole. Null and empty texts, and tables
     without items, give empty arrays; items without words are left out; items of fewer than
     `min_words` words are found as exact word sequences; repeated items are each reported. Other columns pass through, one called
     `passages` is replaced.
     """
     ship(docs.sparkSession)
     plain = docs.drop("passages") if text != "passages" else docs
-    kind = "array<struct<item:bigint,distance:int,last_word:int>>"
+    kind = f"array<struct<item:{items.schema[item].dataType.simpleString()},distance:int,last_word:int>>"
 
     def searcher(index: ItemIndex):
         @F.pandas_udf(kind)
@@ -446,9 +451,26 @@ def find_passages(
 
         return search
 
-    found = [
-        searcher(ItemIndex(block, share, min_words))(F.col(text))
-        for block in item_blocks(items, item, item_text, block_bytes)
-    ]
-    passages = F.concat(*found) if found else F.array().cast(kind)
-    return plain.withColumn("passages", passages)
+    def passages_of(block: int) -> Column:
+        index = ItemIndex(item_block(items, item, item_text, block, blocks), share, min_words)
+        return searcher(index)(F.col(text))
+
+    blocks = block_count(items, item_text, block_bytes)
+    if blocks <= 1:
+        return plain.withColumn("passages", passages_of(0) if blocks else F.array().cast(kind))
+    tables = Workspace(docs.sparkSession)
+    row = "_row"
+    while row in plain.columns:
+        row += "_"
+    rows = tables.write(plain.withColumn(row, F.monotonically_increasing_id()))
+    found = None
+    for block in range(blocks):
+        some = rows.select(row, F.lit(block).alias("block"), passages_of(block).alias("found")).filter(F.size("found") > 0)
+        some = tables.write(some)
+        found = some if found is None else found.unionByName(some)
+    # At most one entry per block for a document; as text, their size can be measured.
+    entries = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "found"))), lambda e: e["found"]))
+    hits = materialize(found.groupBy(row).agg(F.to_json(entries).alias("_hits")))
+    joined = lookup_join(rows, hits, row, "left")
+    columns = [c for c in plain.columns if c != "passages"]
+    return joined.select(*columns, F.coalesce(F.from_json("_hits", kind), F.array().cast(kind)).alias("passages"))

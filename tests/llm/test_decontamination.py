@@ -116,3 +116,24 @@ def test_short_items_are_found_without_edits():
     found = index.search(["blue, MOON.", "One two three for four", "so: one two three four blue sky moon", None, "a b c d e f yes"])
     assert found == [[(1, 0, 1), (5, 0, 1)], [], [(3, 0, 4)], [], [(2, 0, 6), (6, 0, 5)]]
     assert dc.ItemIndex(items[:2], dc.EDIT_SHARE, dc.MIN_WORDS).search(["yes"]) == [[(2, 0, 0)]]
+
+
+def test_blocks_of_items_one_at_a_time(spark, awkward, monkeypatch):
+    """Many blocks find what one block finds; no more than one is held, and ids may be text."""
+    some = random.Random(8)
+    pool = [f"w{i}" for i in range(400)]
+    items = [(f"item-{n}" if n else None, " ".join(some.choice(pool) for _ in range(some.choice([3, 12, 45])))) for n in range(24)]
+    texts = [" ".join([some.choice(pool) for _ in range(30)] + [t for _, t in some.sample(items, 2)] + [some.choice(pool) for _ in range(9)]) for _ in range(40)]
+    docs = spark.createDataFrame([(n, t, "x", "y") for n, t in enumerate([*texts, None, "", "same"])], "doc_id long, text string, _row string, passages string").repartition(3)
+    table = spark.createDataFrame(items, "item_id string, text string")
+    sizes = []
+    index = dc.ItemIndex.__init__
+    monkeypatch.setattr(dc.ItemIndex, "__init__", lambda self, block, *a: (sizes.append(sum(len(t) for _, t in block)), index(self, block, *a))[1])
+    whole = dc.find_passages(docs, table)
+    parts = dc.find_passages(docs, table, block_bytes=200)
+    assert len(sizes) > 6 and max(sizes[1:]) < 0.75 * sizes[0]
+    assert parts.columns == whole.columns == ["doc_id", "text", "_row", "passages"]
+    assert parts.schema["passages"].dataType.elementType["item"].dataType.simpleString() == "string"
+    found = [{(r.doc_id, p.item, p.distance, p.last_word) for r in df.collect() for p in r.passages} for df in (whole, parts)]
+    assert found[0] == found[1] and len(found[0]) >= 80 and parts.count() == 43
+    assert {r._row for r in parts.collect()} == {"x"}
