@@ -57,6 +57,7 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
         *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in pii.BASE_KINDS],
         F.sha2(joined(of(*pii.BASE_KINDS)).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("pii")).alias("spans"),
+        F.size("pii").cast("long").alias("n_spans"),
     )
 
 
@@ -78,7 +79,8 @@ judged AS (
  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM parts),
 hosts AS (
- SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix,
+ SELECT host, array_to_string(string_split(host, '.')[CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (SUFFIXES) THEN -3 ELSE -2 END:], '.') AS domain,
+  CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN (SUFFIXES) THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix,
   count(quality) AS n, count(CASE WHEN quality = 0 THEN 1 END) AS bad
  FROM judged LEFT JOIN labels ON labels.doc_id = judged.page_id GROUP BY host),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
@@ -99,7 +101,7 @@ ruled AS (
 SELECT page_id, host, path, rule,
  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN mu - 1.645 * sqrt(mu * (1 - mu) / (strength + 1)) > 0.3 THEN 'block' ELSE 'allow' END AS verdict
-FROM ruled JOIN p3 USING (host)""",
+FROM ruled JOIN p3 USING (host)""".replace("SUFFIXES", ", ".join(f"'{s}'" for s in urls.SUFFIXES)),
 )
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """A verdict for every page: by rule, else by the reputation of its host.
@@ -212,7 +214,45 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "text_score", "site_score", "quality_score", "accepted")
 
 
-@query("op4_temperature_mixing")
+@query(
+    "op4_temperature_mixing",
+    r"""
+WITH base AS (
+ SELECT * EXCLUDE (text), coalesce(source, '') AS src, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens,
+  ('0x' || md5(concat_ws(':', 'mix', coalesce(doc_id::VARCHAR, '')))[1:10])::BIGINT AS key
+ FROM (SELECT doc_id, text, source FROM documents)),
+sources AS (SELECT src, sum(tokens)::BIGINT AS tokens, count(*) AS n FROM base GROUP BY src),
+shares AS (SELECT *, tokens / (SELECT sum(tokens) FROM sources) AS share FROM sources WHERE tokens > 0),
+sums AS (
+ SELECT k, sum(pow(share, k / 1024)) AS z, sum(pow(share, k / 1024) * ln(share)) AS logs, min(share) AS least
+ FROM shares, (SELECT unnest(range(0, 1025)) AS k) GROUP BY k),
+measures AS (SELECT k, z, ln(z) - k / 1024 * logs / z AS entropy, pow(least, k / 1024 - 1) / z AS repeats FROM sums),
+entropic AS (SELECT coalesce(max(k) FILTER (entropy >= 0.95 * (SELECT ln(count(*)) FROM shares)), 0) AS k FROM measures),
+chosen AS (
+ SELECT CASE WHEN (SELECT repeats FROM measures JOIN entropic USING (k)) > 4
+  THEN least(1024, (SELECT max(m.k) + 1 FROM measures m, entropic e WHERE m.k >= e.k AND m.repeats > 4)) ELSE k END AS k FROM entropic),
+quotas AS (
+ SELECT src, tokens, ceil(n / 1024)::BIGINT AS blocks,
+  floor(pow(share, k / 1024) / z * (SELECT sum(tokens)::DOUBLE FROM sources))::BIGINT AS quota
+ FROM shares, chosen JOIN measures USING (k)),
+dealt AS (
+ SELECT base.*, key % blocks AS block, quota // quotas.tokens AS passes, quota % quotas.tokens AS rest FROM base JOIN quotas USING (src)),
+blocks AS (
+ SELECT src, block, passes, rest, sum(tokens)::BIGINT AS size,
+  ('0x' || md5(concat_ws(':', 'mix', 'block', src, block, passes + 1))[1:10])::BIGINT AS ordering FROM dealt GROUP BY ALL),
+starts AS (
+ SELECT *, coalesce(sum(size) OVER (PARTITION BY src ORDER BY ordering, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM blocks),
+placed AS (
+ SELECT dealt.*, CASE WHEN start < starts.rest THEN starts.rest - start END AS room, start < starts.rest AND start + size > starts.rest AS cut,
+  ('0x' || md5(concat_ws(':', 'mix', 'doc', dealt.passes + 1, doc_id))[1:10])::BIGINT AS doc_order
+ FROM dealt JOIN starts USING (src, block)),
+counted AS (
+ SELECT *, passes + CASE WHEN cut THEN (sum(tokens) OVER (PARTITION BY src, block ORDER BY doc_order, doc_id) <= room)::INT
+  ELSE (room IS NOT NULL)::INT END AS times FROM placed)
+SELECT doc_id, source, mix_epoch, block AS mix_block,
+ ('0x' || md5(concat_ws(':', 'mix', 'block', src, block, mix_epoch))[1:10])::BIGINT AS mix_place
+FROM (SELECT *, unnest(range(1, times + 1)) AS mix_epoch FROM counted)""",
+)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed by source to a target entropy, at a budget of all tokens."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")

@@ -24,6 +24,16 @@ MAX_BAD, Z = 0.3, 1.645
 #: Bounds of the correlation within a level, so that a prior strength is finite.
 MIN_RHO, MAX_RHO = 1e-4, 0.9
 
+# --- fixed values: public suffixes of two labels under which names are registered ---
+SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "me.uk", "net.uk", "org.uk", "com.au", "edu.au", "gov.au", "net.au", "org.au",
+    "ac.nz", "co.nz", "net.nz", "org.nz", "ac.jp", "co.jp", "go.jp", "ne.jp", "or.jp", "com.br", "gov.br", "net.br",
+    "org.br", "com.cn", "edu.cn", "gov.cn", "net.cn", "org.cn", "ac.in", "co.in", "gov.in", "net.in", "org.in",
+    "ac.kr", "co.kr", "go.kr", "or.kr", "ac.za", "co.za", "org.za", "com.ar", "com.co", "com.hk", "com.mx", "com.my",
+    "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "co.id", "co.il", "co.th",
+    "blogspot.com", "github.io", "gitlab.io", "netlify.app", "pages.dev", "vercel.app", "wordpress.com",
+)
+
 Rule = tuple[str, str]
 
 
@@ -43,14 +53,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(_rest(url), F.lit("")), r"^[^/?#]*([^?#]*)", 1)
 
 
-def domain_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+def suffix_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The last two labels of a host if they are one of `suffixes`, else the last one."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
-def suffix_of(host: Column) -> Column:
-    """The last label of a host."""
-    return F.substring_index(host, ".", -1)
+def domain_of(host: Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
+    """The suffix of a host and the label before it."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -81,13 +93,17 @@ def _strength(children: DataFrame, parent: Column) -> float:
     return 1 / min(max(rho, MIN_RHO), MAX_RHO) - 1
 
 
-def host_reputation(hosts: DataFrame) -> DataFrame:
+def host_reputation(hosts: DataFrame, suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
     """Posterior of every host from counts `host`, `n`, `bad` (one row per host).
 
+    The registered domain is the label before the suffix; strangers under a suffix of two labels, as
+    `co.uk` or `github.io`, are domains of their own. `suffixes` lists those, some hundred at most.
+
     Returns host, n, bad, posterior mean and strength (`mean`, `strength`). Hosts without labelled pages
     have their domain's rate. An empty table has no rows; without any label all rates are 0.
     """
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    host = F.col("host")
+    hosts = hosts.withColumn("domain", domain_of(host, suffixes)).withColumn("suffix", suffix_of(host, suffixes))
     domains = materialize(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     suffixes = materialize(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -113,6 +129,7 @@ def judge_urls(
     page: str = "page_id",
     max_bad: float = MAX_BAD,
     z: float = Z,
+    suffixes: Sequence[str] = SUFFIXES,
 ) -> DataFrame:
     """Pages with host, path, rule, verdict, bad_rate and bad_bound.
 
@@ -131,7 +148,7 @@ def judge_urls(
     counts = judged.select(page, "host").join(votes, page, "left").groupBy("host").agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("bad")
     )
-    reputation = materialize(host_reputation(materialize(counts)))
+    reputation = materialize(host_reputation(materialize(counts), suffixes))
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("strength") + 1))
     bounds = reputation.select(
         "host", F.col("mean").alias("bad_rate"), (F.col("mean") - z * deviation).alias("bad_bound")
