@@ -42,11 +42,14 @@ def fold(key: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def hash_share(key: Column, share: Column | float, seed: str) -> Column:
-    """True for about `share` of the keys, always the same ones. Used for bounded samples."""
+def hash_share(share: Column | float, seed: str, *keys: Column) -> Column:
+    """True for about `share` of the rows, always the same ones. Used for bounded samples.
+
+    Rows are told apart by all keys, so an id that many rows share is sampled like any other rows.
+    """
     if not isinstance(share, Column):
         share = F.lit(float(share))
-    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / float(1 << 40)
+    place = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40)) / float(1 << 40)
     return place < share
 
 

@@ -149,8 +149,9 @@ def learn_languages(
 ) -> Model:
     """Train on about `rows` documents with a language outside the held-out fold (crc32 of the id
 
-    as text modulo 5). Every language has the same expected number of documents, at least 50, as far as it
-    has that many. Without such documents the model knows no language.
+    as text modulo 5). Every language has the same expected number of documents, as far as it has that
+    many; rows are told apart by id and text, and of equal rows one counts. Documents without language or
+    text are left out, and those without id are held out. Without such documents the model knows no language.
     """
     ship(docs.sparkSession)
 
@@ -167,15 +168,15 @@ def learn_languages(
     sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang).cast("string")).count().collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0))
-    each = max(50, rows // len(sizes))
+    each = max(1.0, rows / len(sizes))
     share = F.element_at(
         F.create_map(*[x for name, n in sorted(sizes.items()) for x in (F.lit(name), F.lit(min(1.0, each / n)))]),
         F.col(lang).cast("string"),
     )
-    chosen = known.filter(hash_share(F.col(id), share, "language"))
-    found = chosen.select(
-        F.col(id).alias("id"), F.col(lang).cast("string").alias("lang"), sparse(F.col(text)).alias("x")
-    ).filter("x.place IS NOT NULL").collect()
+    chosen = known.filter(hash_share(share, "language", F.col(id), F.col(text))).select(
+        F.col(id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
+    )
+    found = chosen.distinct().select("id", "lang", sparse("text").alias("x")).filter("x.place IS NOT NULL").collect()
     found.sort(key=lambda r: (r.id is None, r.id or 0, r.lang, r.x.place))
     languages = sorted({r.lang for r in found})
     x = np.zeros((len(found), BUCKETS), np.float32)

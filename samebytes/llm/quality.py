@@ -140,8 +140,8 @@ def score_quality(
 
     `labels` has the id and a label of 1 (good) or 0; null ids and labels do not count, and of
     repeated labels of an id the lowest does. Labels of fold `HELD_OUT` (crc32 of the id as text
-    modulo 3) are never used. The classifier is fitted on a sample of about `train_rows` labels;
-    sites count all documents. Null hosts and paths are sites named ``. Null, empty and blank
+    modulo 3) are never used. The classifier is fitted on a sample of about `train_rows` labelled
+    documents, told apart by id and text, and of equal rows one; sites count all documents. Null hosts and paths are sites named ``. Null, empty and blank
     texts have features of their own. Without labels of both kinds the text gives their rate, or
     0.5. Other columns pass through; those with the names of the results are replaced.
     """
@@ -155,11 +155,11 @@ def score_quality(
     known = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull() & (fold(F.col(id), 3) != HELD_OUT))
     known = materialize(known.groupBy(id).agg(F.min(F.when(F.col(label) == 1, 1).otherwise(0)).alias("known")))
     known = known.withColumnRenamed(id, "id")
-    rows = known.count()
-    sample = known if rows <= train_rows else known.filter(hash_share(F.col("id"), train_rows / rows, "quality"))
-    # About `train_rows` labels, and a dozen numbers for each of their documents.
-    learned = lookup_join(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), sample, "id")
-    fitted = learned.select("id", features("text").alias("x"), "known").collect()
+    learned = lookup_join(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), known, "id")
+    share = train_rows / max(learned.select("id").count(), 1)
+    sample = learned.filter(hash_share(share, "quality", F.col("id"), F.col("text"))).distinct()
+    # About `train_rows` documents, and a dozen numbers for each.
+    fitted = sample.select("id", features("text").alias("x"), "known").collect()
     fitted.sort(key=lambda r: (r.id, r.x))
     model = TextClassifier(
         np.array([r.x for r in fitted]).reshape(-1, len(FEATURES)), np.array([r.known for r in fitted], float)

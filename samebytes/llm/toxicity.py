@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from samebytes.llm.common import fold, hash_share, materialize, ship
 from samebytes.llm.linear import sigmoid
+from samebytes.operators.scale import lookup_join
 
 #: Positive and unlabelled documents to train on, in expectation.
 POSITIVES, UNLABELLED = 4_000, 12_000
@@ -145,8 +146,12 @@ def learn_toxicity(
 ) -> Classifier:
     """Train on documents outside the held-out fold (crc32 of the id as text modulo 3).
 
-    Positives are a sample of ids labelled 1, unlabelled ones a sample of all documents, whatever
-    their label. The prior is the share of 1 among the labels outside the fold unless given.
+    Positives are a sample of the documents labelled 1, unlabelled ones a sample of all documents,
+    whatever their label: `positives` and `unlabelled` rows in expectation, told apart by id and text, and
+    of equal rows one. The prior is the share of 1 among the labels outside the fold unless given. Null ids
+    and null labels do not count as labels; of several labels of an id the largest does. Documents
+    without id are unlabelled ones. Without labels, or on empty tables, the classifier gives every text
+    the prior.
     """
     ship(docs.sparkSession)
 
@@ -160,16 +165,18 @@ def learn_toxicity(
     if prior is None:
         prior = toxic / rows if rows else 0.0
     open_docs = docs.filter(fold(F.col(id), 3) != HELD_OUT).select(F.col(id).alias("id"), F.col(text).alias("text"))
-    # At most about `positives` ids, whatever the size of the tables.
-    chosen = known.filter("known = 1").filter(hash_share(F.col(id), positives / max(toxic, 1), "toxic"))
-    confirmed = open_docs.join(F.broadcast(chosen.select(F.col(id).alias("id"))), "id", "left_semi")
-    any_docs = open_docs.filter(hash_share(F.col("id"), unlabelled / max(docs.count(), 1), "unlabelled"))
+    marked = known.filter("known = 1").select(F.col(id).alias("id"))
+    confirmed = lookup_join(open_docs, marked, "id", "left_semi")
 
-    def collected(some: DataFrame) -> list[np.ndarray]:
-        found = some.select("id", buckets("text").alias("x")).collect()
+    def collected(some: DataFrame, rows: int, seed: str) -> list[np.ndarray]:
+        share = rows / max(some.select("id").count(), 1)
+        chosen = some.filter(hash_share(share, seed, F.col("id"), F.col("text"))).distinct()
+        found = chosen.select("id", buckets("text").alias("x")).collect()
         return [np.array(r.x, np.int32) for r in sorted(found, key=lambda r: (r.id is None, r.id or 0, r.x))]
 
-    return train(collected(confirmed), collected(any_docs), prior)
+    return train(
+        collected(confirmed, positives, "toxic"), collected(open_docs, unlabelled, "unlabelled"), prior
+    )
 
 
 def score_toxicity(docs: DataFrame, model: Classifier, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -1,0 +1,315 @@
+"""The trained operators against plain loops: risk, posteriors, embeddings, softmax and calibration."""
+
+from __future__ import annotations
+
+import math
+import random
+import unicodedata
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from samebytes.llm import language, linear, quality, toxicity
+from samebytes.llm.common import fold, hash_share, table
+from samebytes.llm.queries import QUERIES
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+# --- toxicity -----------------------------------------------------------------------
+def _risk_and_gradient(positive, rest, prior, weights, bias):
+    """Non-negative risk and the gradient that training follows, document by document."""
+    def loss(z):  # of calling a score z positive
+        return math.log1p(math.exp(-z))
+
+    def score(row):
+        return sum(weights[b] for b in row if b in weights) + bias
+
+    called_positive = sum(loss(score(r)) for r in positive) / len(positive)
+    negative = sum(loss(-score(r)) for r in rest) / len(rest) - prior * sum(loss(-score(r)) for r in positive) / len(positive)
+    slope, bias_slope = dict.fromkeys(weights, 0.0), 0.0
+
+    def add(rows, of):
+        nonlocal bias_slope
+        for r in rows:
+            amount = of(1 / (1 + math.exp(-score(r)))) / len(rows)
+            bias_slope += amount
+            for b in r:
+                if b in slope:
+                    slope[b] += amount
+
+    if negative >= 0:
+        add(rest, lambda s: s)
+        add(positive, lambda s: -prior * s + prior * (s - 1))
+    else:  # one step back up the term that fell below zero
+        add(rest, lambda s: -s)
+        add(positive, lambda s: prior * s)
+    return prior * called_positive + max(0.0, negative), slope, bias_slope, negative
+
+
+def _train_by_loop(positive, rest, prior, buckets, steps, rate=0.02, ridge=1e-4):
+    weights = dict.fromkeys(buckets, 0.0)
+    bias = math.log(max(prior, 1e-4) / (1 - prior))
+    names = [*buckets, "bias"]
+    first, second, risks, backs = dict.fromkeys(names, 0.0), dict.fromkeys(names, 0.0), [], 0
+    for step in range(1, steps + 1):
+        risk, slope, bias_slope, negative = _risk_and_gradient(positive, rest, prior, weights, bias)
+        risks.append(risk)
+        backs += negative < 0
+        gradient = {b: slope[b] + ridge * weights[b] for b in buckets} | {"bias": bias_slope}
+        for name in names:
+            first[name] = 0.9 * first[name] + 0.1 * gradient[name]
+            second[name] = 0.999 * second[name] + 0.001 * gradient[name] ** 2
+            move = rate * (1 - (step - 1) / steps) * (first[name] / (1 - 0.9**step)) / (math.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
+            if name == "bias":
+                bias -= move
+            else:
+                weights[name] -= move
+    return weights, bias, risks, backs
+
+
+@pytest.mark.parametrize(
+    ("prior", "hidden", "steps", "rate", "near"), [(0.1, 12, 60, 0.02, 1e-6), (0.9, 0, 150, 0.05, 5e-3)], ids=["sparse", "steps back"]
+)
+def test_training_follows_the_non_negative_risk(prior, hidden, steps, rate, near):
+    """With a prior far too high for the unlabelled rows the negative part falls below zero."""
+    some = random.Random(2)
+    rest = [sorted({some.randrange(2, 30) for _ in range(6)}) for _ in range(120)]
+    positive = [sorted({1, *(some.randrange(2, 30) for _ in range(5))}) for _ in range(30)]
+    rows = [[np.array(r, np.int32) for r in part] for part in (positive, rest + positive[:hidden])]
+    model = toxicity.train(rows[0], rows[1], prior, steps=steps, rate=rate)
+    buckets = model.buckets.tolist()
+    assert 1 in buckets
+    weights, bias, risks, backs = _train_by_loop(positive, rest + positive[:hidden], prior, buckets, steps, rate=rate)
+    assert np.allclose(model.weights, [weights[b] for b in buckets], atol=near) and abs(model.bias - bias) < near
+    assert risks[-1] < risks[0] and (backs > 0) == (hidden == 0)
+
+
+def test_selected_buckets_have_the_largest_likelihood_ratio():
+    some = random.Random(9)
+    positive = [np.array(sorted({some.randrange(60) for _ in range(8)} | {100}), np.int32) for _ in range(40)]
+    rest = [np.array(sorted({some.randrange(60) for _ in range(8)}), np.int32) for _ in range(90)]
+
+    def gain(bucket):
+        a, b = sum(bucket in r for r in positive), sum(bucket in r for r in rest)
+        if a + b <= 1:
+            return 0.0
+        pooled, total = (a + b) / 130, 0.0
+        for seen, size in ((a, 40), (b, 90)):
+            rate = seen / size
+            total += seen * math.log(rate / pooled) if seen else 0
+            total += (size - seen) * math.log((1 - rate) / (1 - pooled)) if seen < size else 0
+        return total
+
+    expected = sorted(b for b in range(101) if gain(b) > toxicity.MIN_GAIN)
+    assert toxicity.select_buckets(positive, rest, 1024).tolist() == expected and 100 in expected
+
+
+def test_toxicity_query_scores_every_text_by_the_model(spark):
+    """Labels of the held-out fold never count, and scores are those of the classifier."""
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    model = toxicity.learn_toxicity(docs, labels)
+    flipped = labels.selectExpr("doc_id", f"CASE WHEN crc32(cast(cast(doc_id AS string) AS binary)) % 3 = {toxicity.HELD_OUT} THEN 1 - toxic ELSE toxic END AS toxic")
+    again = toxicity.learn_toxicity(docs, flipped)
+    assert np.array_equal(model.buckets, again.buckets) and np.array_equal(model.weights, again.weights)
+    weights = dict(zip(model.buckets.tolist(), model.weights.tolist(), strict=True))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    for r in QUERIES["op1_nnpu_toxicity"](spark, FOLDER).collect():
+        z = model.bias + sum(weights.get(b, 0.0) for b in toxicity.text_buckets(texts[r.doc_id]).tolist())
+        assert abs(r.score - 1 / (1 + math.exp(-max(-40, min(40, z))))) < 1e-9
+        assert r.predicted == (r.score >= 0.7) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+def test_samples_are_bounded_by_rows_not_ids(spark):
+    """An id that all rows share, or none, is sampled like any others; equal rows count once."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    share = rows.filter(hash_share(0.5, "any", F.col("doc_id"), F.col("text"))).count()
+    assert 9_500 < share < 10_500
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    same = spark.range(5_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one text").alias("text"))
+    model = toxicity.learn_toxicity(same.unionByName(rows), labels, positives=10, unlabelled=50)
+    assert 0 <= model.score("one text") <= 1
+    # Documents without id are in the held-out fold of languages, those of this id are not.
+    docs = spark.range(20_000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("wort "), F.col("id")).alias("text"), F.lit("de").alias("lang"))
+    docs = docs.unionByName(rows.selectExpr("1L AS doc_id", "text", "'en' AS lang")).unionByName(rows.selectExpr("doc_id", "text", "'none' AS lang"))
+    assert language.learn_languages(docs, rows=200).languages == ["de", "en"]
+
+
+# --- quality ------------------------------------------------------------------------
+_SITES = """
+WITH evidence AS (SELECT coalesce(source, '') AS host, coalesce(lang, '') AS path, CASE WHEN known IS NULL THEN 1 / (1 + exp(-odds)) ELSE known END AS good FROM measured),
+paths AS (SELECT host, path, count(*)::DOUBLE AS n, sum(good) AS good FROM evidence GROUP BY ALL),
+hosts AS (SELECT host, sum(n) AS n, sum(good) AS good FROM paths GROUP BY host),
+base AS (SELECT sum(good) / sum(n) AS base FROM hosts),
+k1 AS (SELECT 1 / least(greatest((sum(n * (good / n - base) ** 2) - sum(base * (1 - base))) / sum(base * (1 - base) * (n - 1)), 1e-4), 0.5) - 1 AS k FROM hosts, base),
+priors AS (SELECT host, (k * base + good) / (k + n) AS prior FROM hosts, base, k1),
+k2 AS (SELECT 1 / least(greatest((sum(n * (good / n - prior) ** 2) - sum(prior * (1 - prior))) / sum(prior * (1 - prior) * (n - 1)), 1e-4), 0.5) - 1 AS k FROM paths JOIN priors USING (host)),
+sites AS (SELECT host, path, (k * prior + good) / (k + n) AS site FROM paths JOIN priors USING (host), k2)
+SELECT doc_id, site, 1 / (1 + exp(-(odds + ln(site / (1 - site)) - ln(base / (1 - base))))) AS score
+FROM measured JOIN sites ON sites.host = coalesce(source, '') AND sites.path = coalesce(lang, ''), base ORDER BY doc_id"""
+
+
+def test_quality_posteriors_equal_sql(spark):
+    """From the classifier's log-odds on, SQL gives the same sites and scores."""
+    docs, labels = table(spark, FOLDER, "documents"), table(spark, FOLDER, "labels")
+    rows = sorted(QUERIES["op3_hierarchical_quality"](spark, FOLDER).collect())
+    known = {r.doc_id: float(r.quality == 1) for r in labels.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != quality.HELD_OUT}
+    place = {r.doc_id: (r.source, r.lang) for r in docs.select("doc_id", "source", "lang").collect()}
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE measured (doc_id BIGINT, source VARCHAR, lang VARCHAR, known DOUBLE, odds DOUBLE)")
+    for r in rows:
+        odds = math.log(r.text_score / (1 - r.text_score))
+        connection.execute("INSERT INTO measured VALUES (?, ?, ?, ?, ?)", [r.doc_id, *place[r.doc_id], known.get(r.doc_id), odds])
+    expected = connection.execute(_SITES).fetchall()
+    assert len(expected) == len(rows)
+    for r, (doc_id, site, score) in zip(rows, expected, strict=True):
+        assert r.doc_id == doc_id and abs(r.site_score - site) < 1e-6 and abs(r.quality_score - score) < 1e-6
+        assert r.accepted == (r.quality_score >= quality.KEEP)
+
+
+def test_logistic_regression_is_at_its_optimum():
+    some = np.random.default_rng(4)
+    x = some.normal(size=(300, 3))
+    y = (x @ [1.0, -2.0, 0.5] + some.logistic(size=300) > 0).astype(float)
+    weights = linear.fit_logistic(x, y, ridge=0.01)
+    for k in range(4):
+        column = x[:, k] if k < 3 else np.ones(300)
+        slope = sum((yi - 1 / (1 + math.exp(-(xi @ weights[:3] + weights[3])))) * ci for xi, yi, ci in zip(x, y, column, strict=True))
+        assert abs(slope - (3.0 * weights[k] if k < 3 else 0)) < 1e-4
+
+
+def test_text_features_by_hand():
+    text = "Ab ab ab, 12 x!\nline\nline"
+    words = text.split()
+    got = dict(zip(quality.FEATURES, quality.text_features(text), strict=True))
+    assert got["log_words"] == pytest.approx(math.log(7)) and got["repeated"] == pytest.approx(1 / 7)
+    assert got["variety"] == pytest.approx(math.log(len(set(words))) / math.log(8))
+    assert got["repeated_lines"] == pytest.approx(1 / 3) and got["repeated_pairs"] == pytest.approx(0)
+    assert got["symbols"] == pytest.approx(2 / 19) and got["digits"] == pytest.approx(2 / 19)
+    assert got["top_word"] == pytest.approx(2 / 7) and got["capitals"] == pytest.approx(1 / 15)
+    assert quality.text_features(None) == quality.text_features(" \n") == [1.0] + [0.0] * 11
+
+
+# --- language -------------------------------------------------------------------------
+def _subwords(text):
+    """Hashed letter sequences of one to three characters, found one by one."""
+    line = [32] + [ord(c) if c.isalpha() else 32 for c in text.lower()] + [32]
+    counts, mask = Counter(), (1 << 64) - 1
+    for at in range(len(line)):
+        for size in (1, 2, 3):
+            part = line[at : at + size]
+            if len(part) < size or all(c == 32 for c in part) or (size == 3 and (part[1] == 32 or part[0] == part[2] == 32)):
+                continue
+            hashed = 0
+            for c in part:
+                hashed = ((hashed * 0x100000001B3) & mask) ^ ((c * 0x9E3779B97F4A7C15) & mask)
+                hashed ^= hashed >> 29
+            counts[hashed % language.BUCKETS] += 1
+    return counts
+
+
+@pytest.mark.parametrize("text", ["Ärger mit dem-Öl 12", "a", "naïve  café\n日本語 x", "I I I"])
+def test_subword_counts_by_hand(text):
+    text = unicodedata.normalize("NFC", text)
+    counts = language.subword_counts(text)
+    assert {i: int(counts[i]) for i in np.flatnonzero(counts)} == dict(_subwords(text))
+
+
+def _toy(spark):
+    some = random.Random(5)
+    letters = {"aa": "abcde", "bb": "cdefg", "cc": "xyzab"}
+    rows = [(i, " ".join("".join(some.choice(v) for _ in range(5)) for _ in range(12)), k) for i, (k, v) in enumerate(list(letters.items()) * 60)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows
+
+
+def test_prediction_is_the_softmax_of_averaged_embeddings(spark):
+    docs, rows = _toy(spark)
+    model = language.learn_languages(docs)
+    assert model.languages == ["aa", "bb", "cc"]
+    for r in language.identify_language(docs, model).limit(40).collect():
+        counts = _subwords(r.text)
+        mean = [sum(n * model.embeddings[b][d] for b, n in counts.items()) / sum(counts.values()) for d in range(language.DIMENSIONS)]
+        z = [(sum(m * model.output[d][k] for d, m in enumerate(mean)) + model.bias[k]) / model.temperature for k in range(3)]
+        p = [math.exp(v - max(z)) for v in z]
+        p = [v / sum(p) for v in p]
+        assert r.lang_pred == model.languages[p.index(max(p))] and abs(r.lang_score - max(p)) < 1e-6
+        assert r.lang_accepted == (r.lang_score >= model.accept)
+    held = [r for r in language.identify_language(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(r.lang_pred == r.lang for r in held) > 0.9 * len(held)
+
+
+def test_one_step_of_training_descends_the_cross_entropy():
+    """The first step of one batch moves the softmax against its gradient, found by differences."""
+    some = np.random.default_rng(8)
+    x = some.random((4, language.BUCKETS)).astype(np.float32)
+    x /= x.sum(axis=1, keepdims=True)
+    y = np.array([0, 1, 0, 1])
+    model = language.train(x, y, ["a", "b"], epochs=1, batch=32, rate=0.5)
+    start = np.random.default_rng(5).normal(0, 1, (language.BUCKETS, language.DIMENSIONS)).astype(np.float32)
+    h = x.astype(float) @ start
+
+    def loss(w, b):
+        z = h @ w + b
+        return float(np.mean([math.log(sum(math.exp(v) for v in row)) - row[k] for row, k in zip(z, y, strict=True)]))
+
+    for d, k in [(0, 0), (5, 1), (23, 0)]:
+        w = np.zeros((language.DIMENSIONS, 2))
+        w[d, k] = 1e-5
+        slope = (loss(w, np.zeros(2)) - loss(-w, np.zeros(2))) / 2e-5
+        assert abs(model.output[d, k] + 0.5 * slope) < 1e-4
+    slope = (loss(np.zeros((language.DIMENSIONS, 2)), np.array([1e-5, 0])) - loss(np.zeros((language.DIMENSIONS, 2)), np.array([-1e-5, 0]))) / 2e-5
+    assert abs(model.bias[0] + 0.5 * 0.1 * slope) < 1e-4
+    assert np.allclose(model.embeddings, start, atol=1e-6)  # a softmax of zeros passes nothing back
+
+
+def test_calibration_by_grid_and_count():
+    some = np.random.default_rng(1)
+    k, n = 3, 200
+    model = language.Model(["a", "b", "c"], np.eye(language.BUCKETS)[:, :3] * 1.0, np.eye(3) * 4, np.zeros(3))
+    x = np.zeros((n, language.BUCKETS))
+    x[:, :3] = some.dirichlet([1, 1, 1], n)
+    y = np.array([row[:3].argmax() if some.random() < 0.9 else some.integers(3) for row in x])
+    language.calibrate(model, x, y)
+
+    def softmax(row, t):
+        e = [math.exp(4 * v / t) for v in row[:3]]
+        return [v / sum(e) for v in e]
+
+    def loss(t):
+        smooth, total = 0.5 / (n + 1), 0.0
+        for row, label in zip(x, y, strict=True):
+            p = softmax(row, t)
+            total -= (1 - smooth) * math.log(p[label] + 1e-12) + smooth * math.log(sum(p) / k + 1e-12)
+        return total / n
+
+    assert model.temperature == pytest.approx(min(np.geomspace(0.2, 5, 41), key=loss))
+    scored = sorted(((max(p := softmax(row, model.temperature)), p.index(max(p)) == label) for row, label in zip(x, y, strict=True)), key=lambda r: -r[0])
+    wrong, accept = 0, 1.0
+    for place, (score, right) in enumerate(scored, 1):
+        wrong += not right
+        if wrong / place <= language.MAX_ERROR:
+            accept = score
+    assert model.accept == pytest.approx(accept)
+
+
+def test_clashing_columns_are_replaced(spark, awkward):
+    labels = spark.createDataFrame([(1, 1), (6, 0)], "doc_id long, quality int")
+    clashing = awkward.withColumnRenamed("h", "accepted").withColumnRenamed("score", "lang_pred")
+    assert quality.score_quality(clashing, labels).filter("accepted IS NULL").count() == 0
+    assert set(language.identify_language(clashing, language.learn_languages(awkward)).columns) == {*clashing.columns, "lang_score", "lang_accepted"}
+
+
+def test_folds(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(50).select("id", fold(F.col("id"), 3).alias("f")).collect()
+    assert all(r.f == zlib.crc32(str(r.id).encode()) % 3 for r in rows)
+    by = defaultdict(int)
+    for r in rows:
+        by[r.f] += 1
+    assert set(by) == {0, 1, 2}
