@@ -45,7 +45,7 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 
 #: Shingles of a block of step 4, and documents that are sent one copy of the set they are compared with.
-BLOCK_SHINGLES, BLOCK_MEMBERS = 8192, 256
+BLOCK_SHINGLES, BLOCK_MEMBERS = 8192, 64
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {upper: upper + 32 for upper in range(65, 91)}
