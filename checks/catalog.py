@@ -103,15 +103,32 @@ def _(t):
     return entries.select("library", "kind", "relative_path", "size_bytes")
 
 
+def deep_tree(t) -> str:
+    """A library per source that holds a path too long to be opened, in the shared folder."""
+    root = os.path.join(shared_folder(t.spark).removeprefix("file:"), f"deep-{uuid.uuid4().hex}")
+    for row in t.documents.select("source").distinct().toLocalIterator():
+        os.makedirs(os.path.join(root, f"lib-{row.source}"))
+        here = os.open(os.path.join(root, f"lib-{row.source}"), os.O_RDONLY)
+        for _ in range(21):
+            os.mkdir("d" * 200, dir_fd=here)
+            below = os.open("d" * 200, os.O_RDONLY, dir_fd=here)
+            os.close(here)
+            here = below
+        os.close(here)
+    return root
+
+
 @check(
     "s3_scan_errors",
-    "SELECT DISTINCT 'lib-' || source || '-gone' AS library, '' AS relative_path, 'No such file or directory' AS error FROM documents",
+    """SELECT DISTINCT 'lib-' || source || '-gone' AS library, 'No such file or directory' AS error FROM documents
+ UNION ALL SELECT DISTINCT 'lib-' || source, 'File name too long' FROM documents""",
 )
 def _(t):
-    # Libraries that are asked for but cannot be read.
-    names = [f"lib-{r.source}-gone" for r in t.documents.select("source").distinct().collect()]
-    entries = filetree.walk_tree(t.spark, document_tree(t), names)
-    return entries.filter(F.col("kind") == "error").select("library", "relative_path", "error")
+    # Libraries that are asked for but absent, and entries that cannot be read.
+    root = deep_tree(t)
+    names = [f"lib-{r.source}" for r in t.documents.select("source").distinct().collect()]
+    entries = filetree.walk_tree(t.spark, root, [*names, *[f"{name}-gone" for name in names]])
+    return entries.filter(F.col("kind") == "error").select("library", "error")
 
 
 @check(
@@ -132,20 +149,28 @@ def _(t):
 
 @check(
     "s5_content_hash",
-    "SELECT doc_id + 1 AS id, 'hashed' AS outcome, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes_hashed FROM documents",
+    """SELECT doc_id + 1 AS id, 'hashed' AS outcome, sha256(text) AS digest, CAST(strlen(text) AS BIGINT) AS bytes_hashed, NULL AS error FROM documents
+ UNION ALL SELECT -doc_id - 1, 'failed', NULL, 0, 'library lies outside the libraries root' FROM documents WHERE doc_id % 50 = 3
+ UNION ALL SELECT -doc_id - 1, 'failed', NULL, 0, 'candidate path escapes its library' FROM documents WHERE doc_id % 50 = 4""",
 )
 def _(t):
     root = document_tree(t)
     files = filetree.read_tree(t.spark, root).filter(F.col("kind") == "file")
+    number = F.regexp_extract("relative_path", r"(\d+)\.txt$", 1).cast("bigint")
     candidates = files.select(
-        (F.regexp_extract("relative_path", r"(\d+)\.txt$", 1).cast("bigint") + 1).alias("id"),
-        "relative_path",
-        F.col("size_bytes").alias("expected_size"),
-        F.col("mtime_ns").alias("expected_mtime_ns"),
-        F.concat(F.lit(f"{root}/"), "library").alias("root_path"),
+        (number + 1).alias("id"), "relative_path", F.col("size_bytes").alias("expected_size"),
+        F.col("mtime_ns").alias("expected_mtime_ns"), F.concat(F.lit(f"{root}/"), "library").alias("root_path"),
     )
-    return content.hash_files(candidates).select(
-        "id", "outcome", F.lower(F.hex("digest")).alias("digest"), "bytes_hashed"
+    # Some files are asked for in a library beside the root, and some by a path out of their library.
+    outside = f"{root}-outside"
+    os.makedirs(outside, exist_ok=True)
+    strays = candidates.withColumns({"id": -F.col("id"), "root_path": F.lit(outside)}).filter("(-id - 1) % 50 = 3")
+    escapes = candidates.withColumns(
+        {"id": -F.col("id"), "relative_path": F.concat(F.lit("../../x/"), "relative_path")}
+    ).filter("(-id - 1) % 50 = 4")
+    asked = candidates.unionByName(strays).unionByName(escapes)
+    return content.hash_files(asked, libraries_root=root).select(
+        "id", "outcome", F.lower(F.hex("digest")).alias("digest"), "bytes_hashed", "error"
     )
 
 

@@ -90,13 +90,13 @@ def run_hash(
     now: Clock,
     max_files: int | None = None,
     algorithm: str = "sha256",
-    libraries_root: str | None = None,
+    libraries_root: str | None = LIBRARIES_ROOT,
 ) -> Row:
     """Hash due files (all of them, or the first `max_files` by id) and return the counts.
 
     Only the buckets of the catalog that hold these files are written anew.
 
-    With `libraries_root`, libraries outside it are not read; their files fail.
+    Libraries outside `libraries_root` are not read, and their files fail; None lifts that.
     """
     catalog = store.read("library_files")
     due = next_hash_files(catalog, now, max_files)

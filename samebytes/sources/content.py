@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samebytes.schemas import HASH_OUTCOMES, HASH_READ_CHUNK_BYTES
+from samebytes.schemas import HASH_OUTCOMES, HASH_READ_CHUNK_BYTES, LIBRARIES_ROOT
 from samebytes.sources import ship
 from samebytes.sources.filetree import name_on_disk
 from samebytes.sources.rows import record_batch
@@ -92,12 +92,13 @@ def hash_files(
     algorithm: str = "sha256",
     chunk_bytes: int = HASH_READ_CHUNK_BYTES,
     bytes_per_task: int = BYTES_PER_TASK,
-    libraries_root: str | None = None,
+    libraries_root: str | None = LIBRARIES_ROOT,
 ) -> DataFrame:
     """Hash every candidate row of `with_root`; one outcome row per candidate.
 
     Tasks are sized by the bytes to read, and rows are dealt out by id so that a library of
-    large files is spread. With `libraries_root`, only libraries under it are read. Write the result before using it twice: it reads the files.
+    large files is spread. Only libraries under `libraries_root` are read; None
+    lifts that. Write the result before using it twice: it reads the files.
     """
     _hasher(algorithm)
     ship(candidates.sparkSession)

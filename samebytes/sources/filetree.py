@@ -19,7 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource,
+    DataSourceReader,
+    EqualTo,
+    Filter,
+    In,
+    InputPartition,
+    StringStartsWith,
+)
 
 from samebytes.operators.scale import materialize
 from samebytes.schemas import TREE_ENTRIES
@@ -28,6 +36,7 @@ from samebytes.sources.rows import record_batch
 
 Entry = tuple[str, str, str | None, int | None, int | None, int | None, int | None, str | None]
 
+_PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
 #: Marks a byte of a name that is not UTF-8; the byte follows as two hexadecimal digits.
 _MARK = "\ufffd"
@@ -161,6 +170,29 @@ class FileTreeReader(DataSourceReader):
         self.root = options["path"]
         self.libraries = json.loads(options["libraries"]) if "libraries" in options else None
         self.splits = int(options.get("splits", "256"))
+        self.only: set[str] | None = None
+        self.start, self.top, self.kind = "", False, None
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Note what makes directories needless to read; Spark tests all filters again.
+
+        A test of `library` leaves out the others, a prefix of `relative_path` is where the walk
+        starts, and an empty `relative_path` asks for the libraries themselves, whose directory rows
+        follow from the names under the root alone.
+        """
+        for test in filters:
+            match test:
+                case EqualTo(("library",), value):
+                    self.only = {value} if self.only is None else self.only & {value}
+                case In(("library",), values):
+                    self.only = set(values) if self.only is None else self.only & set(values)
+                case EqualTo(("relative_path",), ""):
+                    self.top = True
+                case EqualTo(("kind",), value):
+                    self.kind = value
+                case StringStartsWith(("relative_path",), value):
+                    self.start = max(self.start, value.rpartition("/")[0], key=len)
+            yield test
 
     def partitions(self) -> list[_Subtrees]:
         """Subtrees, split from the top until there are about `splits` of them.
@@ -171,7 +203,10 @@ class FileTreeReader(DataSourceReader):
         whatever was not handed out, so directories that appear meanwhile are not lost.
         """
         names = library_names(self.root) if self.libraries is None else sorted(set(self.libraries))
-        open_ends = deque((name, "") for name in names)
+        names = [name for name in names if self.only is None or name in self.only]
+        if self.top:
+            return [_Subtrees([(name, "") for name in names[i :: self.splits]]) for i in range(min(self.splits, len(names)))]
+        open_ends = deque((name, self.start) for name in names)
         done: list[_Subtrees] = []
         for _ in range(self.splits):
             if not open_ends or len(open_ends) + len(done) >= self.splits:
@@ -184,6 +219,13 @@ class FileTreeReader(DataSourceReader):
         return done + [_Subtrees(rest[i :: self.splits]) for i in range(min(self.splits, len(rest)))]
 
     def read(self, partition: _Subtrees) -> Iterator[Entry]:
+        if self.top:
+            for library, _ in partition.starts:
+                if self.kind == "directory":
+                    yield library, "directory", "", *[None] * 5
+                else:
+                    yield from (entry for entry, _ in list_directory(self.root, library, "") if entry[2] == "")
+            return
         for library, start in partition.starts:
             yield from walk(self.root, library, start, partition.elsewhere)
 
@@ -191,7 +233,8 @@ class FileTreeReader(DataSourceReader):
 class FileTreeDataSource(DataSource):
     """`spark.read.format("filetree").option("path", root).load()`
 
-    Options: `path`, the folder that holds the libraries; `libraries`, a JSON list of names
+    Filters on `library`, on a prefix of `relative_path` and on the libraries themselves save reading
+    directories. Options: `path`, the folder that holds the libraries; `libraries`, a JSON list of names
     to walk instead of all; `splits`, about how many partitions to make (256).
     """
 
@@ -207,7 +250,10 @@ class FileTreeDataSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    """Make the source known, and let filters reach it unless the session says otherwise."""
     ship(spark)
+    if spark.conf.get(_PUSHDOWN, None) is None:
+        spark.conf.set(_PUSHDOWN, "true")
     spark.dataSource.register(FileTreeDataSource)
 
 

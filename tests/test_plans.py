@@ -25,8 +25,8 @@ def test_scan_hash_group_and_request(spark, tmp_path, libraries):
     store = SnapshotStore(spark, str(tmp_path / "store"))
     session = plans.run_scan(store, str(libraries), NOW[0])
     assert (session.id, session.status, session.files_seen, session.bytes_seen) == (1, "succeeded", 4, 21)
-    assert tuple(plans.run_hash(store, NOW[0])) == (4, 4, 0, 0, 0, 21)
-    assert tuple(plans.run_hash(store, NOW[0])) == (0, 0, 0, 0, 0, 0)
+    assert tuple(plans.run_hash(store, NOW[0], libraries_root=str(libraries))) == (4, 4, 0, 0, 0, 21)
+    assert tuple(plans.run_hash(store, NOW[0], libraries_root=str(libraries))) == (0, 0, 0, 0, 0, 0)
 
     groups = plans.publish_groups(store)
     page = duplicates.list_groups(groups)
@@ -53,8 +53,8 @@ def test_scan_hash_group_and_request(spark, tmp_path, libraries):
         "a.jpg": (1, False, False), "b.jpg": (2, False, True), "c.mp4": (3, True, False), "d.txt": (4, False, False), "e.txt": (5, False, True),
     }
     assert after["c.mp4"].content_hash is not None and after["b.jpg"].content_hash is None
-    assert plans.run_hash(store, NOW[1], max_files=1).processed == 1
-    assert plans.run_hash(store, NOW[1]).hashed == 1
+    assert plans.run_hash(store, NOW[1], max_files=1, libraries_root=str(libraries)).processed == 1
+    assert plans.run_hash(store, NOW[1], libraries_root=str(libraries)).hashed == 1
     page = duplicates.list_groups(plans.publish_groups(store))
     assert [(g.file_count, g.sample_file_id) for g in page.items] == [(2, 1)]
 
@@ -79,9 +79,9 @@ def test_file_that_changes_between_scan_and_hash_is_requeued(spark, tmp_path, li
     plans.run_scan(store, str(libraries), NOW[0])
     (libraries / "one" / "a.jpg").write_bytes(b"longer than before")
     (libraries / "two" / "d.txt").unlink()
-    counts = plans.run_hash(store, NOW[0])
+    counts = plans.run_hash(store, NOW[0], libraries_root=str(libraries))
     assert (counts.hashed, counts.requeued, counts.missing) == (2, 1, 1)
-    assert plans.run_hash(store, NOW[0]).hashed == 1
+    assert plans.run_hash(store, NOW[0], libraries_root=str(libraries)).hashed == 1
     size = store.read("library_files").filter("relative_path = 'a.jpg'").first().size_bytes
     assert size == os.path.getsize(libraries / "one" / "a.jpg")
 

@@ -115,7 +115,7 @@ def test_hash_outcomes(spark, tmp_path):
         (6, "escape", 1, 1, 0, str(root)),
         (7, "ok", 1, 1, 0, str(tmp_path / "no-root")),
     ]
-    outcomes = content.hash_files(candidate_frame(spark, rows), chunk_bytes=1000).cache()
+    outcomes = content.hash_files(candidate_frame(spark, rows), chunk_bytes=1000, libraries_root=None).cache()
     got = {r.id: r for r in outcomes.collect()}
     assert [got[i].outcome for i in range(1, 8)] == ["hashed", "requeued", "requeued", "missing", "missing", "failed", "failed"]
     assert bytes(got[1].digest) == hashlib.sha256(data).digest()
@@ -222,3 +222,41 @@ def test_a_stream_batch_leaves_other_buckets_alone(spark, tmp_path):
     assert 1 <= len(fresh) <= 2
     rows = {r.relative_path: (r.id, r.size_bytes) for r in store.read("library_files").collect()}
     assert len(rows) == 201 and rows["f7"] == (7, 9) and rows["new"] == (201, 5)
+
+
+def test_filters_save_reading_directories(tree, monkeypatch):
+    from pyspark.sql.datasource import EqualTo, In, StringStartsWith
+
+    scan, read = os.scandir, []
+    monkeypatch.setattr(os, "scandir", lambda path: (read.append(os.path.relpath(path, tree)), scan(path))[1])
+
+    def rows(*filters):
+        reader = filetree.FileTreeReader({"path": str(tree)})
+        assert list(reader.pushFilters(list(filters))) == list(filters)
+        read.clear()
+        return [row for part in reader.partitions() for row in reader.read(part)]
+
+    everything = rows()
+    assert len(set(read)) > 5
+    top = rows(EqualTo(("kind",), "directory"), EqualTo(("relative_path",), ""))
+    assert sorted(top) == sorted(r for r in everything if r[1:3] == ("directory", "")) and read == ["."]
+    other = rows(EqualTo(("library",), "other"))
+    assert sorted(other) == sorted(r for r in everything if r[0] == "other") and not any(p.startswith("media") for p in read)
+    assert rows(In(("library",), ("other", "none")), EqualTo(("library",), "none")) == []
+    below = [r for r in rows(StringStartsWith(("relative_path",), "sub/.h")) if r[2].startswith("sub/.h")]
+    assert below == [r for r in everything if r[2].startswith("sub/.h")] and "media" not in read
+    assert [r for r in rows(EqualTo(("relative_path",), "")) if r[1] == "error"] == [r for r in everything if r[1:3] == ("error", "")]
+
+
+def test_pushed_filters_give_the_same_rows(spark, tree):
+    entries = filetree.read_tree(spark, str(tree))
+    everything = [tuple(r) for r in entries.collect()]
+    tests = {
+        "kind = 'directory' AND relative_path = ''": lambda r: r[1] == "directory" and r[2] == "",
+        "library = 'other'": lambda r: r[0] == "other",
+        "relative_path LIKE 'sub/%' AND library IN ('media', 'x')": lambda r: r[2].startswith("sub/") and r[0] == "media",
+        "relative_path LIKE 'deep/er/%'": lambda r: r[2].startswith("deep/er/"),
+        "relative_path = ''": lambda r: r[2] == "",
+    }
+    for text, wanted in tests.items():
+        assert sorted(map(repr, map(tuple, entries.filter(text).collect()))) == sorted(repr(r) for r in everything if wanted(r)), text
