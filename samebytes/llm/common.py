@@ -63,6 +63,12 @@ def without(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c not in names]
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that this library has written, in whatever store it lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Workspace:
     """Tables written to the shared folder by a loop, which drops them as it goes on.
 
@@ -84,5 +90,4 @@ class Workspace:
 
     def drop(self) -> None:
         """Remove all tables; what is needed further has to be materialised before."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_folder(self.spark, self.folder)

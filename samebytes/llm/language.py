@@ -155,12 +155,13 @@ def learn_languages(
     """
     ship(docs.sparkSession)
 
-    @F.pandas_udf("struct<place:array<int>,count:array<int>>")
+    # As bytes, a sample takes little memory on the driver.
+    @F.pandas_udf("struct<place:binary,count:binary>")
     def sparse(texts: pd.Series) -> pd.DataFrame:
         found = [subword_counts(t) for t in texts]
         return pd.DataFrame({
-            "place": [None if c is None else np.flatnonzero(c).astype(np.int32) for c in found],
-            "count": [None if c is None else c[c > 0].astype(np.int32) for c in found],
+            "place": [None if c is None else np.flatnonzero(c).astype("<i4").tobytes() for c in found],
+            "count": [None if c is None else c[c > 0].astype("<i4").tobytes() for c in found],
         })
 
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (fold(F.col(id), 5) != HELD_OUT))
@@ -177,11 +178,12 @@ def learn_languages(
         F.col(id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     )
     found = chosen.distinct().select("id", "lang", sparse("text").alias("x")).filter("x.place IS NOT NULL").collect()
-    found.sort(key=lambda r: (r.id is None, r.id or 0, r.lang, r.x.place))
+    found.sort(key=lambda r: (r.id is None, 0 if r.id is None else r.id, r.lang, r.x.place))
     languages = sorted({r.lang for r in found})
     x = np.zeros((len(found), BUCKETS), np.float32)
     for i, r in enumerate(found):
-        x[i, r.x.place] = np.array(r.x["count"], np.float32) / sum(r.x["count"])
+        counts = np.frombuffer(r.x["count"], np.int32)
+        x[i, np.frombuffer(r.x.place, np.int32)] = counts / np.float32(counts.sum())
     y = np.array([languages.index(r.lang) for r in found], np.int64)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0))

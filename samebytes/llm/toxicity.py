@@ -155,9 +155,10 @@ def learn_toxicity(
     """
     ship(docs.sparkSession)
 
-    @F.pandas_udf("array<int>")
+    # As bytes, a sample takes little memory on the driver.
+    @F.pandas_udf("binary")
     def buckets(texts: pd.Series) -> pd.Series:
-        return pd.Series([text_buckets(t) for t in texts])
+        return pd.Series([text_buckets(t).astype("<i4").tobytes() for t in texts])
 
     learned = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull() & (fold(F.col(id), 3) != HELD_OUT))
     known = materialize(learned.groupBy(id).agg(F.max(F.when(F.col(label) == 1, 1).otherwise(0)).alias("known")))
@@ -172,7 +173,7 @@ def learn_toxicity(
         share = rows / max(some.select("id").count(), 1)
         chosen = some.filter(hash_share(share, seed, F.col("id"), F.col("text"))).distinct()
         found = chosen.select("id", buckets("text").alias("x")).collect()
-        return [np.array(r.x, np.int32) for r in sorted(found, key=lambda r: (r.id is None, r.id or 0, r.x))]
+        return [np.frombuffer(r.x, np.int32) for r in sorted(found, key=lambda r: (r.id is None, 0 if r.id is None else r.id, r.x))]
 
     return train(
         collected(confirmed, positives, "toxic"), collected(open_docs, unlabelled, "unlabelled"), prior
