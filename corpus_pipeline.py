@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from samebytes.llm import decontamination, mixing, near_duplicates, pii, quality
-from samebytes.llm.common import table
+from samebytes.llm.common import remove_folder, table
 from samebytes.operators.scale import lookup_join, shared_folder
 
 #: SQL cannot express the classifier, the sketches and the parsers.
@@ -20,7 +20,11 @@ ORACLE_SQL = None
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. Extra columns pass through."""
+    """Documents that the quality classifier accepts. Extra columns pass through.
+
+    Null and empty texts are judged by features of their own, null sources and languages are one
+    site each, and every repeated row is judged alike. Without labels nothing is known against any text.
+    """
     scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
     return scored.filter("accepted").select(*docs.columns)
 
@@ -37,20 +41,31 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
+    """Documents without a passage of a benchmark item.
+
+    Null and empty texts hold none and stay, and so does everything without items. Repeated rows stay
+    or go together; ids do not matter.
+    """
     found = decontamination.find_passages(docs, table(spark, sf_dir, "benchmark"))
     return found.filter(F.size("passages") == 0).select(*docs.columns)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by placeholders and `n_chars` counted anew."""
+    """All documents, with personal data replaced by placeholders and `n_chars` counted anew.
+
+    Null texts stay null, and every row stays, whatever its id.
+    """
     clean = pii.add_pii(docs, clean="text")
     columns = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
     return clean.withColumns(columns).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mixture by source, once per pass."""
+    """Documents of the mixture by source, once per pass, with the columns of the mixture.
+
+    A null source is the source ``; documents without words have no tokens and come with their
+    block, repeated rows are documents of their own, and sources without tokens do not appear.
+    """
     return mixing.mix_sources(docs)
 
 
@@ -64,10 +79,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to `documents`, each written to the shared folder and read again."""
+    """Apply all stages to `documents`, each written to the shared folder and read again.
+
+    What a stage has written goes as soon as the next one is done; the last table stays, for the
+    result is read from it.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before is not None:
+            remove_folder(spark, before)
+        before = path
     return docs

@@ -11,6 +11,7 @@ import json
 import os
 import re
 import stat
+import time
 from collections import deque
 from collections.abc import Iterator
 from functools import reduce
@@ -22,6 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import (
     DataSource,
     DataSourceReader,
+    DataSourceStreamReader,
     EqualTo,
     Filter,
     In,
@@ -85,10 +87,13 @@ def library_names(root: str) -> list[str]:
     return sorted(names)
 
 
-def list_directory(root: str, library: str, relative: str) -> Iterator[tuple[Entry, bool]]:
+def list_directory(
+    root: str, library: str, relative: str, changed: tuple[int, int] | None = None
+) -> Iterator[tuple[Entry, bool]]:
     """Entries of one directory, and for each whether it is a directory still to be visited.
 
-    The directory itself must still be a real directory at its own path; a link put in its
+    With `changed`, only files count that were made, written or moved after the first time and
+    not after the second (nanoseconds of their change time). The directory itself must still be a real directory at its own path; a link put in its
     place meanwhile is not followed. Names are given and returned as text (`name_text`).
     """
     base = os.path.join(os.path.realpath(root), name_on_disk(library))
@@ -125,7 +130,7 @@ def list_directory(root: str, library: str, relative: str) -> Iterator[tuple[Ent
                 continue
             if stat.S_ISDIR(info.st_mode):
                 yield (library, "pending", name, None, None, None, None, None), True
-            elif stat.S_ISREG(info.st_mode):
+            elif stat.S_ISREG(info.st_mode) and (changed is None or changed[0] < info.st_ctime_ns <= changed[1]):
                 yield (
                     (library, "file", name, info.st_size, info.st_mtime_ns,
                      info.st_ino, info.st_dev, None),
@@ -134,12 +139,13 @@ def list_directory(root: str, library: str, relative: str) -> Iterator[tuple[Ent
 
 
 def walk(
-    root: str, library: str, start: str, elsewhere: frozenset[str] = frozenset()
+    root: str, library: str, start: str, elsewhere: frozenset[str] = frozenset(),
+    changed: tuple[int, int] | None = None,
 ) -> Iterator[Entry]:
     """Depth-first walk of one subtree, but for the directories that are read `elsewhere`."""
     stack = [start]
     while stack:
-        for entry, descend in list_directory(root, library, stack.pop()):
+        for entry, descend in list_directory(root, library, stack.pop(), changed):
             if not descend:
                 yield entry
             elif entry[2] not in elsewhere:
@@ -230,6 +236,40 @@ class FileTreeReader(DataSourceReader):
             yield from walk(self.root, library, start, partition.elsewhere)
 
 
+class FileTreeStreamReader(DataSourceStreamReader):
+    """Files by the time of their last change; an offset is a time.
+
+    A batch holds the files that changed after its first and not after its last time, so what was
+    seen once comes again only if it changes. Batches end `lag` seconds before now, so that files that are
+    just being written, or clocks that differ by less, belong to a later one. A file that changes again before
+    a batch is replayed comes in the later batch alone, with its newest state. Files that go are not noticed.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.options, self.lag = options, float(options.get("lag", "2"))
+
+    def initialOffset(self) -> dict[str, int]:
+        return {"ns": 0}
+
+    def latestOffset(self) -> dict[str, int]:
+        return {"ns": time.time_ns() - int(self.lag * 1e9)}
+
+    def partitions(self, start: dict[str, int], end: dict[str, int]) -> list[_Changes]:
+        between = (start["ns"], end["ns"])
+        return [_Changes(part, between) for part in FileTreeReader(self.options).partitions()]
+
+    def read(self, partition: _Changes) -> Iterator[Entry]:
+        for library, start in partition.part.starts:
+            entries = walk(self.options["path"], library, start, partition.part.elsewhere, partition.between)
+            yield from (entry for entry in entries if entry[1] == "file")
+
+
+class _Changes(InputPartition):
+    def __init__(self, part: _Subtrees, between: tuple[int, int]):
+        super().__init__((part, between))
+        self.part, self.between = part, between
+
+
 class FileTreeDataSource(DataSource):
     """`spark.read.format("filetree").option("path", root).load()`
 
@@ -248,6 +288,9 @@ class FileTreeDataSource(DataSource):
     def reader(self, schema: T.StructType) -> FileTreeReader:
         return FileTreeReader(self.options)
 
+    def streamReader(self, schema: T.StructType) -> FileTreeStreamReader:
+        return FileTreeStreamReader(self.options)
+
 
 def register(spark: SparkSession) -> None:
     """Make the source known, and let filters reach it unless the session says otherwise."""
@@ -268,6 +311,15 @@ def read_tree(
     return reader.load()
 
 
+def changed_files(spark: SparkSession, root: str, lag_seconds: float = 2.0) -> DataFrame:
+    """A stream of the files that were made, written or moved under the libraries of a root.
+
+    Every batch walks the tree for their names and times; nothing of it is remembered but a time.
+    """
+    register(spark)
+    return spark.readStream.format("filetree").option("path", root).option("lag", str(lag_seconds)).load()
+
+
 def walk_tree(
     spark: SparkSession, root: str, libraries: list[str] | None = None, budget: int = 100_000
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from samebytes.operators.merge import KEY, SEEN, assign_ids, merge_scan
 from samebytes.operators.scale import lookup_join, materialize
 from samebytes.plans.catalog import refresh_totals
 from samebytes.schemas import LEASE_TTL_SECONDS, LIBRARY_FILES
+from samebytes.sources.filetree import changed_files
 from samebytes.sources.store import SnapshotStore
 
 
@@ -66,6 +67,21 @@ def merge_stream(
     )
 
 
+def watch_libraries(
+    store: SnapshotStore, libraries_root: str, checkpoint: str, *, scan_id: int, now: Clock,
+    lag_seconds: float = 2.0,
+) -> StreamingQuery:
+    """X1 from disk: files that changed under the libraries of a root since the last batch reach the catalog.
+
+    Libraries have to be registered in `library_roots`; files of others are left out. Files that went
+    stay until a complete scan.
+    """
+    spark = store.spark
+    known = store.read("library_roots").select(F.col("name").alias("library"), F.col("id").alias("library_id"))
+    files = changed_files(spark, libraries_root, lag_seconds).join(F.broadcast(known), "library")
+    return merge_stream(files.select(*KEY, *SEEN), store, checkpoint, scan_id=scan_id, now=now)
+
+
 def distinct_requests(
     requests: DataFrame, key: str = "thumb_key", time: str | None = None, delay: str = "1 hour"
 ) -> DataFrame:

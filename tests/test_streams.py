@@ -128,3 +128,41 @@ def test_request_keys_leave_the_state(spark, tmp_path):
     rows = sorted((r.thumb_key, r.ts.hour) for r in spark.read.parquet(out).collect())
     assert rows == [("k", 0), ("k", 6), ("new", 5), ("old", 0)]
     assert max(states) <= 3 and states[-1] <= 2
+
+
+def test_new_files_on_disk_reach_the_catalog(spark, tmp_path):
+    """Two runs bring what a batch merge of the same files would bring, with the same ids."""
+    from samebytes.operators import merge
+    from samebytes.operators.conform import conform
+    from samebytes.sources import filetree
+
+    root, store = tmp_path / "libs", SnapshotStore(spark, str(tmp_path / "store"), buckets=4)
+    for name in ("one", "two", "unknown"):
+        (root / name / "sub").mkdir(parents=True)
+        (root / name / "sub" / "a.txt").write_text(name)
+        (root / name / "b.txt").write_text("b")
+    roots = spark.createDataFrame([(1, "one"), (2, "two")], "id long, name string")
+    store.publish("library_roots", conform(roots.withColumn("root_path", F.lit(str(root))), "library_roots"))
+
+    def run():
+        query = incremental.watch_libraries(store, str(root), str(tmp_path / "ckpt"), scan_id=5, now=NOW, lag_seconds=0)
+        query.awaitTermination()
+        return {(r.library_id, r.relative_path): (r.id, r.size_bytes) for r in store.read("library_files").collect()}
+
+    def batch(catalog):
+        ids = roots.select(F.col("name").alias("library"), F.col("id").alias("library_id"))
+        scan = filetree.read_tree(spark, str(root)).filter("kind = 'file'").join(ids, "library")
+        after = merge.merge_scan(catalog, scan, scan.select("library_id").limit(0), scan_id=5, now=NOW, complete=False, new_ids=merge.assign_ids(catalog, scan))
+        return {(r.library_id, r.relative_path): (r.id, r.size_bytes) for r in after.collect()}
+
+    expected = batch(store.read("library_files"))
+    assert run() == expected and len(expected) == 4
+    before = store.read("library_files")
+    (root / "two" / "b.txt").write_text("longer")
+    (root / "one" / "c.txt").write_text("new")
+    (root / "one" / "sub" / "a.txt").rename(root / "one" / "moved.txt")
+    expected = batch(before)
+    assert run() == expected and len(expected) == 6
+    version = store.current_version("library_files")
+    assert run() == expected
+    assert store.current_version("library_files") <= version + 1
