@@ -9,9 +9,9 @@ A score is a sum over an item's terms, so items with terms in common have partia
 3. Every document's accumulators are made once, node by node, and items add up the few nodes that they
    are left with.
 
-Items come in blocks of bounded text, whose graph and terms are sent to tasks. A block reads the
-documents once and writes, for each, its length and how often it holds the block's terms; counts of
-documents and scores come from that table. Scores are integers. A task hands on the best documents of
+Items come in blocks of bounded text, whose graph is sent to tasks. Many blocks share one reading of the
+documents, which writes for each its length and how often it holds the terms of all these items; counts
+of documents and the scores of each block come from that table. Scores are integers. A task hands on the best documents of
 each item that it has seen, and those are ranked in two steps, so that no task gets more than a few
 per task before it.
 """
@@ -32,8 +32,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from samebytes.llm.common import Workspace, materialize, ship
 
-#: Text of a block of items.
-ITEM_BYTES = 256 * 1024
+#: Text of a block of items, which share a graph, and of the items for which documents are read once.
+ITEM_BYTES, READ_BYTES = 256 * 1024, 8 * 1024 * 1024
 #: Documents whose best are kept for each item.
 BEST = 20
 #: Nodes of an item, the most shared ones, among which pairs are mined. Others are added one by one.
@@ -238,15 +238,18 @@ class _Best:
         self.rows = kept
 
 
-def _scores(graph: QueryGraph, weights: np.ndarray, documents: int, terms_in_all: int, ends: np.ndarray,
-            lengths: np.ndarray, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
-    """Scores of some documents (columns) for all items (rows)."""
+def _scores(graph: QueryGraph, atoms: np.ndarray, weights: np.ndarray, documents: int, terms_in_all: int,
+            ends: np.ndarray, lengths: np.ndarray, terms: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Scores of some documents (columns) for all items (rows). `atoms` has the atom of each term, or -1."""
     many = len(lengths)
     row = np.repeat(np.arange(many), np.diff(ends, prepend=0))
+    own = np.flatnonzero(atoms[terms] >= 0)
+    row, terms, times = row[own], terms[own], times[own]
     m = 75 + (25 * lengths * documents) // terms_in_all
     value = weights[terms] * ((1_000_000_000 * times) // (1000 * times + 12 * m[row]))
-    # Terms are numbered by atom, so those of a document's atom stand side by side.
-    key = row * graph.atoms + np.array(graph.atom_of, np.int64)[terms]
+    key = row * graph.atoms + atoms[terms]
+    order = np.argsort(key, kind="stable")
+    key, value = key[order], value[order]
     first = np.flatnonzero(np.diff(key, prepend=-1))
     nodes = np.zeros((graph.nodes, many), np.int64)
     if len(first):
@@ -265,8 +268,8 @@ def _scores(graph: QueryGraph, weights: np.ndarray, documents: int, terms_in_all
     return scores
 
 
-def _best_of_tasks(counted: DataFrame, graph: QueryGraph, weights: np.ndarray, totals: tuple[int, int],
-                   keys: pa.Array, kinds: tuple[str, str], best: int) -> DataFrame:
+def _best_of_tasks(counted: DataFrame, graph: QueryGraph, atoms: np.ndarray, weights: np.ndarray,
+                   totals: tuple[int, int], keys: pa.Array, kinds: tuple[str, str], best: int) -> DataFrame:
     """The best documents of each item and task: `row` (number of the item), `item`, `id` and `score`."""
     step = max(16, min(1024, _NODE_BYTES // (8 * max(1, graph.nodes))))
     item_kind, id_kind = kinds
@@ -282,7 +285,7 @@ def _best_of_tasks(counted: DataFrame, graph: QueryGraph, weights: np.ndarray, t
                 numbers = np.frombuffer(b"".join(held), "<u4").astype(np.int64)
                 times = np.frombuffer(b"".join(part.column("times").to_pylist()), "<u4").astype(np.int64)
                 lengths = part.column("n").to_numpy(zero_copy_only=False)
-                top.add(_scores(graph, weights, *totals, ends, lengths, numbers, times), part.column("id").to_pylist())
+                top.add(_scores(graph, atoms, weights, *totals, ends, lengths, numbers, times), part.column("id").to_pylist())
         if top.rows:
             top.trim()
             rows = pa.array([r[0] for r in top.rows], pa.int32())
@@ -304,9 +307,25 @@ def _ranked(scored: DataFrame, best: int) -> DataFrame:
     return ranked.filter(F.col("rank") <= best).select("item", "rank", "id", "score")
 
 
+def _blocks(items: list[tuple], item_bytes: int) -> Iterator[list[tuple]]:
+    """Items that have terms, in blocks of about `item_bytes` of them."""
+    block, held = [], 0
+    for item, terms in items:
+        size = sum(map(len, terms)) + len(terms)
+        if block and held + size > item_bytes:
+            yield block
+            block, held = [], 0
+        if terms:
+            block.append((item, terms))
+            held += size
+    if block:
+        yield block
+
+
 def search(
     docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text",
-    item_id: str = "item_id", item_text: str = "text", best: int = BEST, item_bytes: int = ITEM_BYTES,
+    item_id: str = "item_id", item_text: str = "text", best: int = BEST,
+    item_bytes: int = ITEM_BYTES, read_bytes: int = READ_BYTES,
 ) -> DataFrame:
     """The `best` documents of each item: the item's id, `rank` from 1, the document's id and `score`.
 
@@ -326,25 +345,30 @@ def search(
     kinds = (asked.schema["item"].dataType.simpleString(), rows.schema["id"].dataType.simpleString())
     arrow = to_arrow_type(asked.schema["item"].dataType)
     size = asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(size / item_bytes))
+    readings = max(1, math.ceil(size / read_bytes))
     tables = Workspace(spark)
     found: list[DataFrame] = []
-    for block in range(blocks):
-        # A block has about `item_bytes` of text, or one item.
-        own = asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).collect()
-        graph = plan_queries([terms_of((r.text or "").encode()) for r in own])
-        if not graph.terms:
+    for reading in range(readings):
+        # About `read_bytes` of text, or one item.
+        own = asked.filter(F.pmod(F.xxhash64("item", "text"), F.lit(readings)) == reading).collect()
+        parsed = [(r.item, terms_of((r.text or "").encode())) for r in own]
+        vocabulary = {term: i for i, term in enumerate(dict.fromkeys(t for _, terms in parsed for t in terms))}
+        if not vocabulary:
             continue
-        counted = tables.write(count_terms(rows, kinds[1], graph.terms))
+        counted = tables.write(count_terms(rows, kinds[1], list(vocabulary)))
         documents, terms_in_all = counted.agg(F.count(F.lit(1)), F.sum("n")).first()
         if not documents:
             break
-        weights = np.array([weight(documents, 0)] * len(graph.terms), np.int64)
-        for r in _having(counted, len(graph.terms)).collect():
+        weights = np.array([weight(documents, 0)] * len(vocabulary), np.int64)
+        for r in _having(counted, len(vocabulary)).collect():
             weights[r.term] = weight(documents, r.having)
-        keys = pa.array([r.item for r in own], arrow)
-        scored = _best_of_tasks(counted, graph, weights, (documents, terms_in_all), keys, kinds, best)
-        found.append(tables.write(_ranked(scored, best)))
+        for block in _blocks(parsed, item_bytes):
+            graph = plan_queries([terms for _, terms in block])
+            atoms = np.full(len(vocabulary), -1, np.int64)
+            atoms[[vocabulary[term] for term in graph.terms]] = graph.atom_of
+            keys = pa.array([item for item, _ in block], arrow)
+            scored = _best_of_tasks(counted, graph, atoms, weights, (documents, terms_in_all), keys, kinds, best)
+            found.append(tables.write(_ranked(scored, best)))
     if found:
         out = found[0]
         for more in found[1:]:

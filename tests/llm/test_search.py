@@ -52,7 +52,9 @@ def _tables(spark, seed, docs=120, items=30):
     return texts, asked
 
 
-@pytest.mark.parametrize("limits", [{}, {"item_bytes": 300, "best": 3}], ids=["one block", "many blocks"])
+@pytest.mark.parametrize(
+    "limits", [{}, {"item_bytes": 300, "best": 3}, {"item_bytes": 200, "read_bytes": 700}], ids=["one block", "many blocks", "many readings"]
+)
 def test_agrees_with_brute_force(spark, limits):
     texts, asked = _tables(spark, 4)
     docs = spark.createDataFrame([(*t, "s") for t in texts], "doc_id long, text string, score string").repartition(6)
