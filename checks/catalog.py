@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from checks.registry import check
-from checks.views import NOW
+from checks.registry import ORACLES, check
+from checks.views import NOW, with_views
 from samebytes import schemas as S
 from samebytes.operators import conform, duplicates, hashing, merge, stats
 from samebytes.operators.scale import materialize, shared_folder
@@ -356,6 +356,17 @@ def _(t):
     return duplicates.group_members(catalog, t.roots, groups, hot_files=3).drop("hashed_at")
 
 
+@check(
+    "j3_group_members_cold",
+    ORACLES["j3_group_members"].removeprefix(with_views(("files", "roots"))),
+    "files roots",
+)
+def _(t):
+    # No group is that large, so all join by shuffle.
+    catalog = conform.conform(t.files, "library_files")
+    return duplicates.group_members(catalog, t.roots, duplicates.duplicate_groups(catalog)).drop("hashed_at")
+
+
 @check(
     "t1_group_page",
     GROUPS + f"SELECT * FROM grouped ORDER BY {_ORDER} LIMIT 15 OFFSET 15",

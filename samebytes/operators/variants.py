@@ -235,7 +235,8 @@ def next_variants(
     """Per media type, the oldest due variants that the free workers can take.
 
     Each media type of `concurrency` is a top-k of its own, whatever its limit, so no task gets all
-    waiting variants of a type.
+    waiting variants of a type. The number of running variants is counted first, and variants are read
+    once for that and once per media type, of which there are two.
     """
     limits = VARIANT_CONCURRENCY if concurrency is None else concurrency
     waiting = variants.filter((F.col("status") == "pending") & due("retry_after", now))
