@@ -155,7 +155,7 @@ def _(t):
 )
 def _(t):
     root = document_tree(t)
-    files = filetree.read_tree(t.spark, root).filter(F.col("kind") == "file")
+    files = materialize(filetree.read_tree(t.spark, root).filter(F.col("kind") == "file"))
     number = F.regexp_extract("relative_path", r"(\d+)\.txt$", 1).cast("bigint")
     candidates = files.select(
         (number + 1).alias("id"), "relative_path", F.col("size_bytes").alias("expected_size"),
@@ -386,7 +386,7 @@ def _(t):
 def _(t):
     store = SnapshotStore(t.spark, f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}")
     groups = duplicates.duplicate_groups(t.files)
-    store.publish("duplicate_groups", duplicates.ranked_groups(groups), partition_by=["rank_block"])
+    store.publish("duplicate_groups", duplicates.ranked_groups(groups), cluster_by=["rank"], partition_by=["rank_block"])
     ranked = store.read("duplicate_groups")
     first = duplicates.GroupListing(ranked).page(15)
     # Another listing does not know the cursor and has to place it.

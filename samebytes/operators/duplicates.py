@@ -31,8 +31,8 @@ from samebytes.schemas import CONTENT_TOTALS
 
 HOT_GROUP_FILES = 1_000_000
 CONTENT = ["hash_algorithm", "content_hash"]
-#: Ranks of a folder of the published groups, and cursors whose rank a listing remembers.
-RANK_BLOCK, KNOWN_CURSORS = 100_000, 10_000
+#: Ranks of a folder of the published groups, cursors whose rank a listing remembers, and groups it reads at a time.
+RANK_BLOCK, KNOWN_CURSORS, READ_AHEAD = 100_000, 10_000, 2_000
 
 
 @dataclass(frozen=True)
@@ -227,11 +227,13 @@ class GroupListing:
     """T1 over published groups that carry their rank: a page is a range of ranks.
 
     The listing remembers the rank behind the cursors that it handed out last. Any other cursor is
-    placed by one aggregation over the rows behind it, of which the scan reads one column.
+    placed by one aggregation over the rows behind it, of which the scan reads one column. A read takes
+    at least `ahead` groups, from which the pages that follow are served; published groups do not change.
     """
 
-    def __init__(self, ranked: DataFrame, block: int = RANK_BLOCK):
-        self.block = block
+    def __init__(self, ranked: DataFrame, block: int = RANK_BLOCK, ahead: int = READ_AHEAD):
+        self.block, self.ahead = block, ahead
+        self._first, self._rows, self._end = 0, [], False
         self.ranked = ranked.drop("content_hash")
         self.columns = [c for c in self.ranked.columns if c not in ("rank", "rank_block")]
         self._places: OrderedDict[str, int] = OrderedDict()
@@ -244,15 +246,23 @@ class GroupListing:
             return known
         return self.ranked.filter(_after(cursor)).agg(F.min("rank")).first()[0]
 
+    def _range(self, start: int, count: int) -> list[Row]:
+        """Groups of some ranks in order; the driver holds no more than the larger of a page and `ahead`."""
+        at = start - self._first
+        if at < 0 or (at + count > len(self._rows) and not self._end):
+            asked = max(count, self.ahead)
+            rows = ranked_range(self.ranked, start, asked, self.block).select("rank", *self.columns).collect()
+            rows.sort(key=lambda row: row["rank"])
+            self._first, self._rows, self._end, at = start, rows, len(rows) < asked, 0
+        return self._rows[at : at + count]
+
     def page(self, limit: int | None = None, cursor: str | None = None) -> Page:
         """The same page that `list_groups` gives."""
         size = page_limit(limit)
         start = self._place(cursor) if cursor else 0
         if start is None:
             return Page([], None)
-        # At most a page and one more row.
-        found = ranked_range(self.ranked, start, size + 1, self.block).select("rank", *self.columns).collect()
-        found.sort(key=lambda row: row["rank"])
+        found = self._range(start, size + 1)
         items = [Row(*self.columns)(*row[1:]) for row in found[:size]]
         if len(found) <= size:
             return Page(items, None)

@@ -158,7 +158,7 @@ def publish_groups(store: SnapshotStore) -> DataFrame:
     `duplicates.GroupListing` reads pages of them as ranges of ranks.
     """
     groups = groups_of_totals(refresh_totals(store))
-    store.publish("duplicate_groups", ranked_groups(groups), partition_by=["rank_block"])
+    store.publish("duplicate_groups", ranked_groups(groups), cluster_by=["rank"], partition_by=["rank_block"])
     return store.read("duplicate_groups")
 
 

@@ -94,7 +94,9 @@ class SnapshotStore:
                 for b in sorted({*touched, *top})
             ]
         else:
-            if order:
+            if partition_by:
+                df = df.repartition(*partition_by).sortWithinPartitions(*partition_by, *order)
+            elif order:
                 df = df.repartitionByRange(*order).sortWithinPartitions(*order)
             writer = df.write.partitionBy(*partition_by) if partition_by else df.write
             writer.parquet(path)
@@ -109,7 +111,8 @@ class SnapshotStore:
     ) -> int:
         """Write a whole new version. `cluster_by` sorts it, so that equality filters on those
         columns skip almost all row groups, as an index would; `partition_by` puts the rows of a
-        table without unique key in a folder per value."""
+        table without unique key in a folder and a file per value, which should be about as large
+        as one another."""
         buckets = self.buckets if table in UNIQUE_KEYS and table in TABLES else 0
         return self._write(table, df, True, buckets, [], cluster_by, partition_by)
 

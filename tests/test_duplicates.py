@@ -215,10 +215,10 @@ def test_ranked_listing_equals_keyset_pages(spark, tmp_path):
     assert "Sort" not in plan and "TakeOrdered" not in plan and "Exchange" not in plan
     assert "GreaterThanOrEqual(rank,10)" in plan and "PartitionFilters: [isnotnull(rank_block" in plan
 
-    listing, cursor, seen = duplicates.GroupListing(ranked, 7), None, []
+    listing, cursor, seen = duplicates.GroupListing(ranked, 7, ahead=20), None, []
     while True:
         page = listing.page(8, cursor)
-        assert page == duplicates.list_groups(groups, 8, cursor) == duplicates.GroupListing(ranked, 7).page(8, cursor)
+        assert page == duplicates.list_groups(groups, 8, cursor) == duplicates.GroupListing(ranked, 7, ahead=1).page(8, cursor)
         seen += page.items
         cursor = page.next_cursor
         if cursor is None:
