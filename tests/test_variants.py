@@ -184,4 +184,4 @@ def test_batches_of_any_size_give_the_same(spark, monkeypatch, small):
     assert sorted(r.outcome for r in matched.collect()) == sorted(
         ["existing"] * 3 + ["requeued"] * 2 + ["blocked"] + ["new"] * (planned.filter("reject IS NULL").count() - 6)
     )
-    assert {(r.file_id, r.reject) for r in planned.filter("file_id IN (0, 2, 35)").collect()} >= {(2, None), (35, "file_not_found")}
+    assert {(r.file_id, r.reject) for r in planned.filter("file_id IN (0, 2, 36)").collect()} >= {(2, None), (36, "file_not_found")}
