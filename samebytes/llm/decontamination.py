@@ -55,7 +55,7 @@ _GRAM = 3
 _EDIT_KINDS = ("replace", "delete", "insert", "mixed")
 _WORD_FACTOR, _FOREIGN = np.uint64(0xA0761D6478BD642F), 0x5851F42D4C957F2D
 #: Windows walked and words held at a time.
-_WINDOWS, _WORDS = 8192, 200_000
+_WINDOWS, _WORDS = 8192, 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
