@@ -38,7 +38,7 @@ TABLES, BLOCKS, PROBES = 6, 2, 3
 WIDTH = 1.8
 MIN_COSINE = 0.98
 #: Vectors of a cluster that are compared at a time.
-BLOCK_VECTORS = 128
+BLOCK_VECTORS = 64
 
 
 @lru_cache(maxsize=1)
