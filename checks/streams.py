@@ -24,8 +24,9 @@ class _Streams(Tables):
     """The same views, fed by a stream over the parquet files."""
 
     def base(self, name: str):
-        reader = self.spark.readStream.schema(super().base(name).schema)
-        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(self.folder)
+        # A table is one file or a folder of them. A stream takes both by a pattern, which needs a base path.
+        reader = self.spark.readStream.schema(super().base(name).schema).option("basePath", self.folder)
+        return reader.parquet(f"{self.folder}/{{{name}.parquet}}")
 
 
 def _run(query, target: str, checkpoint: str, mode: str = "append"):

@@ -1,7 +1,12 @@
 from datetime import datetime, timedelta
 
+import duckdb
 from pyspark.sql import functions as F
 
+from checks.compare import rows_of
+from checks.registry import ORACLES, QUERIES
+from checks.streams import _Streams
+from checks.views import Tables
 from samebytes.operators.duplicates import duplicate_groups
 from samebytes.sources.store import SnapshotStore
 from samebytes.streaming import incremental
@@ -166,3 +171,45 @@ def test_new_files_on_disk_reach_the_catalog(spark, tmp_path):
     version = store.current_version("library_files")
     assert run() == expected
     assert store.current_version("library_files") <= version + 1
+
+
+def _documents(spark, folder, files=6, rows=90):
+    """Documents with copies, in a folder of several files."""
+    made = [(i, f"text {i % 25}" if i % 14 else None, ("en", "de")[i % 2], f"src{i % 7}") for i in range(rows)]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    table.repartition(files).write.parquet(f"{folder}/documents.parquet")
+
+
+def _agrees_with_sql(spark, folder, name, *tables):
+    connection = duckdb.connect()
+    for table in tables:
+        connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/**/*.parquet'")
+    rows, result = QUERIES[name](Tables(spark, folder)), connection.execute(ORACLES[name])
+    expected = rows_of([d[0] for d in result.description], result.fetchall())
+    return rows_of(rows.columns, [tuple(r) for r in rows.collect()]) == expected and len(expected[1]) > 0
+
+
+def test_streams_read_tables_that_are_folders(spark, tmp_path):
+    folder, start = str(tmp_path), datetime(2026, 1, 1)
+    _documents(spark, folder)
+    events = [(i, i % 4, start + timedelta(minutes=i), float(i)) for i in range(40)]
+    table = spark.createDataFrame(events, "event_id long, user_id long, ts timestamp_ntz, value double")
+    table.repartition(3).write.parquet(f"{folder}/events.parquet")
+    assert _agrees_with_sql(spark, folder, "x4_running_groups", "documents")
+    assert _agrees_with_sql(spark, folder, "x2_request_deduplication", "events")
+    assert _agrees_with_sql(spark, folder, "x3_lease_silence", "events")
+
+
+def test_streams_read_tables_that_are_partitioned_or_single_files(spark, tmp_path):
+    _documents(spark, str(tmp_path / "flat"))
+    rows = spark.read.parquet(str(tmp_path / "flat" / "documents.parquet"))
+    rows.write.partitionBy("lang").parquet(str(tmp_path / "parts" / "documents.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "one" / "documents.parquet")
+    found = [
+        sorted(map(tuple, QUERIES["x4_running_groups"](Tables(spark, str(tmp_path / kind))).collect()))
+        for kind in ("flat", "parts", "one")
+    ]
+    assert found[0] == found[1] == found[2] and found[0]
+    langs = [r.lang for r in collect(spark, _Streams(spark, str(tmp_path / "parts")).documents, tmp_path).collect()]
+    assert sorted(langs) == sorted(r.lang for r in rows.collect())
