@@ -59,12 +59,14 @@ SELECT """
 def _(t):
     store = SnapshotStore(t.spark, _folder(t, "store"))
     store.publish("library_files", t.catalog)
-    drops = _folder(t, "drops")
-    # The scan arrives in several drops, one after the other, and new files get ids in that order.
+    drops, checkpoint = _folder(t, "drops"), _folder(t, "ckpt")
+    # The scan arrives in several drops, one after the other, and new files get ids in that order. A drop
+    # has a file from each task that writes it; all of them are one batch of the stream, which goes on
+    # from its checkpoint when the next drop is there.
     for drop in range(_DROPS):
-        t.scan.filter(F.col("library_id") % _DROPS == drop).coalesce(1).write.mode("append").parquet(drops)
-    scans = t.spark.readStream.schema(t.scan.schema).option("maxFilesPerTrigger", 1).parquet(drops)
-    incremental.merge_stream(scans, store, _folder(t, "ckpt"), scan_id=77, now=NOW).awaitTermination()
+        t.scan.filter(F.col("library_id") % _DROPS == drop).write.mode("append").parquet(drops)
+        scans = t.spark.readStream.schema(t.scan.schema).parquet(drops)
+        incremental.merge_stream(scans, store, checkpoint, scan_id=77, now=NOW).awaitTermination()
     return flat(store.read("library_files"))
 
 

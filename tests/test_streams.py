@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import duckdb
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from checks.registry import ORACLES, QUERIES
 from checks.streams import _Streams
 from checks.views import Tables
 from samebytes.operators.duplicates import duplicate_groups
+from samebytes.operators.scale import shared_folder
 from samebytes.sources.store import SnapshotStore
 from samebytes.streaming import incremental
 
@@ -213,3 +215,25 @@ def test_streams_read_tables_that_are_partitioned_or_single_files(spark, tmp_pat
     assert found[0] == found[1] == found[2] and found[0]
     langs = [r.lang for r in collect(spark, _Streams(spark, str(tmp_path / "parts")).documents, tmp_path).collect()]
     assert sorted(langs) == sorted(r.lang for r in rows.collect())
+
+
+def _batches(spark, kind):
+    """Files that each batch of a query's stream has read, by the log of its checkpoint, by folder."""
+    found = {}
+    for folder in Path(shared_folder(spark).removeprefix("file:")).glob("ckpt-*"):
+        logs = sorted((folder / "sources" / "0").glob("[0-9]*"), key=lambda p: int(p.name))
+        found[folder.name] = [p.read_text().count(f"/{kind}-") for p in logs]
+    return found
+
+
+def test_drops_of_a_scan_are_written_by_many_tasks(spark, tmp_path):
+    folder = str(tmp_path)
+    _documents(spark, folder)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 5 == 0)) for i in range(0, 90, 2)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame([(i, f"<p>{i}</p>") for i in range(30)], "page_id long, html string")
+    for name, table in (("labels", labels), ("pages", pages)):
+        table.repartition(2).write.parquet(f"{folder}/{name}.parquet")
+    before = _batches(spark, "drops")
+    assert _agrees_with_sql(spark, folder, "x1_incremental_catalog", "documents", "labels", "pages")
+    (files,) = [v for k, v in _batches(spark, "drops").items() if k not in before]
+    assert len(files) == 3 and min(files) > 1
