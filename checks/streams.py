@@ -133,15 +133,16 @@ def _(t):
 def _(t):
     # Files arrive with other contents first, some of them present that go missing later.
     store = SnapshotStore(t.spark, _folder(t, "store"), buckets=8)
-    drops = _folder(t, "drops")
+    drops, checkpoint = _folder(t, "drops"), _folder(t, "ckpt")
     early = t.catalog.filter("id % 3 > 0").withColumns({
         "is_missing": F.lit(False), "needs_hash": F.lit(False), "hash_algorithm": F.lit("sha256"),
         "content_hash": F.unhex(F.sha2((F.col("id") % 40).cast("string"), 256)),
         "updated_at": F.col("updated_at") - F.expr("INTERVAL 1 DAY"),
     })
     for rows in (early, t.catalog):
-        rows.coalesce(1).write.mode("append").parquet(drops)
-    stream = t.spark.readStream.schema(t.catalog.schema).option("maxFilesPerTrigger", 1).parquet(drops)
-    incremental.group_stream(stream, store, _folder(t, "ckpt")).awaitTermination()
+        # A file from each task; all files of a drop are one batch, since the next drop is not there yet.
+        rows.write.mode("append").parquet(drops)
+        stream = t.spark.readStream.schema(t.catalog.schema).parquet(drops)
+        incremental.group_stream(stream, store, checkpoint).awaitTermination()
     groups = duplicates.groups_of_totals(refresh_totals(store))
     return groups.select("group_key", "file_count", "total_size_bytes", "duplicate_waste_bytes", "sample_file_id")

@@ -237,3 +237,11 @@ def test_drops_of_a_scan_are_written_by_many_tasks(spark, tmp_path):
     assert _agrees_with_sql(spark, folder, "x1_incremental_catalog", "documents", "labels", "pages")
     (files,) = [v for k, v in _batches(spark, "drops").items() if k not in before]
     assert len(files) == 3 and min(files) > 1
+
+
+def test_drops_of_a_catalog_are_written_by_many_tasks(spark, tmp_path):
+    _documents(spark, str(tmp_path))
+    before = _batches(spark, "drops")
+    assert _agrees_with_sql(spark, str(tmp_path), "x4_group_table", "documents")
+    (files,) = [v for k, v in _batches(spark, "drops").items() if k not in before]
+    assert len(files) == 2 and min(files) > 1
